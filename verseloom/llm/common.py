@@ -40,16 +40,22 @@ def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> Data
 class Memo(dict):
     """Results of ``make`` by key, at most twice ``limit`` of them: keys not met for a while are made anew."""
 
-    def __init__(self, make, limit: int = 300_000, key_size: int = 64) -> None:
+    def __init__(self, make, limit: int = 500_000, key_size: int = 64) -> None:
         super().__init__()
         gc.set_threshold(200_000, 20, 100)  # many plain objects, no cycles: full collections cost more than they free
         self.make, self.limit, self.key_size, self.old = make, limit, key_size, {}
 
     def __missing__(self, key):
         value = self.old[key] if key in self.old else self.make(key)
+        self.put(key, value)
+        return value
+
+    def put(self, key, value) -> None:
         if not isinstance(key, str) or len(key) <= self.key_size:
             if len(self) >= self.limit:
                 self.old = dict(self)
                 self.clear()
             self[key] = value
-        return value
+
+    def holds(self, key) -> bool:
+        return key in self or key in self.old

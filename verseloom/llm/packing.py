@@ -11,6 +11,10 @@ sequences of thousands, and no group grows with the input.
 from __future__ import annotations
 
 import bisect
+import re
+import sys
+import unicodedata
+from array import array
 from collections.abc import Iterator
 from zlib import crc32
 
@@ -39,26 +43,41 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.strings = Memo(self._string)
+        self.strings = Memo(self._string, 700_000)
 
-    def _string(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+    def _bytes(self, ids: list[int]) -> bytes:
+        return array("I", ids).tobytes() if sys.byteorder == "little" else np.array(ids, dtype="<u4").tobytes()
 
-    def _new(self, texts: list[str]) -> None:
-        """Encode the strings not met yet, in one call."""
-        missing = [t for t in set(texts) if t not in self.strings and t not in self.strings.old]
-        if len(missing) > 1:
-            for t, e in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)):
-                self.strings.make = lambda _, e=e: np.array(e.ids, dtype="<u4").tobytes()
-                self.strings[t]
-            self.strings.make = self._string
+    def _string(self, text: str) -> bytes:
+        base = _base(text)
+        if base != text:
+            return self.strings[base] + self.strings[text[-1]]
+        return self._bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
+        if not _ODD.search(text) and unicodedata.is_normalized("NFC", text):
+            text = text.lower()  # as the tokenizer will; equal strings then meet more often
         parts = text.replace("\n", " ").split(" ")
-        self._new(parts)
-        return b"".join(map(self.strings.__getitem__, parts))
+        known = self.strings
+        new = list({b for t in set(parts) if not known.holds(t) and not known.holds(b := _base(t))})
+        if len(new) > 1:  # in one call
+            for t, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
+                known.put(t, self._bytes(e.ids))
+        return b"".join(map(known.__getitem__, parts))
+
+
+#: Where lower case depends on the neighbours or isn't composed, and where a special token may be.
+_ODD = re.compile("[\u03a3\u0130]|<\\|")
+
+
+def _base(text: str) -> str:
+    """The string without one mark behind a letter: the tokenizer always cuts there."""
+    return text[:-1] if text[-1:] in _MARKS and text[-2:-1].isalpha() and text[-2] != "\u0130" else text
+
+
+_MARKS = frozenset(".,;:!?")
 
 
 _encoders: dict[str, Encoder] = {}
