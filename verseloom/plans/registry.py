@@ -2,5 +2,72 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from verseloom.functions.text import fold
+from verseloom.operators import catalog, survey
+from verseloom.sources.corpus import editions, segments, table
+
+TERMS = [("the", "word"), ("École", "word"), ("une", "word"), ("thon", "stem"), ("der", "word"), ("zzz", "word"), ("ge", "stem")]
+
+
+def _docs(spark, d):
+    return table(spark, d, "documents")
+
+
+def _survey(operator):
+    return lambda spark, d: operator(segments(_docs(spark, d)), survey.term_table(spark, TERMS))
+
+
+QUERIES = {
+    "survey_totals": _survey(survey.survey_totals),
+    "survey_by_group": _survey(survey.survey_by_group),
+    "survey_forms": _survey(survey.survey_forms),
+    "structure_counts": lambda s, d: catalog.structure_counts(_docs(s, d), segments(_docs(s, d))),
+    "text_sizes": lambda s, d: catalog.text_sizes(_docs(s, d), segments(_docs(s, d))),
+    "edition_stats": lambda s, d: catalog.edition_stats(editions(table(s, d, "conversations"))),
+    "compare_editions": lambda s, d: catalog.compare_editions(editions(table(s, d, "conversations"))),
+    "embedding_progress": lambda s, d: catalog.embedding_progress(_docs(s, d), table(s, d, "embeddings")),
+    "missing_embeddings": lambda s, d: catalog.missing_embeddings(_docs(s, d), table(s, d, "embeddings")),
+    "markup_census": lambda s, d: catalog.markup_census(table(s, d, "pages")),
+    "dedup_by_key": lambda s, d: catalog.dedup_by_key(segments(_docs(s, d)), fold("segment")),
+    "neighbours": lambda s, d: catalog.neighbours(_docs(s, d)),
+}
+
+_TERMS = ", ".join(f"('{t}', '{s}')" for t, s in TERMS)
+_SEGMENTS = """seg AS (SELECT doc_id, lang, source, unnest(string_split(text, chr(10))) AS segment,
+  generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents)"""
+_HITS = f"""WITH terms AS (SELECT term, scope, lower(strip_accents(term)) AS needle FROM (VALUES {_TERMS}) AS x(term, scope)),
+{_SEGMENTS}, tok AS (SELECT DISTINCT doc_id, lang, pos, t FROM (
+  SELECT doc_id, lang, pos, unnest(regexp_extract_all(lower(strip_accents(segment)), '[a-z0-9]+')) AS t FROM seg)),
+hits AS (SELECT DISTINCT term, scope, doc_id, lang, pos FROM tok JOIN terms
+  ON CASE WHEN scope = 'word' THEN t = needle ELSE starts_with(t, needle) END)"""
+_EDITIONS = "ed AS (SELECT conv_id, turn // 2 AS seg, role AS edition FROM conversations)"
+
+ORACLE_SQL = {
+    "survey_totals": f"""{_HITS} SELECT t.term, t.scope, count(h.pos) AS total_segments, count(DISTINCT h.doc_id) AS total_texts
+        FROM terms t LEFT JOIN hits h ON t.term = h.term AND t.scope = h.scope GROUP BY 1, 2""",
+    "survey_by_group": f"{_HITS} SELECT term, scope, lang, count(*) AS n_segments FROM hits GROUP BY 1, 2, 3",
+    "survey_forms": f"""{_HITS}, forms AS (SELECT DISTINCT doc_id, pos, f FROM (
+        SELECT doc_id, pos, unnest(regexp_extract_all(segment, '[\\p{{L}}\\p{{N}}_]+')) AS f FROM seg))
+        SELECT term, f AS form, count(*) AS n_segments FROM forms JOIN terms
+        ON lower(strip_accents(f)) = needle AND scope = 'word' GROUP BY 1, 2""",
+    "structure_counts": f"""WITH {_SEGMENTS} SELECT lang, source, count(DISTINCT doc_id) AS n_texts, count(*) AS n_segments
+        FROM seg GROUP BY 1, 2""",
+    "text_sizes": f"""WITH {_SEGMENTS} SELECT d.doc_id, count(s.pos) AS n_segments FROM documents d
+        LEFT JOIN seg s ON s.doc_id = d.doc_id AND trim(s.segment) <> '' GROUP BY 1""",
+    "edition_stats": f"""WITH {_EDITIONS} SELECT edition, count(*) AS n_rows, count(DISTINCT conv_id) AS n_texts
+        FROM ed GROUP BY 1""",
+    "compare_editions": f"""WITH {_EDITIONS} SELECT conv_id, seg, string_agg(edition, ',' ORDER BY edition) AS editions,
+        count(*) AS n_editions FROM ed GROUP BY 1, 2""",
+    "embedding_progress": """SELECT lang, count(*) AS total, count(*) FILTER (v.vec_id IS NULL) AS missing
+        FROM documents d LEFT JOIN (SELECT DISTINCT vec_id FROM embeddings WHERE embedding IS NOT NULL) v
+        ON v.vec_id = d.doc_id GROUP BY ROLLUP (lang)""",
+    "missing_embeddings": """SELECT doc_id FROM documents WHERE doc_id NOT IN (
+        SELECT vec_id FROM embeddings WHERE embedding IS NOT NULL)""",
+    "markup_census": """SELECT lower(tag) AS tag, count(*) AS n FROM (
+        SELECT unnest(regexp_extract_all(html, '<([a-zA-Z][a-zA-Z0-9]*)', 1)) AS tag FROM pages) GROUP BY 1""",
+    "dedup_by_key": f"""WITH {_SEGMENTS} SELECT doc_id, pos::INT AS pos, n - 1 AS duplicates FROM (
+        SELECT doc_id, pos, count(*) OVER (PARTITION BY k) AS n, row_number() OVER (PARTITION BY k ORDER BY doc_id, pos) AS r
+        FROM (SELECT doc_id, pos, lower(strip_accents(segment)) AS k FROM seg)) WHERE r = 1""",
+    "neighbours": """SELECT doc_id, lag(doc_id) OVER w AS previous, lead(doc_id) OVER w AS next FROM documents
+        WINDOW w AS (PARTITION BY lang, source ORDER BY doc_id)""",
+}
