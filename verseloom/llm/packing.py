@@ -43,7 +43,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.strings = Memo(self._string, 700_000)
+        self.strings = Memo(self._string, 400_000)
 
     def _bytes(self, ids: list[int]) -> bytes:
         return array("I", ids).tobytes() if sys.byteorder == "little" else np.array(ids, dtype="<u4").tobytes()

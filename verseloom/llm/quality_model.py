@@ -117,7 +117,7 @@ def _shape(word: str) -> int:
     return crc32(b"s" + word[:16].encode()) % BUCKETS
 
 
-_shapes = Memo(_shape)
+_shapes = Memo(_shape, 100_000)
 
 
 def features(text: str) -> tuple[np.ndarray, np.ndarray]:
