@@ -37,13 +37,30 @@ def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> Data
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_memos: list[Memo] = []
+_serving: list[str] = [""]
+
+
+def serving(owner: str) -> None:
+    """Drop what this worker has kept for other operators: workers go on from one stage to the next."""
+    if _serving[0] != owner:
+        _serving[0] = owner
+        for memo in _memos:
+            if memo.owner != owner:
+                memo.old = {}
+                memo.clear()
+
+
 class Memo(dict):
     """Results of ``make`` by key, at most twice ``limit`` of them: keys not met for a while are made anew."""
 
-    def __init__(self, make, limit: int = 500_000, key_size: int = 64) -> None:
+    def __init__(self, make, limit: int = 500_000, key_size: int = 64, owner: str = "") -> None:
         super().__init__()
         gc.set_threshold(200_000, 20, 100)  # many plain objects, no cycles: full collections cost more than they free
         self.make, self.limit, self.key_size, self.old = make, limit, key_size, {}
+        self.owner = owner
+        if owner:
+            _memos.append(self)
 
     def __missing__(self, key):
         value = self.old[key] if key in self.old else self.make(key)

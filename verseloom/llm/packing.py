@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verseloom.llm.common import Memo, checkpointed
+from verseloom.llm.common import Memo, checkpointed, serving
 
 SEQUENCE = 4096
 END = 1  # the id after each document
@@ -43,7 +43,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.strings = Memo(self._string, 400_000)
+        self.strings = Memo(self._string, 400_000, owner="packing")
 
     def _bytes(self, ids: list[int]) -> bytes:
         return array("I", ids).tobytes() if sys.byteorder == "little" else np.array(ids, dtype="<u4").tobytes()
@@ -96,6 +96,7 @@ def pieces(docs: DataFrame, path: str, sequence: int = SEQUENCE) -> DataFrame:
     end = np.array([END], dtype="<u4").tobytes()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        serving("packing")
         known = encoder(path)
         for frame in frames:
             rows = []

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verseloom.llm.common import Memo
+from verseloom.llm.common import Memo, serving
 from verseloom.llm.quality_rules import STOP_WORDS
 
 FIT_ROWS = 6_000  # documents that the scorer is fitted on, by smallest hash of their id
@@ -117,7 +117,7 @@ def _shape(word: str) -> int:
     return crc32(b"s" + word[:16].encode()) % BUCKETS
 
 
-_shapes = Memo(_shape, 100_000)
+_shapes = Memo(_shape, 100_000, owner="quality model")
 
 
 def features(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -171,6 +171,7 @@ def score_text(text: str | None, weights: np.ndarray) -> float:
 def _pattern_column(text):
     @F.pandas_udf("long")
     def pattern(texts: pd.Series) -> pd.Series:
+        serving("quality model")
         return pd.Series([vote_code(t) for t in texts], dtype="int64")
 
     return pattern(text)
@@ -206,6 +207,7 @@ def fit(docs: DataFrame, fit_rows: int = FIT_ROWS) -> np.ndarray:
 def score_column(text, weights: np.ndarray):
     @F.pandas_udf("double")
     def scores(texts: pd.Series) -> pd.Series:
+        serving("quality model")
         return pd.Series([score_text(t, weights) for t in texts], dtype="float64")
 
     return scores(text)
