@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import tempfile
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,6 +50,8 @@ def serving(owner: str) -> None:
             if memo.owner != owner:
                 memo.old = {}
                 memo.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
 
 
 class Memo(dict):

@@ -20,6 +20,7 @@ from zlib import crc32
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,19 +32,21 @@ MAX_DOCS = 4096  # of a sequence; as many as it can hold tokens: no limit unless
 MAX_ATTENTION = SEQUENCE * SEQUENCE  # sum of squared lengths; likewise
 WEIGHTS = (1.0, 0.0, 0.0)  # of tokens, documents and attention cost in the choice
 GROUP = 20_000
+KEPT = 400_000  # strings whose ids a worker keeps
+SLICE = 500  # texts of an Arrow batch that are Python strings at a time
 
 
 class Encoder:
     """Ids of texts as bytes, by a tokenizer that never joins what a space or line feed separates."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, kept: int = KEPT) -> None:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark shares out the work
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.strings = Memo(self._string, 400_000, owner="packing")
+        self.strings = Memo(self._string, kept, owner="packing")
 
     def _bytes(self, ids: list[int]) -> bytes:
         return array("I", ids).tobytes() if sys.byteorder == "little" else np.array(ids, dtype="<u4").tobytes()
@@ -80,36 +83,38 @@ def _base(text: str) -> str:
 _MARKS = frozenset(".,;:!?")
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, kept: int = KEPT) -> Encoder:
     """This worker's encoder for a vocabulary file."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    if (path, kept) not in _encoders:
+        _encoders[path, kept] = Encoder(path, kept)
+    return _encoders[path, kept]
 
 
-def pieces(docs: DataFrame, path: str, sequence: int = SEQUENCE) -> DataFrame:
+def pieces(docs: DataFrame, path: str, sequence: int = SEQUENCE, kept: int = KEPT) -> DataFrame:
     """``doc_id``, ``piece``, ``start``, ``length`` and ``ids_crc32`` of the pieces of each row; ids stay in the task."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     end = np.array([END], dtype="<u4").tobytes()
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         serving("packing")
-        known = encoder(path)
-        for frame in frames:
-            rows = []
-            for k, text in enumerate(frame["text"]):
-                ids = known.encode(text) + end
-                for p, at in enumerate(range(0, len(ids), 4 * sequence)):
-                    part = ids[at : at + 4 * sequence]
-                    rows.append((k, p, at // 4, len(part) // 4, crc32(part)))
-            got = pd.DataFrame(rows, columns=["k", "piece", "start", "length", "ids_crc32"])
-            got.insert(0, "doc_id", frame["doc_id"].take(got["k"]).to_numpy())
-            yield got.drop(columns="k")
-
-    return docs.select("doc_id", "text").mapInPandas(
+        known = encoder(path, kept)
+        for batch in batches:
+            texts, rows = batch.column("text"), []
+            for low in range(0, len(texts), SLICE):
+                for k, text in enumerate(texts.slice(low, SLICE).to_pylist(), low):
+                    ids = known.encode(text) + end
+                    for p, at in enumerate(range(0, len(ids), 4 * sequence)):
+                        part = ids[at : at + 4 * sequence]
+                        rows.append((k, p, at // 4, len(part) // 4, crc32(part)))
+            of, piece, start, length, crc = zip(*rows) if rows else ((),) * 5
+            columns = [batch.column("doc_id").take(pa.array(of, pa.int64())), pa.array(piece, pa.int32())]
+            columns += [pa.array(x, pa.int64()) for x in (start, length, crc)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32"])
+
+    return docs.select("doc_id", "text").mapInArrow(
         run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long"
     )
 
@@ -190,6 +195,7 @@ def pack(
     weights: tuple[float, float, float] = WEIGHTS,
     by: str = "norm",
     group: int = GROUP,
+    kept: int = KEPT,
 ) -> DataFrame:
     """Pieces of all rows of ``docs`` with their ``sequence_id`` and ``offset``.
 
@@ -198,7 +204,7 @@ def pack(
     null ids are packed like others; an empty table gives an empty result; other
     columns are not read.
     """
-    found = checkpointed(pieces(docs, path, sequence))
+    found = checkpointed(pieces(docs, path, sequence, kept))
     groups = max(1, -(-found.count() // group))
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
     kind = found.schema["doc_id"].dataType.simpleString()

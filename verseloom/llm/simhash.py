@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verseloom.llm.common import checkpointed
+from verseloom.llm.common import checkpointed, serving
 from verseloom.llm.components import Forest, connected_components
 
 SEED = 42
@@ -60,6 +60,7 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 def fingerprint_column(text: Column, shingle: int = SHINGLE) -> Column:
     @F.pandas_udf("long")
     def prints(texts: pd.Series) -> pd.Series:
+        serving("simhash")
         return pd.Series([fingerprint(t, shingle) for t in texts], dtype="int64")
 
     return prints(text)
