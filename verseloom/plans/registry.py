@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from verseloom.functions.text import fold
-from verseloom.operators import catalog, passages, search, survey
+from verseloom.operators import catalog, outline, passages, search, survey
 from verseloom.sources.corpus import editions, segments, table
 
 TERMS = [("the", "word"), ("École", "word"), ("une", "word"), ("thon", "stem"), ("der", "word"), ("zzz", "word"), ("ge", "stem")]
+FALLBACK = ["nicht", "Étion", "zuver"]
 STARTS = ["thon", "zuver", "the", "einach"]
 FUZZY = ["which", "nicht", "erlich"]
 ASKED = {"the from": 0, "und nicht": 7, "la que": 42}  # words, and the id of a vector
@@ -70,6 +71,20 @@ QUERIES = {
     "find_substring": lambda s, d: passages.find_substring(segments(_docs(s, d)), "\u00c9tion"),
     "coverage": lambda s, d: passages.coverage(_docs(s, d), search.vocabulary(table(s, d, "benchmark").withColumnRenamed("item_id", "doc_id"))),
     "corpus_checks": lambda s, d: passages.corpus_checks(_docs(s, d), table(s, d, "embeddings")),
+    "natural_key": lambda s, d: table(s, d, "pages").select("page_id", outline.natural_key(F.col("url")).alias("key")),
+    "outline_by_header": lambda s, d: outline.outline_by_header(segments(_docs(s, d)), ~F.contains("segment", F.lit("."))),
+    "whole_word_or_substring": lambda s, d: outline.whole_word_or_substring(segments(_docs(s, d)), FALLBACK),
+    "reserve_slots": lambda s, d: outline.reserve_slots(
+        _survey(survey.term_hits)(s, d)
+        .groupBy("term", "scope", "doc_id", "lang")
+        .agg(F.count("*").alias("score"))
+        .select("term", "doc_id", "score", F.coalesce(F.col("lang") != "en", F.lit(True)).alias("secondary")),
+        10,
+    ),
+    "neighbour_arrays": lambda s, d: outline.neighbour_arrays(segments(_docs(s, d))).select(
+        "doc_id", "pos", F.md5(F.array_join("block.segment", "|")).alias("block"), F.array_join("block.pos", ",").alias("places")
+    ),
+    "export_conversations": lambda s, d: outline.export_conversations(table(s, d, "conversations")),
 }
 
 _TERMS = ", ".join(f"('{t}', '{s}')" for t, s in TERMS)
@@ -86,6 +101,7 @@ _TOKENS = """tok AS (SELECT doc_id, i - 1 AS pos, ts[i] AS token, len(ts) AS dl
   SELECT doc_id, ts, unnest(range(1, len(ts) + 1)) AS i FROM (
     SELECT doc_id, regexp_extract_all(lower(strip_accents(text)), '[a-z0-9]+') AS ts FROM documents)))"""
 _VOCABULARY = _TOKENS + """, voc AS (SELECT token, count(DISTINCT doc_id) AS n_texts, count(*) AS n_total FROM tok GROUP BY 1)"""
+_FALLBACK = ", ".join(f"('{x}')" for x in FALLBACK)
 _STARTS = ", ".join(f"('{x}')" for x in STARTS)
 _GRAMS = "list_distinct(list_transform(range(1, length({0}) + 2), lambda i: substr('  ' || {0} || ' ', i, 3)))"
 _ASKED = ", ".join(f"('{q}', '{w}', {len(q.split())})" for q in ASKED for w in q.split())
@@ -197,4 +213,22 @@ ORACLE_SQL = {
         UNION ALL SELECT 'wrong length', count(*) FILTER (length(text) <> n_chars) FROM documents
         UNION ALL SELECT 'repeated id', count(*) FROM (SELECT doc_id FROM documents GROUP BY 1 HAVING count(*) > 1)
         UNION ALL SELECT 'vector without text', count(*) FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM documents)""",
+    "natural_key": """SELECT page_id, array_to_string(list_transform(regexp_extract_all(coalesce(url, ''), '[0-9]+|[^0-9]+'), lambda x:
+        CASE WHEN NOT regexp_matches(x, '^[0-9]') THEN x WHEN length(ltrim(x, '0')) < 20 THEN lpad(ltrim(x, '0'), 20, '0')
+        ELSE ltrim(x, '0') END), '') AS key FROM pages""",
+    "outline_by_header": f"""WITH {_SEGMENTS}, h AS (SELECT doc_id, pos, NOT contains(segment, '.') AS h FROM seg),
+        s AS (SELECT *, greatest(sum(h::INT) OVER (PARTITION BY doc_id ORDER BY pos), 1)::BIGINT AS section FROM h)
+        SELECT doc_id, section, (min(pos) FILTER (h))::INT AS header, min(pos)::INT AS "first", max(pos)::INT AS "last", count(*) AS n FROM s GROUP BY 1, 2""",
+    "whole_word_or_substring": f"""WITH {_SEGMENTS}, a AS (SELECT term, lower(strip_accents(term)) AS needle FROM (VALUES {_FALLBACK}) AS x(term)),
+        f AS (SELECT doc_id, pos, lower(strip_accents(segment)) AS f FROM seg),
+        m AS (SELECT term, doc_id, pos, list_contains(regexp_extract_all(f, '[a-z0-9]+'), needle) AS whole FROM f JOIN a ON contains(f, needle))
+        SELECT term, doc_id, pos::INT AS pos, whole FROM m QUALIFY whole = bool_or(whole) OVER (PARTITION BY term)""",
+    "reserve_slots": f"""{_HITS}, r AS (SELECT term, doc_id, count(*) AS score, coalesce(lang <> 'en', true) AS secondary FROM hits GROUP BY term, scope, doc_id, lang),
+        o AS (SELECT *, row_number() OVER (PARTITION BY term, secondary ORDER BY score DESC, doc_id) AS own FROM r),
+        k AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY term ORDER BY (secondary AND own <= 2) DESC, score DESC, doc_id) <= 10)
+        SELECT term, doc_id, score, secondary, row_number() OVER (PARTITION BY term ORDER BY score DESC, doc_id)::INT AS rank FROM k""",
+    "neighbour_arrays": f"""WITH {_SEGMENTS} SELECT doc_id, pos::INT AS pos, md5(string_agg(segment, '|') OVER w) AS block,
+        string_agg(pos::VARCHAR, ',') OVER w AS places FROM seg WINDOW w AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)""",
+    "export_conversations": """SELECT conv_id, count(*) AS n_turns, to_json({'conv_id': conv_id, 'turns':
+        list({'turn': turn, 'role': role, 'text': text} ORDER BY turn, role, text)})::VARCHAR AS value FROM conversations GROUP BY conv_id""",
 }
