@@ -1,8 +1,9 @@
 """License scans: exact phrases, and notices found through a positional index of their rarest words.
 
 The index holds, for each word of the notice templates, the templates and
-positions it stands at. Of a document's licence words the rarest (by document
-frequency over the whole corpus) are looked up; postings that agree on where the
+positions it stands at. Of each template the rarest words (by document frequency
+over the whole corpus) are looked up: so many that a notice with enough words in
+place has at least ``AGREE`` of these in place. Postings that agree on where the
 notice starts are a candidate, which counts if enough of the notice's words
 stand in place and its mandatory phrases stand in the document near there.
 """
@@ -64,7 +65,7 @@ TEMPLATES = (
     Template("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", ("mozilla public license",)),
     Template("all-rights-reserved", "all rights reserved", ("all rights reserved",)),
 )
-RAREST = 12  # distinct licence words of a document that are looked up
+AGREE = 2  # postings that must agree on where a notice starts
 COVER = 0.6  # share of a notice's words that must stand in place
 SHIFT = 2  # words by which postings may differ on where the notice starts
 
@@ -79,23 +80,24 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class Index:
-    """Postings of the templates' words, and the document frequency of each."""
+    """Postings of each template's rarest words, by the document frequency of all of them."""
 
     def __init__(self, templates: tuple[Template, ...], frequency: dict[str, int], n_docs: int) -> None:
         self.templates = [(t.label, t.text.encode().split(), [b" %s " % m.encode() for m in t.mandatory]) for t in templates]
+        self.vocabulary = frozenset(w for _, words, _ in self.templates for w in words)
+        self.idf = {w: math.log((n_docs + 1) / (frequency.get(w.decode(), 0) + 0.5)) for w in self.vocabulary}
         self.postings: dict[bytes, list[tuple[int, int]]] = {}
         for k, (_, words, _) in enumerate(self.templates):
-            for p, w in enumerate(words):
-                self.postings.setdefault(w, []).append((k, p))
-        self.idf = {w: math.log((n_docs + 1) / (frequency.get(w.decode(), 0) + 0.5)) for w in self.postings}
-        self.vocabulary = frozenset(self.postings)
+            missing = len(words) - next(h for h in range(len(words) + 1) if h >= COVER * len(words))
+            for p in sorted(range(len(words)), key=lambda p: (-self.idf[words[p]], p))[: missing + AGREE]:
+                self.postings.setdefault(words[p], []).append((k, p))
+        self.looked_up = frozenset(self.postings)
 
     def notices(self, words: list[bytes]) -> dict[str, float]:
         """Labels of the notices in a document, with the share of their words in place."""
-        there = self.vocabulary.intersection(words)
-        if len(there) < 2:
+        rare = self.looked_up.intersection(words)
+        if not rare:
             return {}
-        rare = set(sorted(there, key=lambda w: (-self.idf[w], w))[:RAREST])
         starts: dict[int, Counter] = {}
         for i, w in enumerate(words):
             if w in rare:
@@ -104,7 +106,7 @@ class Index:
         found: dict[str, float] = {}
         for k, counts in starts.items():
             label, own, mandatory = self.templates[k]
-            need = max(2, math.ceil(len(rare.intersection(own)) * 0.5)) if len(own) > 2 else 2
+            need = min(AGREE, len(own))
             for start in counts:
                 if sum(counts.get(start + d, 0) for d in range(-SHIFT, SHIFT + 1)) < need:
                     continue
