@@ -5,7 +5,8 @@ text per node times its punctuation per node, each damped; scores are smoothed
 over the paths in page order and fused along the tree, so that a short heading
 shares the score of the container it stands in. The paths of the best container
 above the threshold give the content nodes. Containers that name themselves as
-menus, adverts, comments and the like are never content.
+menus, adverts and the like aren't content unless the page's content lies within;
+those of readers' comments never are.
 """
 
 from __future__ import annotations
@@ -34,32 +35,45 @@ CLOSES_P = frozenset(
     "hr main menu nav ol p pre section table ul".split()
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-#: Words in class, id and role that mark what isn't content.
+#: What reader text calls itself, and what else isn't content: whole words of class, id and role.
+_more = r"(?:[_-]+(?:\d+|list|box|bar|area|section|block|slot|unit|wrap|wrapper|container|form|links|menu|buttons?|posts?|top|bottom|left|right))*"
+READERS = re.compile(rf"(?:comments?|comment-\w+|disqus|replies|respond|shoutbox){_more}", re.I)
 NOT_CONTENT = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|breadcrumbs?|comments?|comment-\w+|cookies?|consent|disqus|footer|header|menu"
-    r"|masthead|modal|nav\w*|newsletter|notices?|popup|promo\w*|related|replies|respond|share|sharing|shoutbox|sidebar|side-bar"
-    r"|social|sponsor\w*|subscribe|toolbar|widget|navigation|complementary|contentinfo|search|dialog|alert)(?:$|[\s_-])",
+    r"(?:(?:site|page|top|bottom|left|right|global|primary|secondary)[_-]+)?(?:ads?|advert\w*|adsense|banner|breadcrumbs?|cookies?"
+    r"|consent|footer|header|menu|masthead|modal|nav|navbar|newsletter|notices?|popup|promos?|promotions?|related|share|sharing"
+    r"|sidebar|side-bar|social|sponsor\w*|subscribe|toolbar|widget|navigation|complementary|contentinfo|search|dialog|alert)" + _more,
     re.I,
 )
 THRESHOLD = 0.1  # of the best path's fused score
 _token = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
-_names = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_hidden = re.compile(r"\bhidden\b|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+_attribute = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_not_shown = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.I)
 _space = re.compile(r"\s+")
 _marks = re.compile(r"[.,;:!?。、，！？…]")
 
 
 class Block:
-    __slots__ = ("path", "text", "apart", "links")
+    __slots__ = ("path", "text", "apart", "links", "named")
 
-    def __init__(self, path: tuple[str, ...], text: str, apart: bool, links: int) -> None:
+    def __init__(self, path: tuple[str, ...], text: str, apart: bool, links: int, named: tuple[tuple[int, bool, bool], ...]) -> None:
         self.path, self.text, self.apart, self.links = path, text, apart, links
+        #: elements around it whose names aren't content: number, whether of readers, whether the article lies within
+        self.named = named
+
+
+def _hidden(attributes: dict[str, str]) -> bool:
+    return (
+        "hidden" in attributes
+        or attributes.get("aria-hidden", "").strip().lower() == "true"
+        or bool(_not_shown.search(attributes.get("style", "")))
+    )
 
 
 def blocks(page: str) -> list[Block]:
     """The page's blocks of text in page order: path of block elements, text with single spaces, whether set apart."""
     out: list[Block] = []
-    stack: list[tuple[str, bool]] = []  # tag, set apart
+    stack: list[tuple[str, bool, int, bool]] = []  # tag, set apart, number if named as no content, named as of readers
+    number = 0
     held: list[str] = []
     links = 0
     raw_end = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW}
@@ -69,8 +83,10 @@ def blocks(page: str) -> list[Block]:
         if held:
             text = _space.sub(" ", html.unescape("".join(held))).strip()
             if text:
-                path = tuple(t for t, _ in stack if t not in INLINE)
-                out.append(Block(path, text, any(a for _, a in stack), links))
+                path = tuple(e[0] for e in stack if e[0] not in INLINE)
+                last = max((k for k, e in enumerate(stack) if e[0] in ("article", "main") and not e[2]), default=-1)
+                named = tuple((e[2], e[3], k < last) for k, e in enumerate(stack) if e[2])
+                out.append(Block(path, text, any(e[1] for e in stack), links, named))
             held, links = [], 0
 
     at, size = 0, len(page)
@@ -81,16 +97,16 @@ def blocks(page: str) -> list[Block]:
         if name is None:
             if not m[0].startswith("<") or m[0] == "<":
                 held.append(m[0])
-                if any(t == "a" for t, _ in stack):
+                if any(e[0] == "a" for e in stack):
                     links += len(m[0])
             continue
         name = name.lower()
         if m[1]:
-            if name == "p" and not any(t == "p" for t, _ in stack):
+            if name == "p" and not any(e[0] == "p" for e in stack):
                 flush()
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
-                    if any(t not in INLINE for t, _ in stack[k:]):
+                    if any(e[0] not in INLINE for e in stack[k:]):
                         if name in INLINE:
                             # an inline end tag closes no block
                             del stack[k]
@@ -126,14 +142,18 @@ def blocks(page: str) -> list[Block]:
                         break
         if name in VOID or m[3].rstrip().endswith("/") and name in ("svg", "path"):
             continue
-        names = " ".join(a or b or c for a, b, c in _names.findall(m[3])) if m[3] else ""
-        inside = any(t in ("article", "main") for t, _ in stack)
-        apart = name in APART and not (name == "header" and inside)
-        if names and name not in ("html", "body", "article", "main") or names and "comment" in names.lower():
-            apart = apart or bool(NOT_CONTENT.search(names))
+        inside = any(e[0] in ("article", "main") for e in stack)
+        apart, named, readers = name in APART and not (name == "header" and inside), False, False
         if m[3] and name not in ("html", "body"):
-            apart = apart or bool(_hidden.search(m[3]))
-        stack.append((name, apart))
+            attributes: dict[str, str] = {}
+            for key, *values in _attribute.findall(m[3]):
+                attributes.setdefault(key.lower(), "".join(values))
+            apart = apart or _hidden(attributes)
+            tokens = [x for key in ("class", "id", "role") for x in attributes.get(key, "").split()]
+            readers = any(map(READERS.fullmatch, tokens))
+            named = readers or name not in ("article", "main") and any(map(NOT_CONTENT.fullmatch, tokens))
+        number += named
+        stack.append((name, apart, number if named else 0, readers))
     flush()
     return out
 
@@ -155,9 +175,35 @@ def _scores(found: list[Block]) -> dict[tuple[str, ...], float]:
     return {p: max(s, r) for p, s, r in zip(paths, smooth, raw)}
 
 
+def _without_named(found: list[Block]) -> list[Block]:
+    """The blocks outside elements named as no content; such a name doesn't count where the page's content lies within.
+
+    That is where its article or main element does, or else most of the path
+    with the highest score. What is named as of readers stays apart.
+    """
+    found = [b for b in found if not any(readers for _, readers, _ in b.named)]
+    free = [b for b in found if not b.named]
+    size = lambda rows: sum(len(b.text) for b in rows)
+    within = [b for b in found if any(holds for _, _, holds in b.named)]
+    in_main = [b for b in free if "main" in b.path]
+    opened: set[int] = set()
+    if any("article" in b.path for b in free):
+        pass
+    elif within and size(within) > size(in_main):
+        opened = {n for b in within for n, _, holds in b.named if holds}
+    elif found and not in_main:
+        scores = _scores(found)
+        best = max(scores, key=scores.__getitem__)
+        rows = [b for b in found if b.path == best]
+        held = [b for b in rows if b.named]
+        if 2 * size(held) > size(rows):
+            opened = {n for b in held for n, _, _ in b.named}
+    return [b for b in found if all(n in opened for n, _, _ in b.named)]
+
+
 def main_blocks(page: str) -> list[str]:
     """Texts of the content blocks of a page, in page order."""
-    found = [b for b in blocks(page) if not b.apart]
+    found = _without_named([b for b in blocks(page) if not b.apart])
     if not found:
         return []
     scores = _scores(found)
