@@ -32,3 +32,11 @@ def test_wrapper_keeps_its_article(attribute, inner):
 def test_what_is_hidden_or_named_stays_apart(attribute):
     page = f"<body><article><p>{LONG}</p><div {attribute}><p>{LONG}</p></div></article></body>"
     assert extract_text(page) == TEXT
+
+
+def test_threshold_drops_boilerplate_without_telling_names():
+    page = (
+        f"<body><article><h1>Head</h1><p>{LONG}<p>Short one.<ul><li>point<li>other</ul><div><span>Read more</span></div><p>{LONG}"
+        f"<div><div>Shop now</div></div><blockquote>{LONG}</blockquote><section>12 min</section></article></body>"
+    )
+    assert extract_text(page).split("\n\n") == ["Head", TEXT, "Short one.", "point", "other", TEXT, TEXT]

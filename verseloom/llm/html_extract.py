@@ -2,9 +2,10 @@
 
 Text nodes are grouped by their root-to-leaf tag path. A path's score is its
 text per node times its punctuation per node, each damped; scores are smoothed
-over the paths in page order and fused along the tree, so that a short heading
-shares the score of the container it stands in. The paths of the best container
-above the threshold give the content nodes. Containers that name themselves as
+over the paths in page order and fused along the tree to find the best container.
+Its paths above the threshold give the content nodes: text elements by their
+smoothed score, so that a short list shares that of the paragraphs around it,
+others by their own. Headings in the container always stay. Containers that name themselves as
 menus, adverts and the like aren't content unless the page's content lies within;
 those of readers' comments never are.
 """
@@ -35,6 +36,7 @@ CLOSES_P = frozenset(
     "hr main menu nav ol p pre section table ul".split()
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+TEXTUAL = frozenset("p li dd dt td th caption pre blockquote figcaption".split())
 #: What reader text calls itself, and what else isn't content: whole words of class, id and role.
 _more = r"(?:[_-]+(?:\d+|list|box|bar|area|section|block|slot|unit|wrap|wrapper|container|form|links|menu|buttons?|posts?|top|bottom|left|right))*"
 READERS = re.compile(rf"(?:comments?|comment-\w+|disqus|replies|respond|shoutbox){_more}", re.I)
@@ -44,7 +46,7 @@ NOT_CONTENT = re.compile(
     r"|sidebar|side-bar|social|sponsor\w*|subscribe|toolbar|widget|navigation|complementary|contentinfo|search|dialog|alert)" + _more,
     re.I,
 )
-THRESHOLD = 0.1  # of the best path's fused score
+THRESHOLD = 0.1  # of the best path's score in the container
 _token = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
 _attribute = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _not_shown = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.I)
@@ -158,8 +160,8 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
-def _scores(found: list[Block]) -> dict[tuple[str, ...], float]:
-    """Smoothed score of each tag path, in order of first place."""
+def _scores(found: list[Block]) -> dict[tuple[str, ...], tuple[float, float]]:
+    """Smoothed and own score of each tag path, in order of first place."""
     paths: dict[tuple[str, ...], list[float]] = {}
     for b in found:
         row = paths.setdefault(b.path, [0.0, 0.0, 0.0, 0.0])
@@ -172,7 +174,7 @@ def _scores(found: list[Block]) -> dict[tuple[str, ...], float]:
         / sum(w for d, w in ((-1, 0.25), (0, 0.5), (1, 0.25)) if 0 <= k + d < len(raw))
         for k in range(len(raw))
     ]
-    return {p: max(s, r) for p, s, r in zip(paths, smooth, raw)}
+    return {p: (max(s, r), r) for p, s, r in zip(paths, smooth, raw)}
 
 
 def _without_named(found: list[Block]) -> list[Block]:
@@ -209,7 +211,7 @@ def main_blocks(page: str) -> list[str]:
     scores = _scores(found)
     # fuse: the text of a path counts for every container above it, less the further above
     weight: dict[tuple[str, ...], float] = {}
-    for path, score in scores.items():
+    for path, (score, _) in scores.items():
         for up in range(len(path) + 1):
             container = path[: len(path) - up]
             weight[container] = weight.get(container, 0.0) + score * 0.7**up
@@ -220,11 +222,11 @@ def main_blocks(page: str) -> list[str]:
     else:
         best = max((c for c in weight if not c or c[-1] not in HEADINGS | {"p"}), key=lambda c: (weight[c], len(c)))
     inside = {p: s for p, s in scores.items() if p[: len(best)] == best}
-    # fuse again: a path in the container has a share of the container's best, so that short blocks stay
-    top = max(inside.values())
-    fused = {p: (s + top) / 2 for p, s in inside.items()}
-    limit = THRESHOLD * max(fused.values())
-    return [b.text for b in found if fused.get(b.path, -1.0) >= limit and b.links < len(b.text) * (1 if inner else 0.5) + 1]
+    limit = THRESHOLD * max(smooth for smooth, _ in inside.values())
+    content = {
+        p for p, (smooth, own) in inside.items() if p[-1:] and p[-1] in HEADINGS or (smooth if p[-1:] and p[-1] in TEXTUAL else own) >= limit
+    }
+    return [b.text for b in found if b.path in content and b.links < len(b.text) * (1 if inner else 0.5) + 1]
 
 
 def extract_text(page: str | None) -> str:
