@@ -40,3 +40,19 @@ def test_threshold_drops_boilerplate_without_telling_names():
         f"<div><div>Shop now</div></div><blockquote>{LONG}</blockquote><section>12 min</section></article></body>"
     )
     assert extract_text(page).split("\n\n") == ["Head", TEXT, "Short one.", "point", "other", TEXT, TEXT]
+
+
+LINKED = "<a href=x>Q&amp;A &lt;about&gt; this</a>"
+
+
+def test_linked_blocks_stay():
+    page = (
+        f"<body><article><h1>{LINKED}</h1><p>{LONG}<p>{LINKED}<p><a href=y>\n      indented\n      link\n   </a></p>"
+        f"<ol><li><a href=z>Reference &amp; more</a></ol></article></body>"
+    )
+    assert extract_text(page).split("\n\n") == ["Q&A <about> this", TEXT, "Q&A <about> this", "indented link", "Reference & more"]
+
+
+def test_links_without_article():
+    page = f"<body><ul><li><a href=/>Home</a><li><a href=/b>More</a></ul><h2>{LINKED}</h2><p>{LONG}<p>{LINKED}<p>{LONG}</body>"
+    assert extract_text(page).split("\n\n") == ["Q&A <about> this", TEXT, "Q&A <about> this", TEXT]

@@ -15,7 +15,10 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -71,25 +74,30 @@ def _hidden(attributes: dict[str, str]) -> bool:
     )
 
 
+def _fold(text: str) -> str:
+    return _space.sub(" ", html.unescape(text)).strip()
+
+
 def blocks(page: str) -> list[Block]:
     """The page's blocks of text in page order: path of block elements, text with single spaces, whether set apart."""
     out: list[Block] = []
     stack: list[tuple[str, bool, int, bool]] = []  # tag, set apart, number if named as no content, named as of readers
     number = 0
     held: list[str] = []
-    links = 0
+    linked: list[bool] = []  # whether each of these stands in a link
     raw_end = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW}
 
     def flush() -> None:
-        nonlocal held, links
+        nonlocal held, linked
         if held:
-            text = _space.sub(" ", html.unescape("".join(held))).strip()
+            text = _fold("".join(held))
             if text:
                 path = tuple(e[0] for e in stack if e[0] not in INLINE)
                 last = max((k for k, e in enumerate(stack) if e[0] in ("article", "main") and not e[2]), default=-1)
                 named = tuple((e[2], e[3], k < last) for k, e in enumerate(stack) if e[2])
-                out.append(Block(path, text, any(e[1] for e in stack), links, named))
-            held, links = [], 0
+                links = sum(len(_fold("".join(t for t, _ in run))) for a, run in groupby(zip(held, linked), itemgetter(1)) if a)
+                out.append(Block(path, text, any(e[1] for e in stack), min(links, len(text)), named))
+            held, linked = [], []
 
     at, size = 0, len(page)
     while at < size:
@@ -99,8 +107,7 @@ def blocks(page: str) -> list[Block]:
         if name is None:
             if not m[0].startswith("<") or m[0] == "<":
                 held.append(m[0])
-                if any(e[0] == "a" for e in stack):
-                    links += len(m[0])
+                linked.append(any(e[0] == "a" for e in stack))
             continue
         name = name.lower()
         if m[1]:
@@ -124,6 +131,7 @@ def blocks(page: str) -> list[Block]:
             continue
         if name == "br":
             held.append(" ")
+            linked.append(linked[-1] if linked else False)
             continue
         if name not in INLINE:
             flush()
@@ -165,7 +173,7 @@ def _scores(found: list[Block]) -> dict[tuple[str, ...], tuple[float, float]]:
     paths: dict[tuple[str, ...], list[float]] = {}
     for b in found:
         row = paths.setdefault(b.path, [0.0, 0.0, 0.0, 0.0])
-        row[0] += len(b.text) - min(len(b.text), b.links)
+        row[0] += len(b.text) - b.links
         row[1] += len(_marks.findall(b.text))
         row[2] += 1
     raw = [math.log1p(t / n) * (1 + math.log1p(p / n)) * math.log1p(t) for t, p, n, _ in paths.values()]
@@ -226,7 +234,14 @@ def main_blocks(page: str) -> list[str]:
     content = {
         p for p, (smooth, own) in inside.items() if p[-1:] and p[-1] in HEADINGS or (smooth if p[-1:] and p[-1] in TEXTUAL else own) >= limit
     }
-    return [b.text for b in found if b.path in content and b.links < len(b.text) * (1 if inner else 0.5) + 1]
+    if not inner:
+        # without an article a path that is half link or more is a menu
+        chars, links = Counter(), Counter()
+        for b in found:
+            chars[b.path] += len(b.text)
+            links[b.path] += b.links
+        content = {p for p in content if p[-1:] and p[-1] in HEADINGS or 2 * links[p] < chars[p]}
+    return [b.text for b in found if b.path in content]
 
 
 def extract_text(page: str | None) -> str:
