@@ -26,6 +26,7 @@ from verseloom.llm.quality_rules import STOP_WORDS
 FIT_ROWS = 6_000  # documents that the scorer is fitted on, by smallest hash of their id
 BUCKETS = 1 << 14
 THRESHOLD = 0.5
+WINDOW, RUN = 400, 5  # words that distinct ones are counted in; words of a run that a repeated passage repeats
 SHORT = 40  # words below which a document is short
 ABSTAIN, BAD, GOOD = 0, 1, 2
 LABELLERS = ("symbols", "stop words", "capitals", "separators", "distinct words", "word length", "sentence ends", "repeats")
@@ -40,7 +41,13 @@ def _vote(value: float, good: tuple[float, float], bad_below: float, bad_above:
 
 
 def _distinct(words: list[str]) -> float:
-    return min(1.0, len(set(words)) / max(1, min(len(words), 400)))
+    """Share of distinct words, in a long text averaged over windows, times the share of its runs of words that are new."""
+    n = len(words)
+    if n <= WINDOW:
+        return len(set(words)) / max(1, n)
+    windows = [words[min(k, n - WINDOW) :][:WINDOW] for k in range(0, n, WINDOW)]
+    runs = set(zip(*(words[k:] for k in range(RUN))))
+    return sum(len(set(w)) for w in windows) / (WINDOW * len(windows)) * len(runs) / (n - RUN + 1)
 
 
 def _repeats(words: list[str]) -> float:
