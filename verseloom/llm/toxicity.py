@@ -20,14 +20,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verseloom.llm.common import Memo
+from verseloom.llm.common import Memo, checkpointed
 
+# Bounds on the labelled rows that a fit uses; scoring has none.
 FIT_ROWS = 10_000  # labelled documents of each class that the model is fitted on, by smallest hash of their id
 WINDOW_ROWS = 1_000  # of these, documents of each class whose windows fit the weights
-MAX_FEATURES = 5_000
+MAX_FEATURES = 5_000  # those of most toxic documents
 MIN_COUNT = 5  # toxic documents that hold a feature
 MIN_RATIO = 40.0  # how many times as frequent it is among toxic ones
-WINDOW = 24
+WINDOW = 24  # words around the first word with a feature that a document gives to the fit
 SPAN_AT = 0.5
 
 _word = re.compile(r"[^\W\d_]+")
@@ -174,8 +175,11 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     """A model of ``labels.toxic`` from at most ``fit_rows`` labelled documents of each class.
 
     A document whose label rows differ counts as toxic. Rows without id, text or
-    label are not used. To the driver come at most ``MAX_FEATURES`` features and
-    the windows of twice ``WINDOW_ROWS`` documents.
+    label are not used, nor other columns; a repeated row counts as often as it
+    stands; ties of the hash go by id. Empty tables, and labels of one class
+    alone, give a model without features, which scores 0. To the driver come at
+    most ``MAX_FEATURES`` features, chosen by Spark, and the windows of twice
+    ``WINDOW_ROWS`` documents.
     """
     gold = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = F.xxhash64("doc_id"), F.col("doc_id")
@@ -190,20 +194,25 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
             for text, toxic in zip(frame["text"], frame["toxic"]):
                 docs_seen[int(toxic)] += 1
                 seen[int(toxic)].update({f for w in set(_word.findall(text)) for f in token_features(w)})
-        names = list(seen[1])  # others have no use
-        yield pd.DataFrame({"f": names, "t": [seen[1][f] for f in names], "c": [0] * len(names)})
-        names = list(seen[0])
-        yield pd.DataFrame({"f": names, "t": [0] * len(names), "c": [seen[0][f] for f in names]})
-        yield pd.DataFrame({"f": [""], "t": [docs_seen[1]], "c": [docs_seen[0]]})
+        kinds = {"f": "object", "t": "int64", "c": "int64"}  # a task without rows has no values to tell them by
+        for toxic, column in ((1, "t"), (0, "c")):
+            names = list(seen[toxic])
+            for k in range(0, len(names), 50_000):
+                part = names[k : k + 50_000]
+                got = pd.DataFrame({"f": part, "t": 0, "c": 0}).astype(kinds)
+                got[column] = [seen[toxic][f] for f in part]
+                yield got
+        if docs_seen:
+            yield pd.DataFrame({"f": [""], "t": [docs_seen[1]], "c": [docs_seen[0]]}).astype(kinds)
 
     counts = rows.mapInPandas(count, "f string, t long, c long").groupBy("f").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
-    counts = counts.where(F.col("t") >= MIN_COUNT).where((F.col("f") == "") | (F.col("t") > F.col("c") / 4))
-    counts = counts.orderBy(F.col("f") != "", F.desc("t"), "f").limit(4 * MAX_FEATURES + 1).collect()
-    if not counts or counts[0]["f"]:
+    counts = checkpointed(counts.where((F.col("t") >= MIN_COUNT) | (F.col("f") == "")))
+    totals = counts.where("f = ''").first()
+    if totals is None or not totals["t"]:
         return Model()
-    n_toxic, n_clean = counts[0]["t"], max(1, counts[0]["c"])
-    ratio = lambda r: (r["t"] / n_toxic) / ((r["c"] + 0.5) / n_clean)
-    names = [r["f"] for r in counts[1:] if ratio(r) >= MIN_RATIO][:MAX_FEATURES]
+    n_toxic, n_clean = totals["t"], max(1, totals["c"])
+    frequent = (F.col("f") != "") & (F.col("t") / n_toxic >= MIN_RATIO * (F.col("c") + 0.5) / n_clean)
+    names = [r["f"] for r in counts.where(frequent).orderBy(F.desc("t"), "f").limit(MAX_FEATURES).select("f").collect()]
     if not names:
         return Model()
     number = {f: k for k, f in enumerate(names)}
@@ -217,7 +226,9 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
                 at = next((k for k, m in enumerate(marked) if m), len(words) // 2)
                 low = max(0, at - WINDOW // 2)
                 got.append((int(toxic), marked[low : low + WINDOW]))
-            yield pd.DataFrame([x for x in got if x[1]], columns=["toxic", "marked"])
+            got = [x for x in got if x[1]]
+            if got:
+                yield pd.DataFrame(got, columns=["toxic", "marked"])
 
     few = [c.limit(WINDOW_ROWS) for c in chosen]
     sample = texts.join(F.broadcast(few[0].union(few[1])), "doc_id").select("text", "toxic")
@@ -263,4 +274,4 @@ def op6_toxicity(spark, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = fit(docs, labels.where(~held_out("doc_id")))
     scored = score(docs, model)
-    return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")
+    return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted", "spans")
