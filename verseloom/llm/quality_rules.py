@@ -48,20 +48,21 @@ def _ratio(a: str, b: str) -> Column:
     return F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(F.lit(0.0))
 
 
-def _repeat_words(df: DataFrame) -> DataFrame:
+def _repeat_words(df: DataFrame, hash_bits: int = 64) -> DataFrame:
     """Add ``n_repeat_words``: words inside 3-word windows that the text holds twice or more.
 
     A window becomes one long: the upper bits of its 64-bit hash above its
     position, so a sort of plain longs puts equal windows side by side. Position
-    bits are as many as the text needs; with n words two different windows are
-    taken for equal with a chance of n / 2**64 or so.
+    bits are as many as the text needs. Windows of equal bits are then compared
+    by their words; a text in which two differ sorts the words themselves.
     """
     df = df.withColumn("__h", F.transform("__w", lambda w: F.xxhash64(w)))
     df = df.withColumn("__b", F.length(F.bin(F.col("n_words"))))
     df = df.withColumn("__mask", F.expr("shiftleft(1L, __b) - 1"))
-    df = df.withColumn("__high", F.bitwise_not("__mask"))
+    df = df.withColumn("__high", F.bitwise_not("__mask").bitwiseAND(F.lit(-1 << (64 - hash_bits))))
+    places = F.sequence(F.lit(0), F.greatest(F.col("n_words").cast("int") - 3, F.lit(0)))
     window = F.transform(
-        F.sequence(F.lit(0), F.greatest(F.col("n_words").cast("int") - 3, F.lit(0))),
+        places,
         lambda i: F.xxhash64(F.get("__h", i), F.get("__h", i + 1), F.get("__h", i + 2))
         .bitwiseAND(F.col("__high"))
         .bitwiseOR(i),
@@ -72,21 +73,39 @@ def _repeat_words(df: DataFrame) -> DataFrame:
     def equal(x: Column, y: Column) -> Column:
         return x.bitwiseXOR(y).bitwiseAND(F.col("__high")) == 0
 
+    def words(x: Column) -> Column:
+        return F.slice("__w", (x.bitwiseAND(F.col("__mask")) + 1).cast("int"), F.lit(3))
+
     df = df.withColumn("__some", F.size(F.filter("__s", lambda x, k: equal(x, F.get("__s", k + 1)))) > 0)
-    at = F.transform(
-        "__s",
-        lambda x, k: F.when(
-            F.coalesce(equal(x, F.get("__s", k - 1)), F.lit(False)) | F.coalesce(equal(x, F.get("__s", k + 1)), F.lit(False)),
-            x.bitwiseAND(F.col("__mask")),
-        ).otherwise(F.lit(-1)),
+    differ = F.filter("__s", lambda x, k: equal(x, F.get("__s", k + 1)) & (words(x) != words(F.get("__s", k + 1))))
+    df = df.withColumn("__clash", F.when(F.col("__some"), F.size(differ) > 0).otherwise(F.lit(False)))
+
+    def again(rows: str, same, place) -> Column:
+        """Places of the rows of a sorted array that equal the row before or behind."""
+        at = F.transform(
+            rows,
+            lambda x, k: F.when(
+                F.coalesce(same(x, F.get(rows, k - 1)), F.lit(False)) | F.coalesce(same(x, F.get(rows, k + 1)), F.lit(False)),
+                place(x),
+            ).otherwise(F.lit(-1)),
+        )
+        return F.sort_array(F.filter(at, lambda x: x >= 0))
+
+    spelt = F.transform(places, lambda i: F.struct(F.slice("__w", i + 1, F.lit(3)).alias("t"), i.cast("long").alias("p")))
+    df = df.withColumn("__z", F.when(F.col("__clash"), F.sort_array(spelt)))
+    df = df.withColumn(
+        "__p",
+        F.when(F.col("__clash"), again("__z", lambda x, y: x["t"] == y["t"], lambda x: x["p"]))
+        .when(F.col("__some"), again("__s", equal, lambda x: x.bitwiseAND(F.col("__mask"))))
+        .otherwise(none),
     )
-    df = df.withColumn("__p", F.when(F.col("__some"), F.sort_array(F.filter(at, lambda x: x >= 0))).otherwise(none))
     gaps = F.transform("__p", lambda x, k: F.least(F.lit(3), F.coalesce(F.get("__p", k + 1) - x, F.lit(3))))
     total = F.aggregate(gaps, F.lit(0).cast("long"), lambda a, x: a + x)
-    return df.withColumn("n_repeat_words", total).drop("__h", "__b", "__mask", "__high", "__s", "__some", "__p")
+    made = ("__h", "__b", "__mask", "__high", "__s", "__some", "__clash", "__z", "__p")
+    return df.withColumn("n_repeat_words", total).drop(*made)
 
 
-def measure(docs: DataFrame) -> DataFrame:
+def measure(docs: DataFrame, hash_bits: int = 64) -> DataFrame:
     """``doc_id`` and the metrics of ``RULES`` for each row; a null text has no words or lines."""
     text = F.coalesce(F.col("text"), F.lit(""))
     df = docs.select("doc_id", text.alias("__t"), word_array(F.col("text")).alias("__w"))
@@ -103,7 +122,7 @@ def measure(docs: DataFrame) -> DataFrame:
         (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long").alias("n_dup_lines"),
         F.size(stop).cast("long").alias("n_stop_words"),
     )
-    return _repeat_words(df).drop("__w")
+    return _repeat_words(df, hash_bits).drop("__w")
 
 
 def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -139,7 +158,11 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 
 def filter_documents(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The rows of ``docs`` that ``judge`` keeps, with their own columns whatever the names; no join."""
+    """The rows of ``docs`` that ``judge`` keeps, with their own columns whatever the names; no join.
+
+    Null, empty and blank texts fail the base rule and go; a repeated row stays as
+    often as it stands; an empty table stays empty.
+    """
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc_id")
     judged = judge(docs.select(whole, F.col("text")), rules)
     # a column that no filter is pushed below: else the condition is expanded into all that it is made of
