@@ -233,10 +233,14 @@ def classify(docs: DataFrame, fit_rows: int = FIT_ROWS, threshold: float = THRES
 
 
 def filter_documents(docs: DataFrame, fit_rows: int = FIT_ROWS, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that the classifier keeps, with all their columns."""
+    """The rows of ``docs`` that the classifier keeps, with all their columns, whatever the names.
+
+    Null, empty and blank texts are scored like others; a repeated row stays as
+    often as it stands, with one score; an empty table stays empty.
+    """
     weights = fit(docs, fit_rows)
-    marked = docs.withColumn("__score", score_column(F.col("text"), weights))
-    return marked.where(F.col("__score") >= threshold).select([F.col(f"`{c}`") for c in docs.columns])
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return whole.where(score_column(F.col("row.text"), weights) >= threshold).select("row.*")
 
 
 def op4_quality_classifier(spark, sf_dir: str) -> DataFrame:
