@@ -126,8 +126,9 @@ def test_packing_ids_equal_library(texts):
     from tokenizers import Tokenizer
 
     library, known = Tokenizer.from_file(WORDS), packing.encoder(WORDS)
-    for t in texts:
-        assert np.frombuffer(known.encode(t), "<u4").tolist() == library.encode(t or "", add_special_tokens=False).ids
+    more = ["don't we'll 'sx a's…¼²ª", "ß\xa0x\x85y z", "a" * 5000, "..,, x.,y A.B. ,", "\t\ttab\tx\r\n", "ǅabc ŉ K."]
+    for t, ids in zip(texts + more, known.encode(texts + more), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode(t or "", add_special_tokens=False).ids
 
 
 def test_byte_bpe_equals_library(texts):

@@ -10,76 +10,107 @@ sequences of thousands, and no group grows with the input.
 
 from __future__ import annotations
 
-import bisect
+import json
+import os
 import re
 import sys
 import unicodedata
-from array import array
 from collections.abc import Iterator
 from zlib import crc32
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verseloom.llm.common import Memo, checkpointed, serving
+from verseloom.llm.token_counts import byte_letters
 
 SEQUENCE = 4096
 END = 1  # the id after each document
 MAX_DOCS = 4096  # of a sequence; as many as it can hold tokens: no limit unless set lower
 MAX_ATTENTION = SEQUENCE * SEQUENCE  # sum of squared lengths; likewise
-WEIGHTS = (1.0, 0.0, 0.0)  # of tokens, documents and attention cost in the choice
+WEIGHTS = (1.0, 0.1, 0.02)  # of tokens, documents and attention cost in the choice
 GROUP = 20_000
 KEPT = 400_000  # strings whose ids a worker keeps
 SLICE = 500  # texts of an Arrow batch that are Python strings at a time
 
 
 class Encoder:
-    """Ids of texts as bytes, by a tokenizer that never joins what a space or line feed separates."""
+    """Ids of texts as bytes, by a BPE tokenizer that never joins what a space or line feed separates.
 
-    def __init__(self, path: str, kept: int = KEPT) -> None:
-        import os
+    The texts of a slice are cut at spaces, and each new string is encoded once
+    while it is kept. Strings of Latin letters, digits and signs are cut into
+    words here and these merged by the library in one call a slice; others go
+    through the whole tokenizer one by one.
+    """
 
+    def __init__(self, path: str, kept: int = KEPT) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark shares out the work
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.strings = Memo(self._string, kept, owner="packing")
-
-    def _bytes(self, ids: list[int]) -> bytes:
-        return array("I", ids).tobytes() if sys.byteorder == "little" else np.array(ids, dtype="<u4").tobytes()
-
-    def _string(self, text: str) -> bytes:
-        base = _base(text)
-        if base != text:
-            return self.strings[base] + self.strings[text[-1]]
-        return self._bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
-
-    def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if not _ODD.search(text) and unicodedata.is_normalized("NFC", text):
-            text = text.lower()  # as the tokenizer will; equal strings then meet more often
-        parts = text.replace("\n", " ").split(" ")
-        known = self.strings
-        new = list({b for t in set(parts) if not known.holds(t) and not known.holds(b := _base(t))})
-        if len(new) > 1:  # in one call
-            for t, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                known.put(t, self._bytes(e.ids))
-        return b"".join(map(known.__getitem__, parts))
-
-
-#: Where lower case depends on the neighbours or isn't composed, and where a special token may be.
-_ODD = re.compile("[\u03a3\u0130]|<\\|")
-
-
-def _base(text: str) -> str:
-    """The string without one mark behind a letter: the tokenizer always cuts there."""
-    return text[:-1] if text[-1:] in _MARKS and text[-2:-1].isalpha() and text[-2] != "\u0130" else text
-
-
+        self.merger = Tokenizer(self.tokenizer.model)
+        self.merger.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        end = spec["model"]["end_of_word_suffix"]
+        self.last = np.zeros(max(spec["model"]["vocab"].values()) + 1, dtype=bool)  # whether an id ends a word
+        self.last[[i for t, i in spec["model"]["vocab"].items() if t.endswith(end)]] = True
+        self.pattern = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        self.letters = byte_letters()
+        self.strings = Memo(self._library, kept, owner="packing")
+        self.others = Memo(self._library, kept // 8, owner="packing")
+
+    def _library(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def _merge(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of each of some words, as the pattern cuts them."""
+        lettered = [w if w.isascii() else "".join([self.letters[b] for b in w.encode()]) for w in words]
+        ids = np.array(self.merger.encode(" ".join(lettered), add_special_tokens=False).ids, dtype="<u4")
+        ends = (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()
+        data = ids.tobytes()
+        return {w: data[i:j] for w, i, j in zip(words, [0, *ends[:-1]], ends, strict=True)}
+
+    def _learn(self, new: set[str]) -> None:
+        """Keep the ids of lower-case strings."""
+        marked = [t for t in new if t[-1:] in _MARKS and t[-2:-1].isalpha()]  # the tokenizer always cuts there
+        new = new.difference(marked)
+        new.update(x for t in marked for x in (t[:-1], t[-1]) if not self.strings.holds(x))
+        cut = {t: [t] if t.isalpha() else self.pattern.findall(t) for t in new if _PLAIN.fullmatch(t)}
+        ids = self._merge(list({w for words in cut.values() for w in words})) if cut else {}
+        for text, words in cut.items():
+            self.strings.put(text, ids[words[0]] if len(words) == 1 else b"".join(map(ids.__getitem__, words)))
+        for text in new.difference(cut):
+            self.strings.put(text, self._library(text))
+        for text in marked:
+            self.strings.put(text, self.strings[text[:-1]] + self.strings[text[-1]])
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        plain, new = [], set()
+        for text in texts:
+            text, usual = text or "", True
+            if "<|" in text or not text.isascii() and (_ODD.search(text) or not unicodedata.is_normalized("NFC", text)):
+                usual = False
+            else:
+                text = text.lower()  # as the tokenizer will; equal strings then meet more often
+            parts = text.replace("\n", " ").split(" ")
+            if usual:
+                new.update(parts)
+            plain.append((parts, self.strings if usual else self.others))
+        known, old = self.strings, self.strings.old
+        if new := {t for t in new if t not in known and t not in old}:
+            self._learn(new)
+        return [b"".join(map(known.__getitem__, parts)) for parts, known in plain]
+
+
+#: Where lower case depends on the neighbours or isn't composed.
+_ODD = re.compile("[\u03a3\u0130]")
+#: Signs, digits and Latin letters, whose kinds no version of Unicode changes.
+_PLAIN = re.compile("[!-~\u00a1-\u024f]+")
 _MARKS = frozenset(".,;:!?")
 
 
@@ -104,8 +135,8 @@ def pieces(docs: DataFrame, path: str, sequence: int = SEQUENCE, kept: int = KEP
         for batch in batches:
             texts, rows = batch.column("text"), []
             for low in range(0, len(texts), SLICE):
-                for k, text in enumerate(texts.slice(low, SLICE).to_pylist(), low):
-                    ids = known.encode(text) + end
+                for k, ids in enumerate(known.encode(texts.slice(low, SLICE).to_pylist()), low):
+                    ids += end
                     for p, at in enumerate(range(0, len(ids), 4 * sequence)):
                         part = ids[at : at + 4 * sequence]
                         rows.append((k, p, at // 4, len(part) // 4, crc32(part)))
@@ -129,50 +160,38 @@ def best_fit(
 ) -> tuple[list[int], list[int]]:
     """Bin and offset of each length, the longest first.
 
-    Bins of equal room are one class, so a choice goes over classes, not bins.
-    ``by`` is "norm" (smallest weighted norm of the room left after) or "dot"
-    (largest weighted dot product of the piece and the room before). Where only
-    tokens have a weight, "norm" is the tightest class that holds the piece,
-    found by bisection.
+    A piece is compared with the rooms of all open bins at once. ``by`` is "norm"
+    (smallest weighted norm of the room left after) or "dot" (largest weighted
+    dot product of the piece and the room before), both in shares of the
+    capacities; ties go to the oldest bin. A bin without room for a token or a
+    document is closed.
     """
     order = sorted(range(len(lengths)), key=lambda k: -lengths[k])
     bins, offsets = [0] * len(lengths), [0] * len(lengths)
-    classes: dict[tuple[int, int, int], list[int]] = {}
-    rooms: list[tuple[int, int, int]] = []  # keys of classes, sorted
-    n = 0
-    scale = (1 / sequence, 1 / max_docs, 1 / max_attention)
-    simple = by == "norm" and weights[1] == weights[2] == 0
+    whole = np.array([[sequence], [max_docs], [max_attention]], dtype=np.float64)
+    weight = np.array(weights, dtype=np.float64)[:, None]
+    room, home, n, used = np.zeros((3, 1024)), np.zeros(1024, dtype=np.int64), 0, 0
     for k in order:
-        size = (lengths[k], 1, min(lengths[k] ** 2, max_attention))
-        best, best_value = None, None
-        for at in range(bisect.bisect_left(rooms, size), len(rooms)):
-            room = rooms[at]
-            if room[1] < size[1] or room[2] < size[2]:
-                continue
-            if simple:
-                best = room
-                break
+        size = np.array([[lengths[k]], [1], [min(lengths[k] ** 2, max_attention)]], dtype=np.float64)
+        left = room[:, :used] - size
+        fits = np.flatnonzero((left >= 0).all(axis=0))
+        if len(fits):
             if by == "norm":
-                value = -sum(w * ((r - s) * c) ** 2 for w, r, s, c in zip(weights, room, size, scale))
+                share = left[:, fits] / whole
+                at = int(fits[np.argmin((weight * share * share).sum(axis=0))])
             else:
-                value = sum(w * r * s * c * c for w, r, s, c in zip(weights, room, size, scale))
-            if best is None or value > best_value:
-                best, best_value = room, value
-        if best is None:
-            best, home = (sequence, max_docs, max_attention), n
-            n += 1
+                at = int(fits[np.argmax((weight * room[:, fits] / whole * (size / whole)).sum(axis=0))])
         else:
-            home = classes[best].pop()
-            if not classes[best]:
-                del classes[best]
-                del rooms[bisect.bisect_left(rooms, best)]
-        bins[k], offsets[k] = home, sequence - best[0]
-        left = tuple(r - s for r, s in zip(best, size))
-        if left[0] > 0:
-            if left not in classes:
-                classes[left] = []
-                bisect.insort(rooms, left)
-            classes[left].append(home)
+            if used == room.shape[1]:
+                room = np.concatenate((room, np.zeros_like(room)), axis=1)
+                home = np.concatenate((home, np.zeros_like(home)))
+            at, room[:, used : used + 1], home[used] = used, whole, n
+            used, n = used + 1, n + 1
+        bins[k], offsets[k] = int(home[at]), sequence - int(room[0, at])
+        room[:, at] -= size[:, 0]
+        if room[0, at] < 1 or room[1, at] < 1:
+            room[:, at : used - 1], home[at : used - 1] = room[:, at + 1 : used], home[at + 1 : used]
+            used -= 1
     return bins, offsets
 
 
