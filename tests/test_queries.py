@@ -10,6 +10,7 @@ from verseloom.functions.text import FOLD_FROM, fold
 from verseloom.plans.registry import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.01"
+TABLES = "documents embeddings pages conversations labels benchmark region nation customer orders lineitem".split()
 
 
 def rows(frame):
@@ -21,7 +22,7 @@ def rows(frame):
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_query_equals_sql(spark, name):
     db = duckdb.connect()
-    for t in ("documents", "embeddings", "pages", "conversations", "labels", "benchmark"):
+    for t in TABLES:
         db.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     norm = lambda x: [tuple(int(v) if isinstance(v, float) and v == int(v) else v for v in r) for r in x]
     ours, theirs = norm(rows(QUERIES[name](spark, SF).toPandas())), norm(rows(db.sql(ORACLE_SQL[name]).df()))

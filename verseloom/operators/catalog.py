@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -39,11 +39,12 @@ def compare_editions(editions: DataFrame) -> DataFrame:
 
 
 def embedding_progress(docs: DataFrame, vectors: DataFrame) -> DataFrame:
-    """Texts, and those without a vector, by level 1 and in all (level 1 null)."""
+    """Texts with and without a vector and the share done in percent, by level 1 and in all (level 1 null)."""
     have = vectors.where("embedding is not null").select(F.col("vec_id").alias("doc_id")).distinct()
     marked = docs.select("doc_id", "lang").join(have.withColumn("have", F.lit(1)), "doc_id", "left")
+    done = F.count("have")
     return marked.rollup("lang").agg(
-        F.count("*").alias("total"), F.count_if(F.col("have").isNull()).alias("missing")
+        F.count("*").alias("total"), F.count_if(F.col("have").isNull()).alias("missing"), done.alias("done"), F.round(100.0 * done / F.count("*"), 2).alias("percent")
     )
 
 
@@ -64,9 +65,3 @@ def dedup_by_key(segments: DataFrame, key) -> DataFrame:
     at = F.struct("doc_id", "pos")
     found = segments.groupBy(key.alias("k")).agg(F.min(at).alias("at"), (F.count("*") - 1).alias("duplicates"))
     return found.select(F.col("at.doc_id").alias("doc_id"), F.col("at.pos").alias("pos"), "duplicates")
-
-
-def neighbours(docs: DataFrame) -> DataFrame:
-    """Previous and next text of each text in its collection."""
-    w = Window.partitionBy("lang", "source").orderBy("doc_id")
-    return docs.select("doc_id", F.lag("doc_id").over(w).alias("previous"), F.lead("doc_id").over(w).alias("next"))

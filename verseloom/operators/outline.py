@@ -37,17 +37,24 @@ def outline_by_header(segments: DataFrame, is_header: Column) -> DataFrame:
 def whole_word_or_substring(segments: DataFrame, terms: list[str]) -> DataFrame:
     """Segments with each folded term as a word; for a term that is nowhere a word, those that hold it inside one.
 
-    ``terms`` is the caller's list (1,000 at most): a literal of the projection,
-    so the segments aren't joined to it.
+    ``terms`` is the caller's list (1,000 at most). Distinct tokens are matched
+    first: by equality, and by their parts only for terms that no token equals;
+    then the tokens found are joined to the segments. A term that isn't one
+    token (it has a blank or a sign) is looked for in the folded text.
     """
     if len(terms) > 1000:
         raise ValueError("at most 1000 terms a call")
-    folded = segments.select("doc_id", "pos", fold(F.col("segment")).alias("f"), folded_tokens(F.col("segment")).alias("t"))
-    asked = F.array(*[F.struct(F.lit(t).alias("term"), fold(F.lit(t)).alias("needle")) for t in terms])
-    found = folded.select("doc_id", "pos", "t", F.explode(F.filter(asked, lambda a: F.contains(F.col("f"), a["needle"]))).alias("a"))
-    found = found.select("doc_id", "pos", F.col("a.term").alias("term"), F.array_contains("t", F.col("a.needle")).alias("whole"))
-    words = found.groupBy("term").agg(F.max("whole").alias("any_whole"))  # a row a term
-    return found.join(F.broadcast(words), "term").where(F.col("whole") == F.col("any_whole")).select("term", "doc_id", "pos", "whole")
+    asked = segments.sparkSession.createDataFrame([(t,) for t in terms], "term string").withColumn("needle", fold(F.col("term")))
+    tokens = segments.select("doc_id", "pos", F.explode(F.array_distinct(folded_tokens(F.col("segment")))).alias("token"))
+    vocabulary = tokens.select("token").distinct()
+    words = vocabulary.join(F.broadcast(asked), F.col("token") == F.col("needle")).select("term", "token")
+    inside = asked.where(F.col("needle").rlike("^[a-z0-9]+$")).join(words.select("term"), "term", "left_anti")
+    parts = vocabulary.join(F.broadcast(inside), F.contains("token", F.col("needle"))).select("term", "token")
+    found = words.withColumn("whole", F.lit(True)).union(parts.withColumn("whole", F.lit(False)))
+    hits = tokens.join(found, "token").select("term", "doc_id", "pos", "whole").distinct()
+    odd = F.broadcast(asked.where(~F.col("needle").rlike("^[a-z0-9]+$")))
+    more = segments.select("doc_id", "pos", fold(F.col("segment")).alias("f")).join(odd, F.contains("f", F.col("needle")))
+    return hits.union(more.select("term", "doc_id", "pos", F.lit(False)))
 
 
 def reserve_slots(ranked: DataFrame, limit: int, reserved: int | None = None) -> DataFrame:

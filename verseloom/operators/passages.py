@@ -32,15 +32,6 @@ def outline_by_key(turns: DataFrame) -> DataFrame:
     )
 
 
-def translation_fallback(editions: DataFrame, own: str) -> DataFrame:
-    """Each segment's text in its own edition, or in the first other that has one."""
-    there = editions.where(F.trim("text") != "")
-    least = F.min(F.struct((F.col("edition") != own).alias("other"), "edition", "text")).alias("m")
-    return there.groupBy("conv_id", "seg").agg(least).select(
-        "conv_id", "seg", F.col("m.edition").alias("edition"), F.col("m.text").alias("text")
-    )
-
-
 def pick_edition(editions: DataFrame, order: list[str]) -> DataFrame:
     """How many texts take each edition, when a text takes the first of a list that it has."""
     rank = F.array_position(F.array(*map(F.lit, order)), F.col("edition"))
@@ -75,13 +66,6 @@ def cap_per_text(hits: DataFrame, cap: int) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= cap).select("term", "scope", "doc_id", "pos")
 
 
-def survey_page(hits: DataFrame, start: int, size: int) -> DataFrame:
-    """Hits number ``start`` to ``start + size - 1`` of each term in document order, from 1."""
-    w = Window.partitionBy("term", "scope").orderBy("doc_id", "pos")
-    ranked = hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= start + size - 1)
-    return ranked.where(F.col("rank") >= start).select("term", "scope", "doc_id", "pos", "rank")
-
-
 def snapshot_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     """Rows lost and gained between two results of the same columns."""
     return before.exceptAll(after).withColumn("change", F.lit("lost")).union(
@@ -89,14 +73,6 @@ def snapshot_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     )
 
 
-def upsert(base: DataFrame, new: DataFrame, key: str, value: str) -> DataFrame:
-    """Rows of both tables; where both have a key, the new table's value stands. Keys are unique in each."""
-    joined = base.select(key, F.col(value).alias("__old")).join(
-        new.select(key, F.col(value).alias("__new"), F.lit(True).alias("__has")), key, "full_outer"
-    )
-    return joined.select(key, F.when(F.col("__has"), F.col("__new")).otherwise(F.col("__old")).alias(value))
-
-
 def sections_listing(docs: DataFrame) -> DataFrame:
     """Collections of each language in order, and how many texts they have."""
     per = docs.groupBy("lang", "source").agg(F.count("*").alias("n"))
@@ -105,11 +81,6 @@ def sections_listing(docs: DataFrame) -> DataFrame:
     )
 
 
-def sentence_key(text: Column) -> Column:
-    """Folded words of a text with single spaces: equal for texts that differ in marks and case alone."""
-    return F.array_join(folded_tokens(text), " ")
-
-
 def embedding_input(*texts: Column) -> Column:
     """Texts that aren't blank, joined with a bar."""
     return F.concat_ws(" | ", *[F.when(F.trim(t) != "", t) for t in texts])
@@ -121,12 +92,6 @@ def citations(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", cite.alias("citation"), F.concat(F.lit("https://example.org/"), "doc_id").alias("link"))
 
 
-def find_substring(segments: DataFrame, needle: str, k: int = 50) -> DataFrame:
-    """The first k segments in document order whose folded text holds the folded needle."""
-    hits = segments.where(F.contains(fold(F.col("segment")), fold(F.lit(needle))))
-    return hits.orderBy("doc_id", "pos").limit(k).select("doc_id", "pos")
-
-
 def coverage(docs: DataFrame, dictionary: DataFrame) -> DataFrame:
     """Tokens of each text, and how many of them are entries of ``dictionary(token)``.
 

@@ -8,6 +8,7 @@ top-k filters let Spark limit each group before the shuffle.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from verseloom.functions.text import folded_tokens
 
 MAX_QUERIES = 1_000  # queries of one call; more are asked in several calls
+#: Scores depend on them.
 K1, B = 1.2, 0.75
 LEAST_IDF = 1e-6
 RRF = 60
@@ -79,16 +81,76 @@ def trigrams(word: Column) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(word) + 1), lambda i: F.substr(padded, i, F.lit(3))))
 
 
+def text_trigrams(text: Column) -> Column:
+    """Trigrams of all words of a text in lower case, in order, repeats included."""
+    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    padded = lambda w: F.concat(F.lit("  "), w, F.lit(" "))
+    return F.flatten(F.transform(words, lambda w: F.transform(F.sequence(F.lit(1), F.length(w) + 1), lambda i: F.substr(padded(w), i, F.lit(3)))))
+
+
 def fuzzy_words(words: DataFrame, terms: list[str], threshold: float = 0.3, k: int = 10) -> DataFrame:
-    """Words whose trigrams overlap a term's (shared to all) at the threshold or above, the most alike first."""
-    term = F.explode(F.array(*map(F.lit, _bounded(terms)))).alias("term")
-    scored = words.select("token", trigrams(F.col("token")).alias("g"), term)
-    both = F.size(F.array_intersect("g", trigrams(F.col("term"))))
-    alike = F.round(both / F.size(F.array_union("g", trigrams(F.col("term")))), 4)
-    scored = scored.where(F.arrays_overlap("g", trigrams(F.col("term")))).select("term", "token", alike.alias("similarity"))
+    """Words whose trigrams overlap a term's (shared to all) at the threshold or above, the most alike first.
+
+    Trigrams are joined by equality and counted; words that share none with a
+    term never meet it.
+    """
+    asked = words.sparkSession.createDataFrame([(t,) for t in dict.fromkeys(_bounded(terms))], "term string")
+    asked = asked.select("term", trigrams(F.col("term")).alias("h")).select("term", F.size("h").alias("m"), F.explode("h").alias("g"))
+    grams = words.select("token", trigrams(F.col("token")).alias("t")).select("token", F.size("t").alias("n"), F.explode("t").alias("g"))
+    both = grams.join(F.broadcast(asked), "g").groupBy("term", "token").agg(F.count("*").alias("b"), F.first("n").alias("n"), F.first("m").alias("m"))
+    scored = both.select("term", "token", F.round(F.col("b") / (F.col("n") + F.col("m") - F.col("b")), 4).alias("similarity"))
     return _top(scored.where(F.col("similarity") >= threshold), ["term"], [F.desc("similarity"), "token"], k)
 
 
+def extent_similarity(needle: set[str], grams: list[str]) -> float:
+    """The largest share (common to all) of the needle's trigrams with those of any run of a text's trigrams."""
+    best, size = 0.0, len(needle)
+    places = [k for k, g in enumerate(grams) if g in needle]
+    for low in places:
+        seen, common = set(), 0
+        for g in grams[low:]:
+            if g not in seen:
+                seen.add(g)
+                if g in needle:
+                    common += 1
+                    best = max(best, common / (size + len(seen) - common))
+                elif best * len(seen) > size:
+                    break  # no longer run can be better
+    return best
+
+
+def word_similarity(needle: Column, grams: Column) -> Column:
+    """``extent_similarity`` of two arrays of trigrams; for candidate rows only."""
+
+    @F.pandas_udf("double")
+    def run(needles: pd.Series, texts: pd.Series) -> pd.Series:
+        return pd.Series([extent_similarity(set(n), list(t)) for n, t in zip(needles, texts)], dtype="float64")
+
+    return run(needle, grams)
+
+
+def fuzzy_search(rows: DataFrame, terms: list[str], text: str = "segment", keys: tuple[str, ...] = ("doc_id", "pos"), threshold: float = 0.6, k: int = 10) -> DataFrame:
+    """Rows with a part like each term: word similarity at the threshold or above, then similarity, the best ``k`` (1 to 50).
+
+    A row can reach the threshold only if it shares so large a part of the
+    term's trigrams. These are joined by equality, and only rows that share
+    enough are scored exactly.
+    """
+    k = max(1, min(k, 50))
+    spark = rows.sparkSession
+    asked = spark.createDataFrame([(t,) for t in dict.fromkeys(_bounded(terms))], "term string")
+    asked = asked.select("term", F.array_distinct(text_trigrams(F.col("term"))).alias("h")).where(F.size("h") > 0)
+    wanted = asked.select("term", F.size("h").alias("m"), F.explode("h").alias("g"))
+    shown = rows.select(*keys, F.array_distinct(text_trigrams(F.col(text))).alias("g")).select(*keys, F.explode("g").alias("g"))
+    shared = shown.join(F.broadcast(wanted), "g").groupBy("term", *keys).agg(F.count("*").alias("b"), F.first("m").alias("m"))
+    near = shared.where(F.col("b") >= F.ceil(F.lit(threshold) * F.col("m") - 1e-9)).select("term", *keys)
+    full = near.join(rows.select(*keys, text_trigrams(F.col(text)).alias("grams")), list(keys)).join(F.broadcast(asked), "term")
+    both = F.size(F.array_intersect("grams", "h"))
+    alike = F.round(both / (F.size(F.array_distinct("grams")) + F.size("h") - both), 4)
+    scored = full.select("term", *keys, alike.alias("similarity"), F.round(word_similarity(F.col("h"), F.col("grams")), 4).alias("word_similarity"))
+    return _top(scored.where(F.col("word_similarity") >= threshold), ["term"], [F.desc("word_similarity"), F.desc("similarity"), *keys], k)
+
+
 def bm25_search(docs: DataFrame, queries: list[str], k: int = 10) -> DataFrame:
     """Best texts for each query of folded words; a text holds all of them. Null and empty texts never do.
 
@@ -119,7 +181,8 @@ def semantic_topk(vectors: DataFrame, query_ids: list[int], k: int = 10, limit:
     """Vectors nearest to each query vector by cosine distance (double, four digits), ``limit`` or less.
 
     Each task keeps its own k best of a query; null, zero and non-finite vectors
-    are skipped. Query vectors, at most ``MAX_QUERIES``, are read first.
+    are skipped, and so are those of another length than the query's. Query
+    vectors, at most ``MAX_QUERIES``, are read first.
     """
     rows = vectors.where(F.col("vec_id").isin(_bounded(query_ids)) & F.col("embedding").isNotNull()).collect()
     known = [(r["vec_id"], np.array(r["embedding"], dtype=float)) for r in rows if None not in r["embedding"]]
@@ -127,16 +190,17 @@ def semantic_topk(vectors: DataFrame, query_ids: list[int], k: int = 10, limit:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            if not known or not len(frame):
-                continue
-            block = np.stack(frame["embedding"].to_list()).astype(float)
-            ids = frame["vec_id"].to_numpy()
-            sizes = np.linalg.norm(block, axis=1)
-            for q, v in known:
-                away = np.round(1 - block @ v / sizes, 4)
-                near = np.lexsort((ids, away))[:k]
-                near = near[away[near] <= limit]
-                yield pd.DataFrame({"query_id": q, "vec_id": ids[near], "distance": away[near]})
+            lengths = frame["embedding"].map(len).to_numpy()
+            for dim in {len(v) for _, v in known}.intersection(lengths.tolist()):
+                part = frame[lengths == dim]
+                block = np.stack(part["embedding"].to_list()).astype(float)
+                ids, sizes = part["vec_id"].to_numpy(), np.linalg.norm(block, axis=1)
+                for q, v in known:
+                    if len(v) == dim:
+                        away = np.round(1 - block @ v / sizes, 4)
+                        near = np.lexsort((ids, away))[:k]
+                        near = near[away[near] <= limit]
+                        yield pd.DataFrame({"query_id": q, "vec_id": ids[near], "distance": away[near]})
 
     whole = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     usable = vectors.where(whole & F.exists("embedding", lambda x: x != 0)).select("vec_id", "embedding")
@@ -154,9 +218,68 @@ def fuse(left: DataFrame, right: DataFrame, k: int = 10) -> DataFrame:
 
 
 def hybrid_search(docs: DataFrame, vectors: DataFrame, queries: dict[str, int], leg: int = 50, k: int = 10) -> DataFrame:
-    """Texts by fused rank of word search and of vector search; a query is words and the id of a vector."""
+    """Texts by fused rank of word search and of vector search; a query is words and the id of a vector, which several may share."""
     words = bm25_search(docs, list(queries), leg).select("query", F.col("doc_id").alias("id"), "rank")
-    names = F.create_map(*[F.lit(x) for q, i in queries.items() for x in (i, q)])
-    near = semantic_topk(vectors, list(queries.values()), leg)
-    near = near.select(names[F.col("query_id").cast("int")].alias("query"), F.col("vec_id").alias("id"), "rank")
-    return fuse(words, near, k)
+    names = docs.sparkSession.createDataFrame(list(queries.items()), "query string, query_id long")
+    near = semantic_topk(vectors, sorted(set(queries.values())), leg).join(F.broadcast(names), "query_id")
+    return fuse(words, near.select("query", F.col("vec_id").alias("id"), "rank"), k)
+
+
+class HashingEncoder:
+    """Vectors of texts by hashed words: a stand-in for a model, alike on every machine."""
+
+    def __init__(self, dims: int = 64) -> None:
+        self.dims = dims
+
+    def __call__(self, texts: list[str]) -> np.ndarray:
+        out = np.zeros((len(texts), self.dims))
+        for row, text in zip(out, texts):
+            for word in text.lower().split():
+                h = crc32(word.encode())
+                row[h % self.dims] += 1 - 2 * (h >> 16 & 1)
+        return out
+
+
+def embed_corpus(texts: DataFrame, done: DataFrame, make_encoder=HashingEncoder, batch: int = 64) -> DataFrame:
+    """``vec_id`` and ``embedding`` (float, length 1) of the ``texts(id, text)`` that have none in ``done(vec_id)`` yet.
+
+    Each task makes one encoder and gives it ``batch`` texts at a time. Append
+    the result to the vectors: a run that stops is taken up where it was. Blank
+    texts get no vector; one that the encoder turns to zeros stays zero.
+    """
+    missing = texts.where(F.trim("text") != "").join(done.where("embedding is not null").select(F.col("vec_id").alias("id")), "id", "left_anti")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        encode = make_encoder()
+        for frame in frames:
+            for low in range(0, len(frame), batch):
+                part = frame.iloc[low : low + batch]
+                made = np.asarray(encode(part["text"].tolist()), dtype=np.float64)
+                sizes = np.linalg.norm(made, axis=1, keepdims=True)
+                made = (made / np.where(sizes > 0, sizes, 1)).astype(np.float32)
+                yield pd.DataFrame({"vec_id": part["id"].to_numpy(), "embedding": list(made)})
+
+    return missing.select("id", "text").mapInPandas(run, "vec_id long, embedding array<float>")
+
+
+def phrase_search(postings: DataFrame, lengths: DataFrame, phrases: list[str], key: str = "doc_id", field: str | None = None, k: int = 10) -> DataFrame:
+    """Best rows for each phrase of folded words that stand one behind the other, by BM25 of the phrase as one unit.
+
+    ``postings(token, field, key, positions)`` as ``ingest.build_postings`` makes
+    them, one ``field`` alone or all; ``lengths(key, size)`` has every row of the
+    corpus. Only postings of the phrases' words are read from the join; two
+    corpus numbers come to the driver.
+    """
+    spark = postings.sparkSession
+    asked = [(p, w, i, len(p.split())) for p in dict.fromkeys(_bounded(phrases)) for i, w in enumerate(p.split())]
+    words = spark.createDataFrame(asked, "query string, token string, i int, need int")
+    n, mean = lengths.agg(F.count("*"), F.avg("size")).first()
+    chosen = postings if field is None else postings.where(F.col("field") == field)
+    hits = chosen.join(F.broadcast(words), "token").select("query", "need", key, "field", "i", F.explode("positions").alias("at"))
+    starts = hits.groupBy("query", key, "field", (F.col("at") - F.col("i")).alias("start")).agg(F.count("*").alias("c"), F.first("need").alias("need"))
+    tf = starts.where("c = need").groupBy("query", key).agg(F.count("*").alias("tf"))
+    df = tf.groupBy("query").agg(F.count("*").alias("df"))
+    idf = F.greatest(F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
+    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.lit(mean or 1.0)))
+    scored = tf.join(F.broadcast(df), "query").join(lengths, key).select("query", key, F.round(part, 4).alias("score"))
+    return _top(scored, ["query"], [F.desc("score"), key], k)

@@ -1,35 +1,47 @@
-"""Surveys: exact occurrence of many terms over the whole corpus, in one pass."""
+"""Surveys: exact occurrence of many terms over the whole corpus.
+
+Terms are the caller's list (1,000 at most): words, stems or phrases. Words and
+stems are matched against the distinct vocabulary, which is small beside the
+corpus, and then joined to it by equality.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from verseloom.functions.text import fold, folded_tokens, surface_tokens
 
+MAX_TERMS = 1_000
+
 
 def term_table(spark: SparkSession, terms: list[tuple[str, str]]) -> DataFrame:
-    """Terms with their scope, "word" or "stem"; as many rows as the caller lists."""
-    return spark.createDataFrame(terms, "term string, scope string").withColumn("needle", fold(F.col("term")))
+    """Terms with their scope, "word" or "stem"; as many rows as the caller lists. One with a blank inside is a ``phrase``."""
+    if len(terms) > MAX_TERMS:
+        raise ValueError(f"at most {MAX_TERMS} terms a call")
+    rows = spark.createDataFrame(terms, "term string, scope string").withColumn("needle", fold(F.col("term")))
+    return rows.withColumn("phrase", F.contains("needle", F.lit(" ")))
 
 
-def term_hits(segments: DataFrame, terms: DataFrame) -> DataFrame:
-    """One row for each term and segment that holds it: whole folded words, or words that start with a stem.
+def _matched(vocabulary: DataFrame, folded: str, terms: DataFrame) -> DataFrame:
+    """``term``, ``scope`` and the columns of a distinct vocabulary: its folded words equal to a word or starting with a stem.
 
-    A segment's distinct tokens are joined to the terms: by equality for words;
-    for stems by equality of every prefix as long as some stem. The terms are
-    the caller's list, so Spark may broadcast them.
+    Every beginning of a distinct word is a row, so that stems are an equality join too.
     """
+    heads = F.transform(F.sequence(F.lit(1), F.length(folded)), lambda n: F.substr(F.col(folded), F.lit(1), n))
+    rows = vocabulary.where(F.length(folded) > 0).select("*", F.explode(heads).alias("needle"))
+    single = terms.where("not phrase").select("term", "scope", "needle")
+    return rows.join(F.broadcast(single), "needle").where((F.col("scope") == "stem") | (F.col(folded) == F.col("needle"))).drop("needle")
+
+
+def term_hits(segments: DataFrame, terms: DataFrame) -> DataFrame:
+    """One row for each term and segment that holds it: whole folded words, words that start with a stem, or phrases as parts of the folded text."""
     tokens = segments.withColumn("token", F.explode(F.array_distinct(folded_tokens(F.col("segment")))))
-    word = tokens.join(terms.where("scope = 'word'"), F.col("token") == F.col("needle"))
-    stems = terms.where("scope = 'stem'").withColumn("size", F.length("needle"))
-    sizes = [r["size"] for r in stems.select("size").distinct().collect()]  # lengths of the caller's stems
-    out = word.select(*segments.columns, "term", "scope")
-    for size in sizes:
-        heads = tokens.where(F.length("token") >= size).withColumn("head", F.substring("token", 1, size))
-        hits = heads.join(stems.where(F.col("size") == size), F.col("head") == F.col("needle"))
-        out = out.union(hits.select(*segments.columns, "term", "scope"))
-    return out.dropDuplicates(["term", "scope", "doc_id", "pos"])
+    found = _matched(tokens.select("token").distinct(), "token", terms).select("term", "scope", "token")
+    hits = tokens.join(found, "token").select(*segments.columns, "term", "scope").dropDuplicates(["term", "scope", "doc_id", "pos"])
+    phrases = F.broadcast(terms.where("phrase").select("term", "scope", "needle"))
+    more = segments.join(phrases, F.contains(fold(F.col("segment")), F.col("needle"))).select(*segments.columns, "term", "scope")
+    return hits.union(more)
 
 
 def survey_totals(segments: DataFrame, terms: DataFrame) -> DataFrame:
@@ -50,7 +62,68 @@ def survey_by_group(segments: DataFrame, terms: DataFrame) -> DataFrame:
 
 
 def survey_forms(segments: DataFrame, terms: DataFrame) -> DataFrame:
-    """The distinct tokens, as written, behind each term's word hits, with their number of segments."""
-    tokens = segments.withColumn("form", F.explode(F.array_distinct(surface_tokens(F.col("segment")))))
-    hits = tokens.join(terms.where("scope = 'word'"), fold(F.col("form")) == F.col("needle"))
-    return hits.groupBy("term", "form").agg(F.count("*").alias("n_segments"))
+    """The distinct tokens, as written, behind each term's hits, with their number of segments; none for phrases."""
+    forms = segments.select("doc_id", "pos", F.explode(F.array_distinct(surface_tokens(F.col("segment")))).alias("form"))
+    vocabulary = forms.groupBy("form").agg(F.count("*").alias("n_segments")).withColumn("folded", fold(F.col("form")))
+    return _matched(vocabulary, "folded", terms).select("term", "scope", "form", "n_segments")
+
+
+def survey_page(hits: DataFrame, start: int, size: int) -> DataFrame:
+    """Hits number ``start`` to ``start + size - 1`` of each term in document order, from 1, and where the next page starts (null: nowhere).
+
+    One row more than the page shows whether there is a next one; Spark limits
+    each term's rows before the shuffle.
+    """
+    w = Window.partitionBy("term", "scope").orderBy("doc_id", "pos")
+    ranked = hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= start + size)
+    last = F.max("rank").over(Window.partitionBy("term", "scope"))
+    ranked = ranked.withColumn("next_cursor", F.when(last == start + size, F.lit(start + size).cast("long")))
+    return ranked.where(F.col("rank").between(start, start + size - 1)).select("term", "scope", "doc_id", "pos", "rank", "next_cursor")
+
+
+def survey_corpus(segments: DataFrame, terms: DataFrame, start: int, size: int) -> DataFrame:
+    """All parts of a survey, a row a term: totals, segments by level-1 key, the forms found, a page of hits and the next cursor."""
+    hits = term_hits(segments, terms)
+    keys = ["term", "scope"]
+    per_text = hits.groupBy(*keys, "lang", "doc_id").count()
+    per_lang = per_text.groupBy(*keys, "lang").agg(F.sum("count").alias("s"), F.count("*").alias("t"))
+    totals = per_lang.groupBy(*keys).agg(
+        F.sum("s").alias("s"), F.sum("t").alias("t"), F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.coalesce("lang", F.lit("")), "s")))).alias("by_group")
+    )
+    forms = survey_forms(segments, terms).groupBy(*keys).agg(F.sort_array(F.collect_set("form")).alias("forms"))
+    page = survey_page(hits, start, size).groupBy(*keys).agg(
+        F.sort_array(F.collect_list(F.struct("rank", "doc_id", "pos"))).alias("page"), F.max("next_cursor").alias("next_cursor")
+    )
+    out = terms.select(*keys).join(totals, keys, "left").join(forms, keys, "left").join(page, keys, "left")
+    return out.select(
+        *keys,
+        F.coalesce("s", F.lit(0)).cast("long").alias("total_segments"),
+        F.coalesce("t", F.lit(0)).cast("long").alias("total_texts"),
+        "by_group",
+        "forms",
+        "page",
+        "next_cursor",
+    )
+
+
+def semantic_layer(near: DataFrame, texts: DataFrame, terms: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """Vector hits of each query with the flag ``in_lexical``, and a summary of each query.
+
+    ``near(query_id, id, distance)`` holds the hits within the threshold, the
+    level filter applied before by the caller's choice of vectors;
+    ``texts(id, text)``; ``terms(query_id, needle, scope)``. The summary tells
+    ``returned``, ``new_finds`` (concept only) and ``capped`` (k or more hits).
+    """
+    rows = near.join(texts, "id").join(F.broadcast(terms), "query_id")
+    words = F.transform(surface_tokens(F.col("text")), fold)
+    same = F.exists(words, lambda w: F.when(F.col("scope") == "word", w == F.col("needle")).otherwise(F.startswith(w, F.col("needle"))))
+    rows = rows.withColumn("in_lexical", F.coalesce(same, F.lit(False))).drop("text", "needle", "scope")
+    summary = rows.groupBy("query_id").agg(
+        F.count("*").alias("returned"), F.count_if(~F.col("in_lexical")).alias("new_finds"), (F.count("*") >= k).alias("capped")
+    )
+    return rows, summary
+
+
+def concept_only(near: DataFrame, lexical: DataFrame) -> DataFrame:
+    """Vector hits that the word search of the same query doesn't have."""
+    return near.join(lexical.select("query_id", "id"), ["query_id", "id"], "left_anti")

@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 
 from verseloom.functions.text import fold
 from verseloom.operators import catalog, outline, passages, search, survey
+from verseloom.plans.corpus_jobs import JOBS, JOBS_SQL
 from verseloom.sources.corpus import editions, segments, table
 
-TERMS = [("the", "word"), ("École", "word"), ("une", "word"), ("thon", "stem"), ("der", "word"), ("zzz", "word"), ("ge", "stem")]
+TERMS = [("the", "word"), ("École", "word"), ("une", "word"), ("thon", "stem"), ("der", "word"), ("zzz", "word"), ("ge", "stem"), ("of the", "word")]
 FALLBACK = ["nicht", "Étion", "zuver"]
-STARTS = ["thon", "zuver", "the", "einach"]
+STARTS = ["zuve", "the", "einac", "ereringr"]
 FUZZY = ["which", "nicht", "erlich"]
 ASKED = {"the from": 0, "und nicht": 7, "la que": 42}  # words, and the id of a vector
 
@@ -23,19 +24,28 @@ def _survey(operator):
     return lambda spark, d: operator(segments(_docs(spark, d)), survey.term_table(spark, TERMS))
 
 
+def _flat_survey(rows):
+    """Maps and arrays as strings."""
+    groups = F.array_join(F.transform(F.sort_array(F.map_entries("by_group")), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
+    page = F.array_join(F.transform("page", lambda p: F.concat_ws(":", p["doc_id"].cast("string"), p["pos"].cast("string"))), ",")
+    return rows.select(
+        "term", "scope", "total_segments", "total_texts", F.coalesce(groups, F.lit("")).alias("by_group"), F.coalesce(F.size("forms"), F.lit(0)).cast("long").alias("n_forms"),
+        F.coalesce(page, F.lit("")).alias("page"), "next_cursor",
+    )
+
+
 QUERIES = {
     "survey_totals": _survey(survey.survey_totals),
     "survey_by_group": _survey(survey.survey_by_group),
     "survey_forms": _survey(survey.survey_forms),
     "structure_counts": lambda s, d: catalog.structure_counts(_docs(s, d), segments(_docs(s, d))),
     "text_sizes": lambda s, d: catalog.text_sizes(_docs(s, d), segments(_docs(s, d))),
-    "edition_stats": lambda s, d: catalog.edition_stats(editions(table(s, d, "conversations"))),
     "compare_editions": lambda s, d: catalog.compare_editions(editions(table(s, d, "conversations"))),
     "embedding_progress": lambda s, d: catalog.embedding_progress(_docs(s, d), table(s, d, "embeddings")),
     "missing_embeddings": lambda s, d: catalog.missing_embeddings(_docs(s, d), table(s, d, "embeddings")),
     "markup_census": lambda s, d: catalog.markup_census(table(s, d, "pages")),
     "dedup_by_key": lambda s, d: catalog.dedup_by_key(segments(_docs(s, d)), fold("segment")),
-    "neighbours": lambda s, d: catalog.neighbours(_docs(s, d)),
+    "survey_corpus": lambda s, d: _flat_survey(survey.survey_corpus(segments(_docs(s, d)), survey.term_table(s, TERMS), 1, 20)),
     "posting_sizes": lambda s, d: search.posting_sizes(_docs(s, d)),
     "vocabulary": lambda s, d: search.vocabulary(_docs(s, d)),
     "prefix_suggestions": lambda s, d: search.prefix_suggestions(search.vocabulary(_docs(s, d)), STARTS),
@@ -47,28 +57,18 @@ QUERIES = {
     "context_block": lambda s, d: passages.context_block(segments(_docs(s, d)), "und"),
     "text_page": lambda s, d: passages.text_page(segments(_docs(s, d)), 5, 10),
     "outline_by_key": lambda s, d: passages.outline_by_key(table(s, d, "conversations")),
-    "translation_fallback": lambda s, d: passages.translation_fallback(editions(table(s, d, "conversations")), "user"),
     "pick_edition": lambda s, d: passages.pick_edition(editions(table(s, d, "conversations")), ["system", "assistant", "user"]),
     "paired_passages": lambda s, d: passages.paired_passages(segments(_docs(s, d)), "from", "with"),
     "one_per_text": lambda s, d: passages.one_per_text(segments(_docs(s, d)), "7", 20),
     "cap_per_text": lambda s, d: passages.cap_per_text(_survey(survey.term_hits)(s, d), 2),
-    "survey_page": lambda s, d: passages.survey_page(_survey(survey.term_hits)(s, d), 11, 20),
+    "survey_page": lambda s, d: survey.survey_page(_survey(survey.term_hits)(s, d), 11, 20),
     "snapshot_diff": lambda s, d: passages.snapshot_diff(
         *[_survey(survey.term_hits)(s, d).where(f"term = '{t}'").select("doc_id", "pos") for t in ("der", "the")]
     ),
-    "upsert": lambda s, d: passages.upsert(
-        _docs(s, d).select("doc_id", "source"),
-        table(s, d, "labels").select("doc_id", F.col("quality").cast("string").alias("source")),
-        "doc_id",
-        "source",
-    ),
     "sections_listing": lambda s, d: passages.sections_listing(_docs(s, d)),
-    "sentence_key": lambda s, d: _docs(s, d).select("doc_id", F.md5(passages.sentence_key(F.col("text"))).alias("key")),
     "embedding_input": lambda s, d: _docs(s, d).select(
         "doc_id", F.md5(passages.embedding_input(F.col("text"), F.col("lang"), F.col("source"))).alias("input")
     ),
-    "citations": lambda s, d: passages.citations(_docs(s, d)),
-    "find_substring": lambda s, d: passages.find_substring(segments(_docs(s, d)), "\u00c9tion"),
     "coverage": lambda s, d: passages.coverage(_docs(s, d), search.vocabulary(table(s, d, "benchmark").withColumnRenamed("item_id", "doc_id"))),
     "corpus_checks": lambda s, d: passages.corpus_checks(_docs(s, d), table(s, d, "embeddings")),
     "natural_key": lambda s, d: table(s, d, "pages").select("page_id", outline.natural_key(F.col("url")).alias("key")),
@@ -94,7 +94,11 @@ _HITS = f"""WITH terms AS (SELECT term, scope, lower(strip_accents(term)) AS nee
 {_SEGMENTS}, tok AS (SELECT DISTINCT doc_id, lang, pos, t FROM (
   SELECT doc_id, lang, pos, unnest(regexp_extract_all(lower(strip_accents(segment)), '[a-z0-9]+')) AS t FROM seg)),
 hits AS (SELECT DISTINCT term, scope, doc_id, lang, pos FROM tok JOIN terms
-  ON CASE WHEN scope = 'word' THEN t = needle ELSE starts_with(t, needle) END)"""
+  ON CASE WHEN scope = 'word' THEN t = needle ELSE starts_with(t, needle) END
+  UNION ALL SELECT term, scope, doc_id, lang, pos FROM seg JOIN terms ON contains(needle, ' ') AND contains(lower(strip_accents(segment)), needle)),
+forms AS (SELECT DISTINCT doc_id, pos, f FROM (SELECT doc_id, pos, unnest(regexp_extract_all(segment, '[\\p{{L}}\\p{{N}}_]+')) AS f FROM seg)),
+found AS (SELECT term, scope, f AS form, count(*) AS n_segments FROM forms JOIN terms
+  ON CASE WHEN scope = 'word' THEN lower(strip_accents(f)) = needle ELSE starts_with(lower(strip_accents(f)), needle) END GROUP BY 1, 2, 3)"""
 _EDITIONS = "ed AS (SELECT conv_id, turn // 2 AS seg, role AS edition FROM conversations)"
 
 _TOKENS = """tok AS (SELECT doc_id, i - 1 AS pos, ts[i] AS token, len(ts) AS dl FROM (
@@ -123,19 +127,14 @@ ORACLE_SQL = {
     "survey_totals": f"""{_HITS} SELECT t.term, t.scope, count(h.pos) AS total_segments, count(DISTINCT h.doc_id) AS total_texts
         FROM terms t LEFT JOIN hits h ON t.term = h.term AND t.scope = h.scope GROUP BY 1, 2""",
     "survey_by_group": f"{_HITS} SELECT term, scope, lang, count(*) AS n_segments FROM hits GROUP BY 1, 2, 3",
-    "survey_forms": f"""{_HITS}, forms AS (SELECT DISTINCT doc_id, pos, f FROM (
-        SELECT doc_id, pos, unnest(regexp_extract_all(segment, '[\\p{{L}}\\p{{N}}_]+')) AS f FROM seg))
-        SELECT term, f AS form, count(*) AS n_segments FROM forms JOIN terms
-        ON lower(strip_accents(f)) = needle AND scope = 'word' GROUP BY 1, 2""",
+    "survey_forms": f"{_HITS} SELECT * FROM found",
     "structure_counts": f"""WITH {_SEGMENTS} SELECT lang, source, count(DISTINCT doc_id) AS n_texts, count(*) AS n_segments
         FROM seg GROUP BY 1, 2""",
     "text_sizes": f"""WITH {_SEGMENTS} SELECT d.doc_id, count(s.pos) AS n_segments FROM documents d
         LEFT JOIN seg s ON s.doc_id = d.doc_id AND trim(s.segment) <> '' GROUP BY 1""",
-    "edition_stats": f"""WITH {_EDITIONS} SELECT edition, count(*) AS n_rows, count(DISTINCT conv_id) AS n_texts
-        FROM ed GROUP BY 1""",
     "compare_editions": f"""WITH {_EDITIONS} SELECT conv_id, seg, string_agg(edition, ',' ORDER BY edition) AS editions,
         count(*) AS n_editions FROM ed GROUP BY 1, 2""",
-    "embedding_progress": """SELECT lang, count(*) AS total, count(*) FILTER (v.vec_id IS NULL) AS missing
+    "embedding_progress": """SELECT lang, count(*) AS total, count(*) FILTER (v.vec_id IS NULL) AS missing, count(v.vec_id) AS done, round(100.0 * count(v.vec_id) / count(*), 2)::DOUBLE AS percent
         FROM documents d LEFT JOIN (SELECT DISTINCT vec_id FROM embeddings WHERE embedding IS NOT NULL) v
         ON v.vec_id = d.doc_id GROUP BY ROLLUP (lang)""",
     "missing_embeddings": """SELECT doc_id FROM documents WHERE doc_id NOT IN (
@@ -145,8 +144,6 @@ ORACLE_SQL = {
     "dedup_by_key": f"""WITH {_SEGMENTS} SELECT doc_id, pos::INT AS pos, n - 1 AS duplicates FROM (
         SELECT doc_id, pos, count(*) OVER (PARTITION BY k) AS n, row_number() OVER (PARTITION BY k ORDER BY doc_id, pos) AS r
         FROM (SELECT doc_id, pos, lower(strip_accents(segment)) AS k FROM seg)) WHERE r = 1""",
-    "neighbours": """SELECT doc_id, lag(doc_id) OVER w AS previous, lead(doc_id) OVER w AS next FROM documents
-        WINDOW w AS (PARTITION BY lang, source ORDER BY doc_id)""",
     "posting_sizes": f"""WITH {_TOKENS} SELECT doc_id, token, count(*) AS n, min(pos) AS first_pos, max(pos) AS last_pos
         FROM tok GROUP BY 1, 2""",
     "vocabulary": f"WITH {_VOCABULARY} SELECT * FROM voc",
@@ -177,8 +174,6 @@ ORACLE_SQL = {
         FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role)),
         r AS (SELECT *, sum(c) OVER (PARTITION BY conv_id ORDER BY turn, role)::BIGINT AS section FROM c)
         SELECT conv_id, section, min(role) AS role, min(turn) AS "first", max(turn) AS "last", count(*) AS n FROM r GROUP BY 1, 2""",
-    "translation_fallback": """SELECT conv_id, turn // 2 AS seg, role AS edition, text FROM conversations WHERE trim(text) <> ''
-        QUALIFY row_number() OVER (PARTITION BY conv_id, turn // 2 ORDER BY role <> 'user', role, text) = 1""",
     "pick_edition": """SELECT edition, count(*) AS n_texts FROM (SELECT conv_id, CASE WHEN bool_or(role = 'system') THEN 'system'
         WHEN bool_or(role = 'assistant') THEN 'assistant' ELSE 'user' END AS edition FROM conversations GROUP BY 1) GROUP BY 1""",
     "paired_passages": f"""WITH {_SEGMENTS}, a AS (SELECT doc_id, pos, regexp_extract_all(lower(strip_accents(segment)), '[a-z0-9]+') AS t FROM seg)
@@ -189,22 +184,21 @@ ORACLE_SQL = {
         SELECT doc_id, pos::INT AS pos FROM b ORDER BY h, doc_id LIMIT 20""",
     "cap_per_text": f"""{_HITS} SELECT term, scope, doc_id, pos::INT AS pos FROM hits
         QUALIFY row_number() OVER (PARTITION BY term, scope, doc_id ORDER BY pos) <= 2""",
-    "survey_page": f"""{_HITS} SELECT term, scope, doc_id, pos::INT AS pos, row_number() OVER (PARTITION BY term, scope ORDER BY doc_id, pos) AS rank
-        FROM hits QUALIFY rank BETWEEN 11 AND 30""",
+    "survey_page": f"""{_HITS}, r AS (SELECT *, row_number() OVER (PARTITION BY term, scope ORDER BY doc_id, pos) AS rank, count(*) OVER (PARTITION BY term, scope) AS n FROM hits)
+        SELECT term, scope, doc_id, pos::INT AS pos, rank, CASE WHEN n > 30 THEN 31::BIGINT END AS next_cursor FROM r WHERE rank BETWEEN 11 AND 30""",
+    "survey_corpus": f"""{_HITS}, r AS (SELECT *, row_number() OVER (PARTITION BY term, scope ORDER BY doc_id, pos) AS rank FROM hits),
+        g AS (SELECT term, scope, string_agg(coalesce(lang, '') || '=' || n, ',' ORDER BY coalesce(lang, '')) AS by_group FROM (SELECT term, scope, lang, count(*) AS n FROM hits GROUP BY 1, 2, 3) GROUP BY 1, 2),
+        a AS (SELECT term, scope, count(*) AS s, count(DISTINCT doc_id) AS t, string_agg(doc_id || ':' || pos, ',' ORDER BY rank) FILTER (rank <= 20) AS page FROM r GROUP BY 1, 2)
+        SELECT t.term, t.scope, coalesce(a.s, 0) AS total_segments, coalesce(a.t, 0) AS total_texts, coalesce(by_group, '') AS by_group,
+        (SELECT count(*) FROM found f WHERE f.term = t.term AND f.scope = t.scope) AS n_forms, coalesce(page, '') AS page, CASE WHEN a.s > 20 THEN 21::BIGINT END AS next_cursor
+        FROM terms t LEFT JOIN a ON a.term = t.term AND a.scope = t.scope LEFT JOIN g ON g.term = t.term AND g.scope = t.scope""",
     "snapshot_diff": f"""{_HITS}, a AS (SELECT doc_id, pos::INT AS pos FROM hits WHERE term = 'der'), b AS (SELECT doc_id, pos::INT AS pos FROM hits WHERE term = 'the')
         SELECT *, 'lost' AS change FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b)
         UNION ALL SELECT *, 'gained' FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)""",
-    "upsert": """SELECT doc_id, CASE WHEN l.doc_id IS NOT NULL THEN l.quality::VARCHAR ELSE d.source END AS source
-        FROM documents d FULL JOIN labels l USING (doc_id)""",
     "sections_listing": """SELECT lang, string_agg(source, ',' ORDER BY source) AS sources, sum(n)::BIGINT AS n_texts
         FROM (SELECT lang, source, count(*) AS n FROM documents GROUP BY 1, 2) GROUP BY 1""",
-    "sentence_key": """SELECT doc_id, md5(array_to_string(regexp_extract_all(lower(strip_accents(coalesce(text, ''))), '[a-z0-9]+'), ' ')) AS key FROM documents""",
     "embedding_input": """SELECT doc_id, md5(concat_ws(' | ', CASE WHEN trim(text) <> '' THEN text END, CASE WHEN trim(lang) <> '' THEN lang END,
         CASE WHEN trim(source) <> '' THEN source END)) AS input FROM documents""",
-    "citations": """SELECT doc_id, coalesce(upper(source), '?') || ' (' || coalesce(lang, '?') || ', ' || doc_id || ')' AS citation,
-        'https://example.org/' || doc_id AS link FROM documents""",
-    "find_substring": f"""WITH {_SEGMENTS} SELECT doc_id, pos::INT AS pos FROM seg WHERE contains(lower(strip_accents(segment)), 'etion')
-        ORDER BY doc_id, pos LIMIT 50""",
     "coverage": f"""WITH {_TOKENS}, known AS (SELECT DISTINCT unnest(regexp_extract_all(lower(strip_accents(text)), '[a-z0-9]+')) AS token FROM benchmark)
         SELECT doc_id, count(*) AS n_tokens, count(k.token) AS n_known FROM tok LEFT JOIN known k USING (token) GROUP BY 1""",
     "corpus_checks": """SELECT 'null id' AS rule, count(*) FILTER (doc_id IS NULL) AS n FROM documents
@@ -232,3 +226,6 @@ ORACLE_SQL = {
     "export_conversations": """SELECT conv_id, count(*) AS n_turns, to_json({'conv_id': conv_id, 'turns':
         list({'turn': turn, 'role': role, 'text': text} ORDER BY turn, role, text)})::VARCHAR AS value FROM conversations GROUP BY conv_id""",
 }
+
+QUERIES |= JOBS
+ORACLE_SQL |= JOBS_SQL
