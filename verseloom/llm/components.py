@@ -11,6 +11,21 @@ from pyspark.sql import functions as F
 from verseloom.llm.common import checkpointed
 
 
+HOT = 1_000  # rows from which on a key goes to the executors instead of being a task's own
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str) -> DataFrame:
+    """``rows`` joined to ``groups(key, c, ...)``, which has one row a key and tells the number ``c`` of its rows.
+
+    Keys of more than ``HOT`` rows are broadcast, at most as many as all rows
+    divided by it, and their rows stay where they are; the others are joined by key.
+    """
+    large = groups.where(F.col("c") > HOT).drop("c")
+    small = groups.where(F.col("c") <= HOT).drop("c")
+    rest = rows.join(F.broadcast(large.select(key)), key, "left_anti")
+    return rows.join(F.broadcast(large), key).unionByName(rest.join(small, key))
+
+
 class Forest:
     """Union-find over the ids that one task meets; ``add`` is true for edges that join two trees."""
 
@@ -74,14 +89,14 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             break
         # large-star: neighbours above u hang under the smallest of u and its neighbours
         both = edges.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(edges.select("lo", "hi"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("c")).withColumn("m", F.least("u", "m"))
         large = (
-            both.join(least, "u").where("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo"))
+            join_groups(both, least, "u").where("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo"))
         ).distinct()
         # small-star: u and its smaller neighbours hang under the smallest of them
-        lows = large.groupBy("hi").agg(F.min("lo").alias("m"))
+        lows = large.groupBy("hi").agg(F.min("lo").alias("m"), F.count("*").alias("c"))
         small = (
-            large.join(lows, "hi").where("lo != m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
+            join_groups(large, lows, "hi").where("lo != m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
         ).union(lows.select("hi", F.col("m").alias("lo")))
         edges = checkpointed(small.distinct())
         before, state = state, _state(edges)

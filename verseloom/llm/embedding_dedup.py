@@ -1,12 +1,14 @@
 """Embedding near-duplicates: random-hyperplane signatures in several tables, exact cosines, components.
 
-Exact copies are one class, and classes are compared. A table cuts its own bits
-of a class's signature; classes that agree in a table's bits and label meet in
-one bucket, and there every pair gets its exact cosine. A pair that meets in
-several tables counts in the first of them only, which both signatures tell. So
-a bucket puts out numbers per class and a spanning forest of its links, never
-its pairs. Buckets above ``BLOCK`` classes are cut into blocks, and each pair of
-blocks is a group of its own.
+Exact copies are one class, and classes are compared. A class has one signature;
+each table cuts its own bits of it, and classes that agree in a table's bits and
+label meet in a bucket. First only ids and signatures are dealt to the buckets:
+a pair that meets is a candidate if its signatures differ in few bits, in the
+first of its common tables only. Then the vectors of the classes with a candidate
+go to those buckets, and there every pair gets its exact cosine. A bucket puts
+out numbers per class and a spanning forest of its links, never its pairs.
+Buckets above ``BLOCK`` classes are cut into blocks, and each pair of blocks is a
+group of its own.
 """
 
 from __future__ import annotations
@@ -20,12 +22,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verseloom.llm.common import checkpointed
-from verseloom.llm.components import Forest, connected_components
+from verseloom.llm.components import Forest, connected_components, join_groups
 
 MIN_COSINE = 0.98
 MISSED = 1e-3  # chance that a pair at MIN_COSINE meets in no table
 BUCKET = 32  # vectors a bucket would hold if their signs were even
 BLOCK = 2_000
+SENT = 200_000  # classes up to which the ids of those with candidates go to each executor
+CARRIED = 2  # words of a signature that go to the buckets
+ESTIMATE = 16  # one class of so many tells how full a bucket is; only the number of blocks depends on it
+STEPS = 64  # buckets up to this size are compared together
 SEED = 42
 
 
@@ -36,28 +42,130 @@ def plan(n: int, min_cosine: float = MIN_COSINE, missed: float = MISSED) -> tupl
     return bits, math.ceil(math.log(missed) / math.log1p(-meet))
 
 
+def wide(size: int, min_cosine: float, missed: float) -> int:
+    """Bits of ``size`` in which a pair at ``min_cosine`` differs, but for a chance of ``missed``."""
+    p, tail = math.acos(min_cosine) / math.pi, 1.0
+    for k in range(size + 1):
+        tail -= math.comb(size, k) * p**k * (1 - p) ** (size - k)
+        if tail <= missed:
+            return k
+    return size
+
+
 def _usable(embedding: Column) -> Column:
     bad = F.exists(embedding, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     return embedding.isNotNull() & ~bad & F.exists(embedding, lambda x: x != 0)
 
 
 def _signer(bits: int, tables: int, seed: int):
+    """The signature in words; a word holds the bits of as many whole tables as fit."""
     planes: dict[int, np.ndarray] = {}
+    each = 64 // bits
+    words = -(-tables // each)
 
     @F.pandas_udf("array<long>")
     def sign(vectors: pd.Series) -> pd.Series:
-        out = []
-        for v in vectors:
-            v = np.asarray(v, dtype=np.float64)
-            if len(v) not in planes:
-                planes[len(v)] = np.random.default_rng(seed).standard_normal((tables * bits, len(v)))
-            set_ = (planes[len(v)] @ (v / np.abs(v).max()) > 0).reshape(tables, bits)
-            out.append(set_ @ (1 << np.arange(bits, dtype=np.int64)))
+        out = np.empty(len(vectors), dtype=object)
+        sizes = vectors.map(len).to_numpy()
+        for dim in np.unique(sizes):
+            if dim not in planes:
+                planes[dim] = np.random.default_rng(seed).standard_normal((tables * bits, dim)).T
+            at = np.flatnonzero(sizes == dim)
+            block = np.stack(vectors.iloc[at].to_list()).astype(np.float64)
+            side = (block / np.abs(block).max(axis=1, keepdims=True)) @ planes[dim] > 0
+            side = side.reshape(len(at), tables, bits) @ (np.uint64(1) << np.arange(bits, dtype=np.uint64))
+            got = np.zeros((len(at), words), dtype=np.uint64)
+            for t in range(tables):
+                got[:, t // each] |= side[:, t].astype(np.uint64) << np.uint64(t % each * bits)
+            for k, row in zip(at, got.view(np.int64)):
+                out[k] = row
         return pd.Series(out)
 
     return sign
 
 
+def _keys(words: Column, bits: int, tables: int) -> Column:
+    each = 64 // bits
+    part = lambda t: F.shiftrightunsigned(F.get(words, F.lit(t // each)), t % each * bits)
+    return F.array(*[part(t).bitwiseAND(F.lit((1 << bits) - 1)) for t in range(tables)])
+
+
+def _met_before(a: np.ndarray, b: np.ndarray, t: np.ndarray, bits: int) -> np.ndarray:
+    """Whether two signatures (rows of words) agree in a table before ``t``, as far as the words tell."""
+    each, mask = 64 // bits, np.uint64((1 << bits) - 1)
+    met = np.zeros(len(a), dtype=bool)
+    for k in range(min(int(t.max(initial=0)), each * a.shape[1])):
+        other = (a[:, k // each] ^ b[:, k // each]) >> np.uint64(k % each * bits)
+        met |= ((other & mask) == 0) & (k < t)
+    return met
+
+
+def _groups(columns: list[str], done):
+    """Runs ``done(rows)`` on all whole groups of a sorted task; ``rows`` maps names to arrays, groups not cut."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for frame in frames:
+            new = {c: frame[c].to_numpy() for c in frame.columns}
+            rows = new if held is None else {c: np.concatenate((held[c], new[c])) for c in new}
+            if not len(rows["id"]):
+                continue
+            other = np.zeros(len(rows["id"]), dtype=bool)
+            for c in columns:
+                other |= rows[c] != rows[c][-1]
+            cut = np.flatnonzero(other)
+            cut = int(cut[-1]) + 1 if len(cut) else 0
+            if cut:
+                yield from done({c: x[:cut] for c, x in rows.items()})
+            held = {c: x[cut:] for c, x in rows.items()}
+        if held is not None and len(held["id"]) > 1:
+            yield from done(held)
+
+    return run
+
+
+def _starts(rows: dict[str, np.ndarray], columns: list[str]) -> np.ndarray:
+    new = np.zeros(len(rows["id"]), dtype=bool)
+    new[0] = True
+    for c in columns:
+        new[1:] |= rows[c][1:] != rows[c][:-1]
+    return np.append(np.flatnonzero(new), len(new))
+
+
+def _candidates(bits: int, limit: int):
+    """Of each bucket the classes with a candidate partner that they meet in it first."""
+    group = ["bucket", "i", "j"]
+
+    def done(rows: dict[str, np.ndarray]) -> Iterator[pd.DataFrame]:
+        words = np.stack([rows[c].view(np.uint64) for c in rows if c.startswith("w")], axis=1)
+        starts = _starts(rows, group)
+        sizes = np.diff(starts)
+        of, live = np.repeat(np.arange(len(sizes)), sizes), np.zeros(len(words), dtype=bool)
+
+        def mark(p: np.ndarray, q: np.ndarray) -> None:
+            near = np.bitwise_count(words[p] ^ words[q]).sum(axis=1, dtype=np.int64) <= limit
+            p, q = p[near], q[near]
+            new = ~_met_before(words[p], words[q], rows["t"][p], bits)
+            live[p[new]] = live[q[new]] = True
+
+        small = (sizes <= STEPS)[of]
+        for step in range(1, int(sizes[sizes <= STEPS].max(initial=1))):
+            p = np.flatnonzero((of[:-step] == of[step:]) & small[:-step])
+            both = (rows["block"][p] == rows["i"][p]) & (rows["block"][p + step] == rows["j"][p])
+            both |= (rows["block"][p] == rows["j"][p]) & (rows["block"][p + step] == rows["i"][p])
+            mark(p[both], p[both] + step)
+        for k in np.flatnonzero(sizes > STEPS).tolist():
+            at = np.arange(starts[k], starts[k + 1])
+            own = at[rows["block"][at] == rows["i"][at[0]]]
+            other = at[rows["block"][at] == rows["j"][at[0]]]
+            for x in own.tolist():
+                mate = other[other > x] if rows["i"][at[0]] == rows["j"][at[0]] else other
+                mark(np.full(len(mate), x), mate)
+        yield pd.DataFrame({c: rows[c][live] for c in ("bucket", "t", "id")}).drop_duplicates()
+
+    return _groups(group, done)
+
+
 class _Found:
     """Numbers of links by class, and forest edges, of the buckets of one batch."""
 
@@ -70,14 +178,15 @@ class _Found:
         return out
 
 
-def _compare(rows: dict[str, np.ndarray], min_cosine: float, forest: Forest, found: _Found) -> None:
+def _compare(rows: dict[str, np.ndarray], bits: int, min_cosine: float, forest: Forest, found: _Found) -> None:
     """Links of one bucket, or between two blocks of one. Vectors of different lengths have no cosine."""
-    table, left, right = int(rows["t"][0]), rows["i"][0], rows["j"][0]
+    left, right = rows["i"][0], rows["j"][0]
     ids, size, block = rows["id"], rows["n"], rows["block"]
+    words = np.stack(rows["s"]).view(np.uint64)
     dims = np.fromiter(map(len, rows["v"]), np.int64, len(ids))
     links = np.zeros(len(ids), dtype=np.int64)
-    for dim in np.unique(dims):
-        at = np.flatnonzero(dims == dim)
+    for dim, label in {*zip(dims.tolist(), rows["label_id"].tolist())}:
+        at = np.flatnonzero((dims == dim) & (rows["label_id"] == label))
         if len(at) < 2:
             continue
         unit = np.stack(rows["v"][at]).astype(np.float64)
@@ -90,9 +199,8 @@ def _compare(rows: dict[str, np.ndarray], min_cosine: float, forest: Forest, fou
             if left == right:
                 p, q = p[p < q], q[p < q]
             p, q = at[p], at[q]
-            if table and len(p):
-                earlier = np.stack(rows["s"][p])[:, :table] == np.stack(rows["s"][q])[:, :table]
-                p, q = p[~earlier.any(axis=1)], q[~earlier.any(axis=1)]
+            new = ~_met_before(words[p], words[q], rows["t"][p], bits)
+            p, q = p[new], q[new]
             np.add.at(links, p, size[q])
             np.add.at(links, q, size[p])
             for m, n in zip(ids[p].tolist(), ids[q].tolist()):
@@ -106,28 +214,44 @@ def _compare(rows: dict[str, np.ndarray], min_cosine: float, forest: Forest, fou
     found.links += links[some].tolist()
 
 
-def _buckets(min_cosine: float):
-    keys = ["t", "key", "i", "j", "label_id"]
+def _links(bits: int, min_cosine: float):
+    group = ["bucket", "i", "j"]
+    forest, found = Forest(), _Found()
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        forest, found, held = Forest(), _Found(), None
-        for frame in frames:
-            new = {c: frame[c].to_numpy() for c in frame.columns}
-            rows = new if held is None else {c: np.concatenate((held[c], new[c])) for c in new}
-            if not len(rows["id"]):
-                continue
-            key = np.stack([rows[c].astype(np.int64) for c in keys], axis=1)
-            starts = np.concatenate(([0], np.flatnonzero((np.diff(key, axis=0) != 0).any(axis=1)) + 1))
-            for low, high in zip(starts.tolist(), starts[1:].tolist()):
-                if high - low > 1:
-                    _compare({c: x[low:high] for c, x in rows.items()}, min_cosine, forest, found)
-            held = {c: x[starts[-1] :] for c, x in rows.items()}
-            yield found.frame()
-        if held is not None and len(held["id"]) > 1:
-            _compare(held, min_cosine, forest, found)
-            yield found.frame()
+    def done(rows: dict[str, np.ndarray]) -> Iterator[pd.DataFrame]:
+        starts = _starts(rows, group)
+        for low, high in zip(starts.tolist(), starts[1:].tolist()):
+            if high - low > 1:
+                _compare({c: x[low:high] for c, x in rows.items()}, bits, min_cosine, forest, found)
+        yield found.frame()
+
+    return _groups(group, done)
+
+
+def class_ids(classes: DataFrame) -> DataFrame:
+    """``classes(h1, h2, ...)``, unique in both hashes together, with an ``id`` of 64 bits that no two share."""
+    clash = checkpointed(classes.groupBy("h1").agg(F.count("*").alias("c"), F.min("h2").alias("first")).where("c > 1"))
+    if not clash.limit(1).count():
+        return classes.withColumn("id", F.col("h1"))
+    own = F.when(F.coalesce(F.col("h2") == F.col("first"), F.lit(True)), F.col("h1")).otherwise(F.xxhash64("h1", "h2"))
+    return classes.join(clash.select("h1", "first"), "h1", "left").withColumn("id", own).drop("first")
+
+
+def _blocked(rows: DataFrame, hot: DataFrame) -> DataFrame:
+    """Rows of buckets once for each pair of blocks that they are part of; ``hot(bucket, blocks)`` names those of several."""
+    rows = rows.join(hot, "bucket", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    rows = rows.withColumn("block", F.expr("cast(pmod(xxhash64(id), blocks) as int)"))
+    pairs = F.transform(
+        F.sequence(F.lit(0), F.col("blocks") - 1),
+        lambda x: F.struct(F.least(x, "block").alias("i"), F.greatest(x, "block").alias("j")),
+    )
+    return rows.withColumn("p", F.explode(pairs)).select("*", "p.i", "p.j").drop("p", "blocks")
 
-    return run
+
+def _hot(counts: DataFrame, block: float) -> DataFrame:
+    """Buckets above ``block`` rows: at most all rows divided by it, and sent to the executors only while they are few."""
+    hot = checkpointed(counts.where(F.col("count") > block).select("bucket", F.ceil(F.col("count") / block).cast("int").alias("blocks")))
+    return F.broadcast(hot) if hot.count() <= SENT else hot
 
 
 def near_duplicates(
@@ -141,60 +265,72 @@ def near_duplicates(
     components, and those without a label, have no links. Rows with a null id
     count as links of others but name no component unless it has no other id.
     Repeated rows are copies of each other. An empty table gives an empty result.
+    Other columns are not read. Copies and labels are told by hashes of 128 and
+    64 bits.
     """
-    rows = vectors.select(
-        "vec_id", F.col("label"), F.col("embedding").cast("array<double>").alias("v")
-    ).withColumn("ok", F.coalesce(_usable(F.col("v")), F.lit(False)) & F.col("label").isNotNull())
+    plain = vectors.schema["embedding"].dataType.elementType.simpleString()
+    v = F.col("embedding") if plain in ("float", "double") else F.col("embedding").cast("array<double>")
+    rows = vectors.select("vec_id", "label", v.alias("v")).withColumn(
+        "ok", F.coalesce(_usable(F.col("v")), F.lit(False)) & F.col("label").isNotNull()
+    )
     single = rows.where(~F.col("ok")).select(
         "vec_id",
         F.lit(0).cast("long").alias("n_links"),
         F.col("vec_id").alias("component_id"),
         F.lit(True).alias("kept"),
     )
-    rows = rows.where("ok")
-    # a class is all copies of one vector under one label; its id is a hash, and the vector itself where two clash
-    classes = checkpointed(
-        rows.groupBy("label", "v")
-        .agg(F.count("*").alias("n"), F.min("vec_id").alias("least"))
-        .withColumn("id", F.xxhash64(F.col("label").cast("string"), "v"))
+    label = F.col("label").cast("string")
+    rows = rows.where("ok").select(
+        "vec_id", "v", F.xxhash64(label, "v").alias("h1"), F.xxhash64(F.lit(seed), label, "v").alias("h2"), F.xxhash64(label).alias("label_id")
     )
-    bits, tables = plan(classes.count(), min_cosine, missed)
-    signed = classes.select(
-        "id", F.xxhash64(F.col("label").cast("string")).alias("label_id"), "v", "n", _signer(bits, tables, seed)("v").alias("s")
+    bits, tables = plan(vectors.count(), min_cosine, missed)
+    # a class is all copies of one vector under one label
+    classes = rows.select("vec_id", "h1", "h2", "label_id", _signer(bits, tables, seed)("v").alias("s")).groupBy("h1", "h2").agg(
+        F.count("*").alias("n"), F.min("vec_id").alias("least"), F.first("label_id").alias("label_id"), F.first("s").alias("s")
     )
-    dealt = signed.select("*", F.posexplode("s").alias("t", "key"))
-    sizes = dealt.groupBy("label_id", "t", "key").count().where(F.col("count") > 1)
-    dealt = dealt.join(sizes, ["label_id", "t", "key"])
-    dealt = dealt.withColumn("blocks", F.ceil(F.col("count") / block).cast("int"))
-    dealt = dealt.withColumn("block", F.expr("cast(pmod(id, blocks) as int)"))
-    pairs = F.transform(
-        F.sequence(F.lit(0), F.col("blocks") - 1),
-        lambda x: F.struct(F.least(x, "block").alias("i"), F.greatest(x, "block").alias("j")),
-    )
-    keys = ["t", "key", "i", "j", "label_id"]
-    dealt = dealt.select("id", "label_id", "v", "n", "s", "t", "key", "block", F.explode(pairs).alias("p")).select(
-        "id", "label_id", "v", "n", "s", "t", "key", "block", "p.i", "p.j"
+    classes = checkpointed(class_ids(checkpointed(classes)))
+    each = 64 // bits
+    carried = min(CARRIED, -(-tables // each))
+    limit = wide(bits * min(tables, carried * each), min_cosine, missed / 1000)
+    met = classes.select(
+        "id", "label_id", *[F.get("s", F.lit(k)).alias(f"w{k}") for k in range(carried)], F.posexplode(_keys(F.col("s"), bits, tables)).alias("t", "key")
     )
-    found = checkpointed(
+    met = met.withColumn("bucket", F.xxhash64("label_id", "t", "key")).drop("label_id", "key")
+    share = ESTIMATE if block >= 16 * ESTIMATE else 1
+    counts = met.where(F.pmod(F.xxhash64("id"), F.lit(share)) == 0).groupBy("bucket").count()
+    keys = ["bucket", "i", "j"]
+    dealt = _blocked(met, _hot(counts.withColumn("count", F.col("count") * share), block))
+    live = checkpointed(
         dealt.repartition(*keys)
         .sortWithinPartitions(*keys)
-        .mapInPandas(_buckets(min_cosine), "a long, b long, links long")
+        .mapInPandas(_candidates(bits, limit), "bucket long, t int, id long")
+        .distinct()
+    )
+    ids = live.select("id").distinct()
+    chosen = checkpointed(classes.join(ids, "id", "left_semi").select("h1", "h2", "id", "label_id", "n", "s", "least"))
+    sent = F.broadcast(chosen.select("h1", "h2", "least")) if chosen.count() <= SENT else chosen.select("h1", "h2", "least")
+    one = rows.select("vec_id", "h1", "h2", "v").join(sent, ["h1", "h2"]).where(F.col("vec_id").eqNullSafe(F.col("least")))
+    one = one.groupBy("h1", "h2").agg(F.first("v").alias("v"))  # where rows repeat
+    full = chosen.drop("least").join(one, ["h1", "h2"]).drop("h1", "h2").join(live, "id")
+    full = _blocked(full, _hot(live.groupBy("bucket").count(), block))
+    found = checkpointed(
+        full.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(_links(bits, min_cosine), "a long, b long, links long")
     )
     links = found.where("links > 0").groupBy(F.col("a").alias("id")).agg(F.sum("links").alias("links"))
     parts = connected_components(found.where("links = 0").select("a", "b"))
-    known = classes.join(links, "id", "left").join(parts, classes["id"] == parts["node"], "left")
+    known = classes.join(links, "id", "left").join(parts, F.col("id") == F.col("node"), "left")
     known = checkpointed(
         known.select(
-            "label",
-            "v",
+            "h1",
+            "h2",
             "least",
             (F.coalesce("links", F.lit(0)) + F.col("n") - 1).cast("long").alias("n_links"),
             F.coalesce("component", "id").alias("component"),
         )
     )
-    named = known.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_vector = known.join(named, "component").select("label", "v", "n_links", "component_id")
-    linked = rows.join(by_vector, ["label", "v"]).select(
+    named = known.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("c"))
+    by_vector = join_groups(known, named, "component").select("h1", "h2", "n_links", "component_id")
+    linked = rows.select("vec_id", "h1", "h2").join(by_vector, ["h1", "h2"]).select(
         "vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept")
     )
     return linked.union(single)
