@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verseloom.llm.common import checkpointed, serving
-from verseloom.llm.components import Forest, connected_components
+from verseloom.llm.components import Forest, connected_components, join_groups
 
 SEED = 42
 SHINGLE = 4
@@ -153,6 +153,8 @@ def link_fingerprints(prints: DataFrame, max_bits: int = MAX_BITS, block: int =
     """Components of distinct fingerprints ``fp`` (long): ``node``, ``component``; unlinked ones are absent."""
     if max_bits > 2 * len(SEGMENTS) - 1:
         raise ValueError("three segments with one deleted bit cover at most 5 differing bits")
+    # 64 rows a fingerprint: dealt out first, as a few tasks hold many of these short rows
+    prints = prints.repartition(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     index = prints.select("fp", F.explode(_variants(F.col("fp"))).alias("key"))
     values = F.array(
         *[
@@ -186,16 +188,19 @@ def _links_across(prints: DataFrame, hot: DataFrame, part: DataFrame, max_bits:
         "fp", F.coalesce("component", "fp").alias("component")
     )
     rows = known.select("fp", "component", F.explode(_variants(F.col("fp"))).alias("key"))
-    rows = checkpointed(rows.join(hot.select("key"), "key", "left_semi"))
+    salt = F.expr("pmod(xxhash64(fp), blocks)")
+    rows = checkpointed(rows.join(hot, "key").withColumn("salt", salt))
     largest = (
         rows.groupBy("key", "component").count().groupBy("key").agg(F.max_by("component", "count").alias("largest"))
     )
     others = rows.join(largest, "key").where("component != largest")
-    others = others.select("key", F.col("fp").alias("a"), F.col("component").alias("of_a"))
+    # each of these goes to all blocks of its bucket, so that no bucket is one task's
+    others = others.select(
+        "key", F.col("fp").alias("a"), F.col("component").alias("of_a"), F.explode(F.expr("sequence(0l, blocks - 1)")).alias("salt")
+    )
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("fp"))) <= max_bits
-    return others.join(rows, (others["key"] == rows["key"]) & (F.col("of_a") != F.col("component")) & near).select(
-        "a", F.col("fp").alias("b")
-    ).distinct()
+    found = others.join(rows, ["key", "salt"]).where((F.col("of_a") != F.col("component")) & near)
+    return found.select("a", F.col("fp").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS, block: int = BLOCK) -> DataFrame:
@@ -213,9 +218,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX
     joined = classes.join(parts, classes["fp"] == parts["node"], "left").select(
         "fp", "least", F.coalesce("component", "fp").alias("component")
     )
-    named = joined.join(
-        joined.groupBy("component").agg(F.min("least").alias("component_id")), "component"
-    ).select("fp", "component_id")
+    groups = joined.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("c"))
+    named = join_groups(joined, groups, "component").select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
@@ -223,7 +227,8 @@ def deduplicate(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BIT
     """The rows of ``docs`` that stay: one of each component, with the smallest ``doc_id`` (nulls last).
 
     All columns of ``docs`` are returned, whatever their names. Rows that share
-    the smallest ``doc_id`` are taken by smallest fingerprint, one of them.
+    the smallest ``doc_id`` are taken by smallest fingerprint, one of them. Null,
+    empty and blank texts are copies of each other; an empty table stays empty.
     """
     found = near_duplicates(docs, shingle, max_bits)
     order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.col("fp").alias("f"))
@@ -231,13 +236,13 @@ def deduplicate(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BIT
     keep = (
         found.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("alone"))
         .agg(F.min(order).alias("k"))
-        .select(F.col("k.i").alias("__keep_id"), F.col("k.f").alias("__keep_fp"))
-    )
-    marked = docs.withColumn("__fp", fingerprint_column(F.col("text"), shingle))
-    kept = marked.join(
-        keep, marked["doc_id"].eqNullSafe(keep["__keep_id"]) & (marked["__fp"] == keep["__keep_fp"]), "left_semi"
+        .select(F.col("k.i").alias("keep_id"), F.col("k.f").alias("keep_fp"))
     )
-    return kept.dropDuplicates(["doc_id", "__fp"]).select(docs.columns)
+    # the row itself is one column, so that none of its names can clash
+    marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("own_id"))
+    marked = marked.withColumn("own_fp", fingerprint_column(F.col("row.text"), shingle))
+    same = F.col("own_id").eqNullSafe(F.col("keep_id")) & (F.col("own_fp") == F.col("keep_fp"))
+    return marked.join(keep, same, "left_semi").dropDuplicates(["own_id", "own_fp"]).select("row.*")
 
 
 def op2_simhash(spark, sf_dir: str) -> DataFrame:
