@@ -15,9 +15,11 @@ WORD_SPACE_CLASS = r"[\x20\x09-\x0D]"
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Point checkpoints at the cluster's shared folder; set one of our own only where none is named."""
+    """Point checkpoints at the cluster's shared folder; set one of our own only where none is named and one machine runs all."""
     if spark.sparkContext.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-checkpoint-"))
 
 
@@ -34,10 +36,6 @@ def word_array(text: Column) -> Column:
     return F.when(trimmed == "", empty).otherwise(F.split(trimmed, WORD_SPACE_CLASS + "+"))
 
 
-def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 _memos: list[Memo] = []
 _serving: list[str] = [""]
 
