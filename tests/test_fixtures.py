@@ -286,3 +286,29 @@ def test_partitioning_changes_nothing(spark, name):
 def test_fold_of_odd_texts(spark):
     rows = frame(spark, [("Ærø Straße",), (None,), ("",), ("e\u0301",)], "t string")
     assert [r[0] for r in rows.select(fold(F.col("t"))).collect()] == ["ærø straße", "", "", "e"]
+
+
+def test_word_report(spark):
+    words = frame(spark, [("mind", "b", "2"), ("mind", "a", "1"), ("mindful", "a", "3"), ("remind", "a", "4"), ("minder", "a", "5")], "word string, source string, text string")
+    tokens = frame(spark, [("t1", 0, ["mind"]), ("t1", 1, ["mind", "x"]), ("t2", 0, ["mind"]), ("t3", 0, [])], "text_id string, pos int, tokens array<string>")
+    got = {r.asked: r for r in dictionary.word_report(["mind", "minde", "zz"], words, tokens).collect()}
+    assert [tuple(e) for e in got["mind"].entries] == [("a", "1"), ("b", "2")] and got["mind"].suggestions is None
+    assert got["mind"].related == ["minder", "remind", "mindful"]
+    assert {x.split(":")[0] for x in got["mind"].examples} == {"t1", "t2"} and len(got["mind"].examples) == 2
+    assert got["minde"].entries is None and got["minde"].suggestions == ["minder"]
+    assert got["zz"].related is None and got["zz"].examples is None
+
+
+def test_definitions_page(spark):
+    rows = [("sn1:0.1", "Title one"), ("sn1:1.1", "katamaṁ jhānaṁ?"), ("sn1:1.2", "a"), ("sn1:1.3", "idaṁ vuccati jhānaṁ"), ("mn2:0.1", "~")]
+    rows += [(f"mn2:{k}.1", f"jhānaṁ {k} vuccati") if k % 20 == 0 else (f"mn2:{k}.1", f"line {k}") for k in range(1, 90)]
+    source = segs(spark, rows)
+    page = definitions.definitions_page(source, ["jhāna"], canon.CANON, texts.text_titles(source, ["text"]), 3, 2).orderBy("rank").collect()
+    assert [(r.segment_id, r.title) for r in page] == [("sn1:1.3", "Title one"), ("mn2:20.1", None), ("mn2:40.1", None)]
+
+
+def test_export_texts(spark):
+    rows = segs(spark, [("mn1:1.1", "a"), ("mn1:1.2", None)])
+    value = texts.export_texts(rows, frame(spark, [("mn1", "en"), ("mn2", None)], "text_id string, lang string")).orderBy("text_id").collect()
+    assert json.loads(value[0].value) == {"text_id": "mn1", "lang": "en", "segments": [{"pos": 0, "segment_id": "mn1:1.1", "text": "a"}, {"pos": 1, "segment_id": "mn1:1.2", "text": None}]}
+    assert json.loads(value[1].value) == {"text_id": "mn2", "lang": None, "segments": None}
