@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from verseloom.llm.common import checkpointed
 
 
+EACH = 20_000  # edges a task, at least, where there are enough
 HOT = 1_000  # rows from which on a key goes to the executors instead of being a task's own
 
 
@@ -82,7 +83,13 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     edges = edges.select(
         F.greatest("a", "b").cast("long").alias("hi"), F.least("a", "b").cast("long").alias("lo")
     ).where("a is not null and b is not null and a != b")
-    edges = checkpointed(edges.mapInPandas(_stars, "hi long, lo long").distinct())
+    edges = checkpointed(edges.mapInPandas(_stars, "hi long, lo long"))
+    tasks = edges.count() // EACH + 1
+    # few edges in many tasks: each step would write more files than rows
+    edges = checkpointed(edges.coalesce(tasks).mapInPandas(_stars, "hi long, lo long"))
+    if tasks == 1:
+        return _named(edges)
+    edges = checkpointed(edges.distinct())
     state = _state(edges)
     for _ in range(max_rounds):
         if not state[0]:
@@ -104,5 +111,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             break
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    return _named(edges)
+
+
+def _named(edges: DataFrame) -> DataFrame:
     roots = edges.select(F.col("lo").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return edges.select(F.col("hi").alias("node"), F.col("lo").alias("component")).union(roots)
