@@ -1,47 +1,70 @@
 """Surveys: exact occurrence of many terms over the whole corpus.
 
-Terms are the caller's list (1,000 at most): words, stems or phrases. Words and
+Terms are words, stems or phrases, in a list or a table of any size. Words and
 stems are matched against the distinct vocabulary, which is small beside the
-corpus, and then joined to it by equality.
+corpus, and then joined to it by equality; all phrases are looked for in one pass.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from verseloom.functions.text import fold, folded_tokens, surface_tokens
+from verseloom.operators.needles import needle_hits
+from verseloom.operators.shared import BROADCAST_ROWS, checkpointed, join_counted
 
-MAX_TERMS = 1_000
 
+def term_table(spark: SparkSession, terms: list[tuple[str, str]] | DataFrame) -> DataFrame:
+    """Terms with their scope, "word" or "stem", each once; a list or ``terms(term, scope)``. One with a blank inside is a ``phrase``."""
+    rows = terms.select("term", "scope").distinct() if isinstance(terms, DataFrame) else spark.createDataFrame(list(dict.fromkeys(terms)), "term string, scope string")
+    return rows.withColumn("needle", fold(F.col("term"))).withColumn("phrase", F.contains("needle", F.lit(" ")))
 
-def term_table(spark: SparkSession, terms: list[tuple[str, str]]) -> DataFrame:
-    """Terms with their scope, "word" or "stem"; as many rows as the caller lists. One with a blank inside is a ``phrase``."""
-    if len(terms) > MAX_TERMS:
-        raise ValueError(f"at most {MAX_TERMS} terms a call")
-    rows = spark.createDataFrame(terms, "term string, scope string").withColumn("needle", fold(F.col("term")))
-    return rows.withColumn("phrase", F.contains("needle", F.lit(" ")))
+
+def _stem_lengths(terms: DataFrame) -> list[int]:
+    """Lengths of the stems; as few as there are lengths of words."""
+    stems = terms.where("not phrase and scope = 'stem' and needle != ''")
+    return sorted(r[0] for r in stems.select(F.length("needle")).distinct().collect())
+
+
+def _keys(word: Column, lengths: list[int]) -> Column:
+    """What the terms of a folded word are looked up by: the word, and its beginnings of the stems' lengths."""
+    starts = [F.when(F.length(word) >= n, F.concat(F.lit("s"), F.substr(word, F.lit(1), F.lit(n)))) for n in lengths]
+    return F.array(F.concat(F.lit("w"), word), *starts)
+
+
+def _keyed(terms: DataFrame) -> DataFrame:
+    """Words and stems with the key that ``_keys`` gives to what they match."""
+    single = terms.where("not phrase and needle != ''")
+    return single.select("term", "scope", F.concat(F.when(F.col("scope") == "stem", "s").otherwise("w"), "needle").alias("key"))
 
 
 def _matched(vocabulary: DataFrame, folded: str, terms: DataFrame) -> DataFrame:
-    """``term``, ``scope`` and the columns of a distinct vocabulary: its folded words equal to a word or starting with a stem.
+    """``term``, ``scope`` and the columns of a distinct vocabulary: its folded words equal to a word or starting with a stem, by an equality join."""
+    keys = _keys(F.col(folded), _stem_lengths(terms))
+    return vocabulary.withColumn("key", F.explode(keys)).join(_keyed(terms), "key").drop("key")
 
-    Every beginning of a distinct word is a row, so that stems are an equality join too.
-    """
-    heads = F.transform(F.sequence(F.lit(1), F.length(folded)), lambda n: F.substr(F.col(folded), F.lit(1), n))
-    rows = vocabulary.where(F.length(folded) > 0).select("*", F.explode(heads).alias("needle"))
-    single = terms.where("not phrase").select("term", "scope", "needle")
-    return rows.join(F.broadcast(single), "needle").where((F.col("scope") == "stem") | (F.col(folded) == F.col("needle"))).drop("needle")
 
+def term_hits(segments: DataFrame, terms: DataFrame, few: int = BROADCAST_ROWS) -> DataFrame:
+    """One row for each term and segment that holds it: whole folded words, words that start with a stem, or phrases as parts of the folded text.
 
-def term_hits(segments: DataFrame, terms: DataFrame) -> DataFrame:
-    """One row for each term and segment that holds it: whole folded words, words that start with a stem, or phrases as parts of the folded text."""
-    tokens = segments.withColumn("token", F.explode(F.array_distinct(folded_tokens(F.col("segment")))))
-    found = _matched(tokens.select("token").distinct(), "token", terms).select("term", "scope", "token")
-    hits = tokens.join(found, "token").select(*segments.columns, "term", "scope").dropDuplicates(["term", "scope", "doc_id", "pos"])
-    phrases = F.broadcast(terms.where("phrase").select("term", "scope", "needle"))
-    more = segments.join(phrases, F.contains(fold(F.col("segment")), F.col("needle"))).select(*segments.columns, "term", "scope")
-    return hits.union(more)
+    Up to ``few`` terms are sent to all executors and the segments read once. More
+    are matched with the distinct vocabulary first and joined to the segments by
+    token, where the rows of a frequent token are split. Phrases of any number
+    take one more pass.
+    """
+    rows = segments.withColumn("token", F.explode(folded_tokens(F.col("segment"))))
+    if terms.limit(few + 1).count() <= few:
+        keys = rows.withColumn("key", F.explode(_keys(F.col("token"), _stem_lengths(terms))))
+        hits = keys.join(F.broadcast(_keyed(terms)), "key")
+    else:
+        counted = checkpointed(rows.groupBy("token").agg(F.count("*").alias("n")))
+        total = counted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        hits = join_counted(rows, _matched(counted, "token", terms), "token", total, ["doc_id", "pos"], few)
+    hits = hits.select(*segments.columns, "term", "scope").dropDuplicates(["term", "scope", "doc_id", "pos"])
+    phrases = terms.where("phrase").select("term", "scope", "needle")
+    more = needle_hits(segments, {"segment": fold(F.col("segment"))}, phrases).join(phrases, "needle")
+    return hits.union(more.select(*segments.columns, "term", "scope"))
 
 
 def survey_totals(segments: DataFrame, terms: DataFrame) -> DataFrame:
@@ -83,7 +106,7 @@ def survey_page(hits: DataFrame, start: int, size: int) -> DataFrame:
 
 def survey_corpus(segments: DataFrame, terms: DataFrame, start: int, size: int) -> DataFrame:
     """All parts of a survey, a row a term: totals, segments by level-1 key, the forms found, a page of hits and the next cursor."""
-    hits = term_hits(segments, terms)
+    hits = checkpointed(term_hits(segments, terms))
     keys = ["term", "scope"]
     per_text = hits.groupBy(*keys, "lang", "doc_id").count()
     per_lang = per_text.groupBy(*keys, "lang").agg(F.sum("count").alias("s"), F.count("*").alias("t"))
