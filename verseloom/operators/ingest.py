@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from verseloom.functions.text import folded_tokens
+from verseloom.operators.shared import checkpointed
 
 
 def last_rows(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -79,9 +80,52 @@ def posting_statistics(postings: DataFrame, key: str) -> DataFrame:
     return per_row.groupBy("token").agg(F.count("*").alias("df"), F.sum("n").cast("long").alias("n"))
 
 
-def write_postings(postings: DataFrame, table: str, buckets: int) -> None:
-    """Save postings as a table bucketed by token, so that joins on it need no shuffle."""
-    postings.write.mode("overwrite").bucketBy(buckets, "token").sortBy("token").saveAsTable(table)
+def token_statistics(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """Rows and occurrences of each folded token of some text columns, counted without positions."""
+    tokens = F.flatten(F.array(*[folded_tokens(F.col(c)) for c in columns]))
+    per_row = rows.select(key, F.explode(tokens).alias("token")).groupBy("token", key).agg(F.count("*").alias("n"))
+    return per_row.groupBy("token").agg(F.count("*").alias("df"), F.sum("n").cast("long").alias("n"))
+
+
+def _save(rows: DataFrame, name: str, path: str | None, buckets: int = 0, mode: str = "overwrite") -> None:
+    writer = rows.write.mode(mode)
+    if path:
+        writer = writer.option("path", f"{path}/{name}")
+    if buckets:
+        writer = writer.bucketBy(buckets, "token").sortBy("token")
+    writer.saveAsTable(name)
+
+
+def write_index(rows: DataFrame, key: str, columns: list[str], name: str, buckets: int, path: str | None = None, mode: str = "overwrite") -> None:
+    """Save the word index of some text columns as three tables: postings, bucketed and sorted by token; sizes of rows; statistics of tokens.
+
+    ``mode`` "append" adds the rows as another batch; ``add_to_index`` sees to it
+    that no row is added twice.
+    """
+    _save(build_postings(rows, key, columns), f"{name}_postings", path, buckets, mode)
+    size = F.lit(0)
+    for c in columns:
+        size = size + F.size(folded_tokens(F.col(c)))
+    _save(rows.select(key, size.alias("size")), f"{name}_sizes", path, 0, mode)
+    _save(token_statistics(rows, key, columns), f"{name}_statistics", path, buckets, mode)
+
+
+def add_to_index(rows: DataFrame, key: str, columns: list[str], name: str, buckets: int, path: str | None = None) -> None:
+    """Add the ``rows`` that the index doesn't have yet; those it has keep their postings. No file is rewritten.
+
+    The keys are told apart before anything is written, so that the three tables
+    get the same rows.
+    """
+    known = rows.sparkSession.table(f"{name}_sizes").select(key)
+    new = checkpointed(rows.select(key, *columns).join(known, key, "left_anti").dropDuplicates([key]))
+    write_index(new, key, columns, name, buckets, path, "append")
+
+
+def read_index(spark: SparkSession, name: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Postings, sizes and statistics of an index; a filter on ``token`` reads its buckets only."""
+    parts = spark.table(f"{name}_statistics")
+    statistics = parts.groupBy("token").agg(F.sum("df").alias("df"), F.sum("n").alias("n"))
+    return spark.table(f"{name}_postings"), spark.table(f"{name}_sizes"), statistics
 
 
 def export_tables(tables: dict[str, tuple[DataFrame, list[str]]], path: str) -> DataFrame:
@@ -121,8 +165,3 @@ def search_substring(rows: DataFrame, needle: str, root: str, other: str, fold,
     in_root, in_other = F.contains(fold(F.col(root)), text), F.contains(fold(F.col(other)), text)
     hits = rows.where((F.length(text) >= 3) & (in_root | in_other)).withColumn("matched", F.when(in_root, root).otherwise(other))
     return hits.orderBy("text_id", "pos").limit(k)
-
-
-def best_by(rows: DataFrame, by: list[str], order: list, k: int) -> DataFrame:
-    w = Window.partitionBy(*by).orderBy(*order)
-    return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from verseloom.functions.text import fold, folded_tokens
+from verseloom.operators.needles import needle_hits
+from verseloom.operators.search import word_parts
+from verseloom.operators.shared import checkpointed, join_counted, request_table
 
 DIGITS = 20  # shorter numbers are padded to so many digits
 
@@ -34,26 +37,28 @@ def outline_by_header(segments: DataFrame, is_header: Column) -> DataFrame:
     )
 
 
-def whole_word_or_substring(segments: DataFrame, terms: list[str]) -> DataFrame:
+def whole_word_or_substring(segments: DataFrame, terms: list[str] | DataFrame) -> DataFrame:
     """Segments with each folded term as a word; for a term that is nowhere a word, those that hold it inside one.
 
-    ``terms`` is the caller's list (1,000 at most). Distinct tokens are matched
-    first: by equality, and by their parts only for terms that no token equals;
-    then the tokens found are joined to the segments. A term that isn't one
-    token (it has a blank or a sign) is looked for in the folded text.
+    Terms are a list or ``terms(term)`` of any size. Distinct tokens are matched
+    first: by equality, and by the grams of the vocabulary only for terms that no
+    token equals; then the tokens found are joined to the segments, the rows of a
+    frequent one split. Terms that aren't one token (they have a blank or a sign)
+    are looked for in the folded text, all in one pass.
     """
-    if len(terms) > 1000:
-        raise ValueError("at most 1000 terms a call")
-    asked = segments.sparkSession.createDataFrame([(t,) for t in terms], "term string").withColumn("needle", fold(F.col("term")))
+    asked = request_table(segments.sparkSession, terms, "term").withColumn("needle", fold(F.col("term")))
     tokens = segments.select("doc_id", "pos", F.explode(F.array_distinct(folded_tokens(F.col("segment")))).alias("token"))
-    vocabulary = tokens.select("token").distinct()
-    words = vocabulary.join(F.broadcast(asked), F.col("token") == F.col("needle")).select("term", "token")
-    inside = asked.where(F.col("needle").rlike("^[a-z0-9]+$")).join(words.select("term"), "term", "left_anti")
-    parts = vocabulary.join(F.broadcast(inside), F.contains("token", F.col("needle"))).select("term", "token")
+    vocabulary = checkpointed(tokens.groupBy("token").agg(F.count("*").alias("n")))
+    words = vocabulary.join(asked, F.col("token") == F.col("needle")).select("term", "token", "n")
+    one = F.col("needle").rlike("^[a-z0-9]+$")
+    inside = asked.where(one).join(words.select("term"), "term", "left_anti")
+    held = word_parts(vocabulary, inside.select(F.col("needle").alias("part")))
+    parts = held.join(inside, F.col("part") == F.col("needle")).join(vocabulary, "token").select("term", "token", "n")
     found = words.withColumn("whole", F.lit(True)).union(parts.withColumn("whole", F.lit(False)))
-    hits = tokens.join(found, "token").select("term", "doc_id", "pos", "whole").distinct()
-    odd = F.broadcast(asked.where(~F.col("needle").rlike("^[a-z0-9]+$")))
-    more = segments.select("doc_id", "pos", fold(F.col("segment")).alias("f")).join(odd, F.contains("f", F.col("needle")))
+    total = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hits = join_counted(tokens, found, "token", total, ["doc_id", "pos"]).select("term", "doc_id", "pos", "whole").distinct()
+    odd = asked.where(~one & (F.col("needle") != ""))
+    more = needle_hits(segments.select("doc_id", "pos", "segment"), {"segment": fold(F.col("segment"))}, odd).join(odd, "needle")
     return hits.union(more.select("term", "doc_id", "pos", F.lit(False)))
 
 

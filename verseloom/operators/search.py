@@ -7,7 +7,11 @@ top-k filters let Spark limit each group before the shuffle.
 
 from __future__ import annotations
 
+import math
+import re
+from collections import Counter
 from collections.abc import Iterator
+from itertools import chain, islice
 from zlib import crc32
 
 import numpy as np
@@ -16,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from verseloom.functions.text import folded_tokens
+from verseloom.operators.shared import request_table
 
 MAX_QUERIES = 1_000  # queries of one call; more are asked in several calls
 #: Scores depend on them.
@@ -23,6 +28,11 @@ K1, B = 1.2, 0.75
 LEAST_IDF = 1e-6
 RRF = 60
 
+GRAM = 3  # letters of a gram of the vocabulary's index
+WORD = re.compile(r"[^\W_]+")
+KEPT_WORDS = 500_000  # words whose trigrams a task keeps
+BLOCK = 2_048  # vectors multiplied with the queries at a time
+
 
 def _bounded(queries: list) -> list:
     if len(queries) > MAX_QUERIES:
@@ -67,12 +77,36 @@ def prefix_suggestions(words: DataFrame, starts: list[str], k: int = 3) -> DataF
     return _top(hits.join(known, "start", "left_anti"), ["start"], [F.length("token"), "token"], k)
 
 
-def related_words(words: DataFrame, parts: list[str], k: int = 10) -> DataFrame:
+def _grams(rows: DataFrame, column: str, sizes: list[int]) -> DataFrame:
+    """``rows`` with ``g``, each distinct run of so many letters of a column."""
+    runs = [F.when(F.length(column) >= n, F.sequence(F.lit(1), F.length(column) - n + 1)) for n in sizes]
+    starts = F.array(*[F.struct(F.lit(n).alias("n"), F.coalesce(r, F.array().cast("array<int>")).alias("at")) for n, r in zip(sizes, runs)])
+    each = rows.withColumn("__s", F.explode(starts)).withColumn("__at", F.explode("__s.at"))
+    return each.withColumn("g", F.substr(F.col(column), F.col("__at"), F.col("__s.n"))).drop("__s", "__at").distinct()
+
+
+def word_parts(words: DataFrame, parts: list[str] | DataFrame) -> DataFrame:
+    """``part`` and each ``token`` of ``words(token)`` that holds it, the part itself included; parts are a list or ``parts(part)`` of any size.
+
+    An index of the vocabulary's grams (three letters, fewer for shorter parts)
+    gives the tokens that hold the rarest gram of a part; only these are compared
+    with the part. Null and empty parts are in no token.
+    """
+    asked = request_table(words.sparkSession, parts, "part").where("part != ''")
+    sizes = sorted(r[0] for r in asked.select(F.least(F.length("part"), F.lit(GRAM))).distinct().collect())
+    if not sizes:
+        return words.select(F.lit("").alias("part"), "token").limit(0)
+    index = _grams(words.select("token").distinct(), "token", sizes)
+    own = _grams(asked, "part", sizes).where(F.length("g") == F.least(F.length("part"), F.lit(GRAM)))
+    counted = own.join(index.groupBy("g").agg(F.count("*").alias("c")), "g", "left").fillna(0, ["c"])
+    rarest = counted.groupBy("part").agg(F.min(F.struct("c", "g")).alias("m")).where("m.c > 0").select("part", F.col("m.g").alias("g"))
+    return index.join(rarest, "g").where(F.contains("token", F.col("part"))).select("part", "token")
+
+
+def related_words(words: DataFrame, parts: list[str] | DataFrame, k: int = 10) -> DataFrame:
     """Other words that hold each part, the shortest first."""
-    mine = F.explode(
-        F.filter(F.array(*map(F.lit, _bounded(parts))), lambda s: F.contains("token", s) & (F.col("token") != s))
-    ).alias("part")
-    return _top(words.select("token", mine), ["part"], [F.length("token"), "token"], k)
+    hits = word_parts(words, parts).where("token != part").select("token", "part")
+    return _top(hits, ["part"], [F.length("token"), "token"], k)
 
 
 def trigrams(word: Column) -> Column:
@@ -81,13 +115,6 @@ def trigrams(word: Column) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(word) + 1), lambda i: F.substr(padded, i, F.lit(3))))
 
 
-def text_trigrams(text: Column) -> Column:
-    """Trigrams of all words of a text in lower case, in order, repeats included."""
-    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-    padded = lambda w: F.concat(F.lit("  "), w, F.lit(" "))
-    return F.flatten(F.transform(words, lambda w: F.transform(F.sequence(F.lit(1), F.length(w) + 1), lambda i: F.substr(padded(w), i, F.lit(3)))))
-
-
 def fuzzy_words(words: DataFrame, terms: list[str], threshold: float = 0.3, k: int = 10) -> DataFrame:
     """Words whose trigrams overlap a term's (shared to all) at the threshold or above, the most alike first.
 
@@ -102,53 +129,109 @@ def fuzzy_words(words: DataFrame, terms: list[str], threshold: float = 0.3, k: i
     return _top(scored.where(F.col("similarity") >= threshold), ["term"], [F.desc("similarity"), "token"], k)
 
 
-def extent_similarity(needle: set[str], grams: list[str]) -> float:
-    """The largest share (common to all) of the needle's trigrams with those of any run of a text's trigrams."""
+def word_grams(word: str) -> list[str]:
+    """Trigrams of a word behind two blanks and before one, in order."""
+    padded = f"  {word} "
+    return [padded[k : k + 3] for k in range(len(word) + 1)]
+
+
+def extent_similarity(needle: set[str], grams: list[str], least: float = 0.0) -> float:
+    """The largest share (common to all) of the needle's trigrams with those of any run of a text's trigrams; shares below ``least`` may come out smaller.
+
+    A run of more than size / share distinct trigrams can't reach a share, which
+    bounds the runs that are tried.
+    """
     best, size = 0.0, len(needle)
     places = [k for k, g in enumerate(grams) if g in needle]
     for low in places:
         seen, common = set(), 0
-        for g in grams[low:]:
+        for g in islice(grams, low, None):
             if g not in seen:
                 seen.add(g)
                 if g in needle:
                     common += 1
                     best = max(best, common / (size + len(seen) - common))
-                elif best * len(seen) > size:
+                elif max(best, least) * len(seen) > size:
                     break  # no longer run can be better
     return best
 
 
-def word_similarity(needle: Column, grams: Column) -> Column:
-    """``extent_similarity`` of two arrays of trigrams; for candidate rows only."""
-
-    @F.pandas_udf("double")
-    def run(needles: pd.Series, texts: pd.Series) -> pd.Series:
-        return pd.Series([extent_similarity(set(n), list(t)) for n, t in zip(needles, texts)], dtype="float64")
-
-    return run(needle, grams)
+class FuzzyTerms:
+    """Terms by their trigrams: which of them a text can be like, and how much."""
+
+    def __init__(self, terms: list[str], threshold: float, counts: dict[str, int] | None = None) -> None:
+        self.threshold, self.terms = threshold, []
+        self.prefix: dict[str, list[int]] = {}
+        for term in terms:
+            grams = {g for w in WORD.findall(term.lower()) for g in word_grams(w)}
+            if grams:
+                need = math.ceil(threshold * len(grams) - 1e-9)
+                rare = sorted(grams, key=lambda g: ((counts or {}).get(g, 0), g))
+                # a text that holds fewer than ``need`` of the trigrams isn't like the term, so it holds one of these
+                for g in rare[: len(grams) - max(need, 1) + 1]:
+                    self.prefix.setdefault(g, []).append(len(self.terms))
+                self.terms.append((term, grams, need))
+        self.wanted = {g for _, grams, _ in self.terms for g in grams}
+        self.known: dict[str, tuple[str, ...]] = {}
+
+    def of_word(self, word: str) -> tuple[str, ...]:
+        """The wanted trigrams of a word; kept for words met again."""
+        if (found := self.known.get(word)) is None:
+            found = tuple(g for g in word_grams(word) if g in self.wanted)
+            if len(self.known) >= KEPT_WORDS:
+                self.known.clear()
+            self.known[word] = found
+        return found
+
+    def shared(self, words: list[str]) -> set[str]:
+        return set(chain.from_iterable(map(self.of_word, set(words))))
+
+    def alike(self, text: str | None) -> list[tuple[str, float, float]]:
+        """``term``, similarity and word similarity of each term that a text in lower case is like."""
+        words = WORD.findall(text or "")
+        held = self.shared(words)
+        near = {t for g in held if g in self.prefix for t in self.prefix[g]}
+        found, grams = [], None
+        for term, own, need in (self.terms[t] for t in near):
+            if len(both := own & held) >= need:
+                grams = [g for w in words for g in word_grams(w)] if grams is None else grams
+                share = round(extent_similarity(own, grams, self.threshold - 1e-4), 4)
+                if share >= self.threshold:
+                    found.append((term, round(len(both) / (len(set(grams)) + len(own) - len(both)), 4), share))
+        return found
 
 
 def fuzzy_search(rows: DataFrame, terms: list[str], text: str = "segment", keys: tuple[str, ...] = ("doc_id", "pos"), threshold: float = 0.6, k: int = 10) -> DataFrame:
     """Rows with a part like each term: word similarity at the threshold or above, then similarity, the best ``k`` (1 to 50).
 
-    A row can reach the threshold only if it shares so large a part of the
-    term's trigrams. These are joined by equality, and only rows that share
-    enough are scored exactly.
+    A row can reach the threshold only if it shares so large a part of the term's
+    trigrams, hence one of its rarest. The rows are counted once (how many hold
+    each trigram of the terms) and read once more: a row is compared with the
+    terms whose rarest trigrams it holds, and only what reaches the threshold
+    leaves the task. No trigram of the corpus goes through a shuffle.
     """
     k = max(1, min(k, 50))
-    spark = rows.sparkSession
-    asked = spark.createDataFrame([(t,) for t in dict.fromkeys(_bounded(terms))], "term string")
-    asked = asked.select("term", F.array_distinct(text_trigrams(F.col("term"))).alias("h")).where(F.size("h") > 0)
-    wanted = asked.select("term", F.size("h").alias("m"), F.explode("h").alias("g"))
-    shown = rows.select(*keys, F.array_distinct(text_trigrams(F.col(text))).alias("g")).select(*keys, F.explode("g").alias("g"))
-    shared = shown.join(F.broadcast(wanted), "g").groupBy("term", *keys).agg(F.count("*").alias("b"), F.first("m").alias("m"))
-    near = shared.where(F.col("b") >= F.ceil(F.lit(threshold) * F.col("m") - 1e-9)).select("term", *keys)
-    full = near.join(rows.select(*keys, text_trigrams(F.col(text)).alias("grams")), list(keys)).join(F.broadcast(asked), "term")
-    both = F.size(F.array_intersect("grams", "h"))
-    alike = F.round(both / (F.size(F.array_distinct("grams")) + F.size("h") - both), 4)
-    scored = full.select("term", *keys, alike.alias("similarity"), F.round(word_similarity(F.col("h"), F.col("grams")), 4).alias("word_similarity"))
-    return _top(scored.where(F.col("word_similarity") >= threshold), ["term"], [F.desc("word_similarity"), F.desc("similarity"), *keys], k)
+    asked = list(dict.fromkeys(_bounded(terms)))
+    lowered = rows.select(*keys, F.lower(F.col(text)).alias("__text"))
+
+    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known, counts = FuzzyTerms(asked, threshold), Counter()
+        for frame in frames:
+            for value in frame["__text"]:
+                counts.update(known.shared(WORD.findall(value or "")))
+        yield pd.DataFrame({"g": list(counts), "n": list(counts.values())}).astype({"g": "object", "n": "int64"})
+
+    grams = lowered.select("__text").mapInPandas(count, "g string, n long").groupBy("g").agg(F.sum("n").alias("n"))
+    counts = {r["g"]: r["n"] for r in grams.collect()}  # the terms' own trigrams, no others
+
+    @F.pandas_udf("array<struct<term string, similarity double, word_similarity double>>")
+    def alike(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        known = FuzzyTerms(asked, threshold, counts)
+        for texts in parts:
+            yield pd.Series([[dict(zip(("term", "similarity", "word_similarity"), x)) for x in known.alike(t)] for t in texts], index=texts.index, dtype=object)
+
+    scored = lowered.select(*keys, F.explode(alike("__text")).alias("x")).select("x.term", *keys, "x.similarity", "x.word_similarity")
+    return _top(scored, ["term"], [F.desc("word_similarity"), F.desc("similarity"), *keys], k)
 
 
 def bm25_search(docs: DataFrame, queries: list[str], k: int = 10) -> DataFrame:
@@ -177,35 +260,67 @@ def bm25_search(docs: DataFrame, queries: list[str], k: int = 10) -> DataFrame:
     return _top(found, ["query"], [F.desc("score"), "doc_id"], k)
 
 
+class Nearest:
+    """The ``k`` nearest vectors to each of some queries, whatever the number of vectors added; ties go to the smallest id."""
+
+    def __init__(self, ids: list[int], queries: np.ndarray, k: int) -> None:
+        self.queries, self.unit, self.k = ids, queries.T, k
+        self.away = np.full((len(ids), 0), np.inf)
+        self.ids = np.zeros((len(ids), 0), dtype=np.int64)
+
+    def add(self, ids: np.ndarray, block: np.ndarray) -> None:
+        """One matrix product of a block of vectors with all queries; of each the best are chosen by partial selection, then merged with those held."""
+        order = np.argsort(ids, kind="stable")
+        ids, block = ids[order], block[order]
+        away = np.round(1 - (block @ self.unit) / np.linalg.norm(block, axis=1)[:, None], 4).T
+        if len(ids) > self.k:
+            # distances have four digits: with the place by id they are one whole number, no two alike
+            place = np.rint(away * 10_000).astype(np.int64) * len(ids) + np.arange(len(ids))
+            near = np.argpartition(place, self.k - 1, axis=1)[:, : self.k]
+        else:
+            near = np.broadcast_to(np.arange(len(ids)), away.shape)
+        away = np.concatenate((self.away, np.take_along_axis(away, near, axis=1)), axis=1)
+        ids = np.concatenate((self.ids, ids[near]), axis=1)
+        best = np.lexsort((ids, away), axis=1)[:, : self.k]
+        self.away, self.ids = np.take_along_axis(away, best, axis=1), np.take_along_axis(ids, best, axis=1)
+
+    def rows(self, limit: float) -> pd.DataFrame:
+        chosen = self.away <= limit
+        return pd.DataFrame({"query_id": np.repeat(self.queries, chosen.sum(axis=1)), "vec_id": self.ids[chosen], "distance": self.away[chosen]})
+
+
+def nearest_of_tasks(vectors: DataFrame, known: list[tuple[int, np.ndarray]], k: int, limit: float) -> DataFrame:
+    """``query_id``, ``vec_id``, ``distance``: at most ``k`` rows a query from each task, given out at its end."""
+    groups = {d: [(i, v) for i, v in known if len(v) == d] for d in {len(v) for _, v in known}}
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = {d: Nearest([i for i, _ in group], np.stack([v for _, v in group]), k) for d, group in groups.items()}
+        for frame in frames:
+            lengths = frame["embedding"].map(len).to_numpy()
+            for d in held.keys() & set(lengths.tolist()):
+                part = frame[lengths == d]
+                for low in range(0, len(part), BLOCK):
+                    rows = part.iloc[low : low + BLOCK]
+                    held[d].add(rows["vec_id"].to_numpy(), np.stack(rows["embedding"].to_list()).astype(float))
+        for nearest in held.values():
+            yield nearest.rows(limit)
+
+    return vectors.select("vec_id", "embedding").mapInPandas(run, "query_id long, vec_id long, distance double")
+
+
 def semantic_topk(vectors: DataFrame, query_ids: list[int], k: int = 10, limit: float = 1.0) -> DataFrame:
     """Vectors nearest to each query vector by cosine distance (double, four digits), ``limit`` or less.
 
-    Each task keeps its own k best of a query; null, zero and non-finite vectors
-    are skipped, and so are those of another length than the query's. Query
-    vectors, at most ``MAX_QUERIES``, are read first.
+    Each task keeps its own k best of a query and gives them out at its end; null,
+    zero and non-finite vectors are skipped, and so are those of another length
+    than the query's. Query vectors, at most ``MAX_QUERIES``, are read first.
     """
     rows = vectors.where(F.col("vec_id").isin(_bounded(query_ids)) & F.col("embedding").isNotNull()).collect()
     known = [(r["vec_id"], np.array(r["embedding"], dtype=float)) for r in rows if None not in r["embedding"]]
     known = [(i, v / np.linalg.norm(v)) for i, v in known if np.isfinite(v).all() and v.any()]
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            lengths = frame["embedding"].map(len).to_numpy()
-            for dim in {len(v) for _, v in known}.intersection(lengths.tolist()):
-                part = frame[lengths == dim]
-                block = np.stack(part["embedding"].to_list()).astype(float)
-                ids, sizes = part["vec_id"].to_numpy(), np.linalg.norm(block, axis=1)
-                for q, v in known:
-                    if len(v) == dim:
-                        away = np.round(1 - block @ v / sizes, 4)
-                        near = np.lexsort((ids, away))[:k]
-                        near = near[away[near] <= limit]
-                        yield pd.DataFrame({"query_id": q, "vec_id": ids[near], "distance": away[near]})
-
     whole = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    usable = vectors.where(whole & F.exists("embedding", lambda x: x != 0)).select("vec_id", "embedding")
-    best = usable.mapInPandas(run, "query_id long, vec_id long, distance double")
-    return _top(best, ["query_id"], ["distance", "vec_id"], k)
+    usable = vectors.where(whole & F.exists("embedding", lambda x: x != 0) & F.col("vec_id").isNotNull())
+    return _top(nearest_of_tasks(usable, known, k, limit), ["query_id"], ["distance", "vec_id"], k)
 
 
 def fuse(left: DataFrame, right: DataFrame, k: int = 10) -> DataFrame:
@@ -271,6 +386,8 @@ def phrase_search(postings: DataFrame, lengths: DataFrame, phrases: list[str], k
     corpus numbers come to the driver.
     """
     spark = postings.sparkSession
+    every = sorted({w for p in phrases for w in p.split()})
+    postings = postings.where(F.col("token").isin(every))  # reaches the table's buckets, or the tokens before they are grouped
     asked = [(p, w, i, len(p.split())) for p in dict.fromkeys(_bounded(phrases)) for i, w in enumerate(p.split())]
     words = spark.createDataFrame(asked, "query string, token string, i int, need int")
     n, mean = lengths.agg(F.count("*"), F.avg("size")).first()

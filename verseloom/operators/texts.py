@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from verseloom.functions.ids import TEXT_ID, id_prefix, id_rest, is_header, is_heading, top_group
+from verseloom.operators.outline import natural_key
+from verseloom.operators.shared import checkpointed
 
 MAX_WINDOW, MAX_LIMIT = 200, 2000  # of a slice
 
@@ -291,6 +293,32 @@ def neighbours(texts: DataFrame, book: list[str], number: str, width: int = 10_0
     return rows.join(ends, same).select(number, *book, F.coalesce("previous", "before").alias("previous"), F.coalesce("next", "behind").alias("next"))
 
 
+def natural_neighbours(texts: DataFrame, segments: DataFrame, book: list[str], key: str = "text_id", shown: tuple[str, ...] = (), ranges: int | None = None) -> DataFrame:
+    """``previous`` and ``next`` of each text that has segments, in its book by natural order of the ids: x9 before x10, whatever lies between.
+
+    Each is a struct of the id and the columns ``shown`` (titles), null at the ends
+    of a book. Texts of ``segments`` without any row are skipped. All texts are cut
+    into ranges by book and natural id; a window runs within a range, and the ends
+    of the ranges, one row each, are then looked up from one to the next, so a
+    large book isn't one task's. Null books are one book.
+    """
+    there = texts.join(segments.select(key).distinct(), key, "left_semi").select(*book, key, *shown)
+    order = ["__natural", key]
+    n = ranges or int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = there.withColumn("__natural", natural_key(F.col(key))).repartitionByRange(n, *book, *order)
+    rows = checkpointed(rows.withColumn("__range", F.spark_partition_id()))
+    one = F.struct(key, *shown)
+    inner = Window.partitionBy(*book, "__range").orderBy(*order)
+    rows = rows.withColumns({"previous": F.lag(one).over(inner), "next": F.lead(one).over(inner)})
+    ends = rows.groupBy(*book, "__range").agg(F.min_by(one, F.struct(*order)).alias("low"), F.max_by(one, F.struct(*order)).alias("high"))
+    outer = Window.partitionBy(*book).orderBy("__range")
+    ends = ends.select(*[F.col(c).alias(f"__b_{c}") for c in book], F.col("__range").alias("__b_range"), F.lag("high").over(outer).alias("before"), F.lead("low").over(outer).alias("behind"))
+    same = F.col("__range") == F.col("__b_range")
+    for c in book:
+        same = same & F.col(c).eqNullSafe(F.col(f"__b_{c}"))
+    return rows.join(ends, same).select(key, *book, *shown, F.coalesce("previous", "before").alias("previous"), F.coalesce("next", "behind").alias("next"))
+
+
 def corpus_rules(segments: DataFrame, least: DataFrame | None = None) -> DataFrame:
     """Number of rows that break each rule of ids and order; ``least(text_id, n)`` names smallest sizes.
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from verseloom.functions import ids, markup
 from verseloom.functions.text import fold, folded_tokens
-from verseloom.operators import catalog, definitions, dictionary, ingest, search, survey, texts
+from verseloom.operators import catalog, definitions, dictionary, ingest, needles, search, survey, texts
 from verseloom.rules.canon import PROSE, PROSE_LEMMAS
 from verseloom.sources.corpus import assign_collection, cited, segments, table
 
@@ -78,6 +78,20 @@ def _dictionary(s, d):
     return table(s, d, "benchmark").select(F.explode(dictionary.dictionary_tokens(F.col("text"))).alias("word"), "item_id", "text")
 
 
+def _headwords(s, d):
+    """Every word of the dictionary, once as a word and once as a stem."""
+    words = _dictionary(s, d).select(F.col("word").alias("term")).where("term not like '% %'").distinct()
+    return words.withColumn("scope", F.explode(F.array(F.lit("word"), F.lit("stem"))))
+
+
+def _two_words(s, d):
+    """All pairs of words that stand side by side in the entries."""
+    words = F.split("text", " ")
+    pairs = F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda i: F.concat_ws(" ", F.get(words, i - 1), F.get(words, i)))
+    rows = table(s, d, "benchmark").where(F.size(words) > 1).select(F.explode(pairs).alias("term"))
+    return rows.withColumn("scope", F.lit("word")).distinct()
+
+
 def _requests(s, d):
     """Two requests a text: around its eighth segment, and its second ten; odd texts ask for a segment that isn't there."""
     rows = _cited(s, d).where("pos = 0").select("text_id", "doc_id", F.col("segment_id").alias("first"))
@@ -200,7 +214,21 @@ JOBS = {
         _entries(s, d).select("word", F.col("definition").alias("text")), "pages", "xx", markup.without_tags
     ).select("word", "source", F.md5("text").alias("text")),
     "clean_html": lambda s, d: table(s, d, "pages").select("page_id", markup.clean_html(F.col("html")).alias("text")),
-    "posting_statistics": lambda s, d: ingest.posting_statistics(_postings(s, d), "doc_id"),
+    "posting_statistics": lambda s, d: ingest.token_statistics(_docs(s, d), "doc_id", ["text", "source"]),
+    "substring_requests": lambda s, d: needles.search_substrings(
+        _cited(s, d).select("text_id", "pos", "text", "source"), table(s, d, "benchmark").select(F.col("item_id").alias("request_id"), F.expr("substr(text, 3, 9)").alias("needle")), ["text", "source"], ["text_id", "pos"]
+    ).select("request_id", "rank", "text_id", "pos", "matched"),
+    "any_token_requests": lambda s, d: needles.match_any_tokens(
+        segments(_docs(s, d)), table(s, d, "benchmark").select(F.col("item_id").alias("request_id"), F.array_join(F.slice(F.split("text", " "), 2, 3), "-").alias("query")), ["segment", "source"], ["doc_id", "pos"]
+    ),
+    "survey_headwords": lambda s, d: survey.survey_totals(segments(_docs(s, d)), survey.term_table(s, _headwords(s, d))),
+    "survey_phrases": lambda s, d: survey.survey_totals(segments(_docs(s, d)), survey.term_table(s, _two_words(s, d))),
+    "related_requests": lambda s, d: search.related_words(
+        search.vocabulary(_docs(s, d)), _dictionary(s, d).select(fold(F.expr("substr(word, 2, 4)")).alias("part")).where("part rlike '^[a-z0-9]{2,}$'")
+    ),
+    "natural_neighbours": lambda s, d: texts.natural_neighbours(
+        _cited(s, d).select("text_id", "lang").distinct(), _cited(s, d).where("pos >= 3"), ["lang"]
+    ).select("text_id", F.col("previous.text_id").alias("previous"), F.col("next.text_id").alias("next")),
     "phrase_search": _phrases,
     "export_texts": lambda s, d: texts.export_texts(
         _cited(s, d).select("text_id", "segment_id", "pos", "text"), _cited(s, d).select("text_id", "lang").distinct()
@@ -408,6 +436,35 @@ JOBS_SQL = {
     "load_dictionary": f"WITH {_ENTRIES} SELECT lower(word) AS word, 'pages' AS source, md5({_plain('definition')}) AS text FROM glossary",
     "posting_statistics": f"""SELECT token, count(DISTINCT doc_id) AS df, count(*) AS n FROM (SELECT doc_id, unnest({_TOK.format("text")}) AS token FROM documents
         UNION ALL SELECT doc_id, unnest({_TOK.format("source")}) FROM documents) GROUP BY 1""",
+    "substring_requests": f"""WITH {_CIT}, asked AS (SELECT item_id AS request_id, regexp_replace(lower(strip_accents(substr(text, 3, 9))), '^\\s+|\\s+$', '', 'g') AS needle FROM benchmark),
+        hit AS (SELECT request_id, text_id, pos, CASE WHEN contains(lower(strip_accents(text)), needle) THEN 'text' ELSE 'source' END AS matched FROM cit JOIN asked
+          ON contains(lower(strip_accents(text)), needle) OR contains(lower(strip_accents(coalesce(source, ''))), needle) WHERE length(needle) >= 3),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY text_id, pos) AS rank FROM hit)
+        SELECT request_id, rank::INT AS rank, text_id, pos::INT AS pos, matched FROM ranked WHERE rank <= 50""",
+    "any_token_requests": f"""WITH {_CIT}, q AS (SELECT item_id AS request_id, lower(trim(array_to_string(string_split(text, ' ')[2:4], '-'))) AS q FROM benchmark),
+        tok AS (SELECT request_id, q, list_filter(string_split_regex(q, '[\\s\\-]+'), lambda t: length(t) >= 3) AS ts FROM q),
+        asked AS (SELECT DISTINCT request_id, unnest(CASE WHEN len(ts) > 0 THEN ts ELSE [q] END) AS t FROM tok WHERE q <> ''),
+        needle AS (SELECT DISTINCT t FROM asked),
+        hit AS (SELECT doc_id, pos, t FROM cit JOIN needle ON contains(lower(text), t) OR contains(lower(coalesce(source, '')), t))
+        SELECT DISTINCT request_id, doc_id, pos::INT AS pos FROM hit JOIN asked USING (t)""",
+    "survey_headwords": f"""WITH {_CIT}, {_DICT}, terms AS (SELECT word AS term, scope, lower(strip_accents(word)) AS needle FROM known, (VALUES ('word'), ('stem')) AS x(scope) WHERE NOT contains(word, ' ')),
+        tok AS (SELECT DISTINCT doc_id, pos, t FROM (SELECT doc_id, pos, unnest({_TOK.format("text")}) AS t FROM cit)),
+        voc AS (SELECT DISTINCT t FROM tok),
+        found AS (SELECT term, scope, t FROM voc JOIN terms ON scope = 'word' AND t = needle UNION ALL
+          SELECT term, scope, t FROM voc JOIN terms ON scope = 'stem' AND needle <> '' AND starts_with(t, needle)),
+        hits AS (SELECT DISTINCT term, scope, doc_id, pos FROM tok JOIN found USING (t))
+        SELECT terms.term, terms.scope, count(h.pos) AS total_segments, count(DISTINCT h.doc_id) AS total_texts FROM terms LEFT JOIN hits h ON terms.term = h.term AND terms.scope = h.scope GROUP BY 1, 2""",
+    "survey_phrases": f"""WITH {_CIT}, w AS (SELECT string_split(text, ' ') AS w FROM benchmark),
+        terms AS (SELECT DISTINCT w[i] || ' ' || w[i + 1] AS term FROM (SELECT w, unnest(range(1, len(w))) AS i FROM w)),
+        needle AS (SELECT term, lower(strip_accents(term)) AS n FROM terms), f AS (SELECT doc_id, pos, lower(strip_accents(text)) AS f FROM cit),
+        hits AS (SELECT term, doc_id, count(*) AS c FROM f JOIN needle ON contains(f, n) GROUP BY 1, 2)
+        SELECT terms.term, 'word' AS scope, coalesce(sum(c), 0)::BIGINT AS total_segments, count(h.doc_id) AS total_texts FROM terms LEFT JOIN hits h ON terms.term = h.term GROUP BY 1""",
+    "related_requests": f"""WITH {_DICT}, voc AS (SELECT DISTINCT token FROM (SELECT unnest({_TOK.format("text")}) AS token FROM documents)),
+        part AS (SELECT DISTINCT lower(strip_accents(substr(word, 2, 4))) AS part FROM known WHERE regexp_full_match(lower(strip_accents(substr(word, 2, 4))), '[a-z0-9]{{2,}}')),
+        hit AS (SELECT part, token, row_number() OVER (PARTITION BY part ORDER BY length(token), token) AS rank FROM voc JOIN part ON contains(token, part) AND token <> part)
+        SELECT part, token, rank::INT AS rank FROM hit WHERE rank <= 10""",
+    "natural_neighbours": f"""WITH {_CIT}, t AS (SELECT DISTINCT text_id, lang, doc_id FROM cit WHERE pos >= 3)
+        SELECT text_id, lag(text_id) OVER w AS previous, lead(text_id) OVER w AS next FROM t WINDOW w AS (PARTITION BY lang ORDER BY doc_id)""",
     "phrase_search": f"""WITH t AS (SELECT doc_id, {_TOK.format("text")} AS t, len({_TOK.format("text")}) + len({_TOK.format("source")}) AS size FROM documents),
         q AS (SELECT query, string_split(query, ' ') AS w FROM (VALUES {", ".join(f"('{p}')" for p in PHRASES)}) AS x(query)),
         tf AS (SELECT query, doc_id, size, len(list_filter(range(1, len(t)), lambda i: t[i] = w[1] AND t[i + 1] = w[2])) AS tf FROM t, q),
