@@ -138,12 +138,27 @@ def word_grams(word: str) -> list[str]:
 def extent_similarity(needle: set[str], grams: list[str], least: float = 0.0) -> float:
     """The largest share (common to all) of the needle's trigrams with those of any run of a text's trigrams; shares below ``least`` may come out smaller.
 
-    A run of more than size / share distinct trigrams can't reach a share, which
-    bounds the runs that are tried.
+    A run that reaches a share has so many of the needle's trigrams and no more
+    than size / share distinct ones: a start is passed over where the next place
+    by which it has enough of the needle's lies behind too many others.
     """
     best, size = 0.0, len(needle)
     places = [k for k, g in enumerate(grams) if g in needle]
+    need = max(1, math.ceil(least * size - 1e-9))
+    window, enough, end = dict.fromkeys(needle, 0), 0, 0
     for low in places:
+        while enough < need and end < len(places):
+            g = grams[places[end]]
+            enough += not window[g]
+            window[g] += 1
+            end += 1
+        if enough < need:
+            break
+        high, widest = places[end - 1] + 1, size / max(best, least) if best or least else len(grams)
+        window[grams[low]] -= 1
+        enough -= not window[grams[low]]
+        if high - low > widest and len(set(grams[low : min(high, low + int(4 * widest) + 1)])) > widest:
+            continue
         seen, common = set(), 0
         for g in islice(grams, low, None):
             if g not in seen:
@@ -156,6 +171,20 @@ def extent_similarity(needle: set[str], grams: list[str], least: float = 0.0) ->
     return best
 
 
+class _Kept(dict):
+    """Results of a function by word, so many at most."""
+
+    def __init__(self, make) -> None:
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, word: str) -> tuple[str, ...]:
+        if len(self) >= KEPT_WORDS:
+            self.clear()
+        found = self[word] = tuple(self.make(word))
+        return found
+
+
 class FuzzyTerms:
     """Terms by their trigrams: which of them a text can be like, and how much."""
 
@@ -172,19 +201,12 @@ class FuzzyTerms:
                     self.prefix.setdefault(g, []).append(len(self.terms))
                 self.terms.append((term, grams, need))
         self.wanted = {g for _, grams, _ in self.terms for g in grams}
-        self.known: dict[str, tuple[str, ...]] = {}
-
-    def of_word(self, word: str) -> tuple[str, ...]:
-        """The wanted trigrams of a word; kept for words met again."""
-        if (found := self.known.get(word)) is None:
-            found = tuple(g for g in word_grams(word) if g in self.wanted)
-            if len(self.known) >= KEPT_WORDS:
-                self.known.clear()
-            self.known[word] = found
-        return found
+        self.grams = _Kept(word_grams)
+        self.known = _Kept(lambda word: [g for g in word_grams(word) if g in self.wanted])
 
     def shared(self, words: list[str]) -> set[str]:
-        return set(chain.from_iterable(map(self.of_word, set(words))))
+        """The wanted trigrams of a text's words."""
+        return set(chain.from_iterable(map(self.known.__getitem__, set(words))))
 
     def alike(self, text: str | None) -> list[tuple[str, float, float]]:
         """``term``, similarity and word similarity of each term that a text in lower case is like."""
@@ -194,7 +216,7 @@ class FuzzyTerms:
         found, grams = [], None
         for term, own, need in (self.terms[t] for t in near):
             if len(both := own & held) >= need:
-                grams = [g for w in words for g in word_grams(w)] if grams is None else grams
+                grams = list(chain.from_iterable(map(self.grams.__getitem__, words))) if grams is None else grams
                 share = round(extent_similarity(own, grams, self.threshold - 1e-4), 4)
                 if share >= self.threshold:
                     found.append((term, round(len(both) / (len(set(grams)) + len(own) - len(both)), 4), share))
