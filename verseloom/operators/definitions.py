@@ -1,8 +1,8 @@
 """Definition mining: the segments that define each of a list of terms, classified, scored, ranked and shown in context.
 
-Segments come as ``text_id``, ``segment_id``, ``pos``, ``text``. Terms are the
-caller's list (1,000 at most), so their forms are a small table that is
-broadcast. All markers, endings and weights are a ``DefinitionRules``.
+Segments come as ``text_id``, ``segment_id``, ``pos``, ``text``. Terms are a list or
+a table of any size: the forms of few are broadcast, those of many joined by
+equality. All markers, endings and weights are a ``DefinitionRules``.
 """
 
 from __future__ import annotations
@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 
 from verseloom.functions.ids import id_prefix, in_sources, paragraph_key, stratum
 from verseloom.functions.text import fold, folded_tokens
+from verseloom.operators.shared import checkpointed, join_counted, request_table
 from verseloom.rules.canon import DefinitionRules
 
-MAX_TERMS = 1_000
+FEW_TERMS = 5_000  # terms, of some twenty forms each, that are sent to all executors
 
 
 def _endings(term: Column, of_stem: tuple[str, ...], of_other: tuple[str, ...]) -> Column:
@@ -41,15 +42,26 @@ def genitive_forms(term: Column, rules: DefinitionRules) -> Column:
     return _endings(term, rules.genitive_stem, rules.genitive_other)
 
 
-def term_table(spark: SparkSession, terms: list[str], rules: DefinitionRules) -> DataFrame:
+def term_table(spark: SparkSession, terms: list[str] | DataFrame, rules: DefinitionRules) -> DataFrame:
     """``term`` with its ``forms``, ``oblique`` and ``genitive``; terms that fold to nothing go."""
-    if len(terms) > MAX_TERMS:
-        raise ValueError(f"at most {MAX_TERMS} terms a call")
-    rows = spark.createDataFrame([(t,) for t in dict.fromkeys(terms)], "term string").withColumn("needle", fold(F.col("term"))).where("needle != ''")
+    rows = request_table(spark, terms, "term").withColumn("needle", fold(F.col("term"))).where("needle != ''")
     n = F.col("needle")
     return rows.select("term", inflected_forms(n, rules).alias("forms"), oblique_forms(n, rules).alias("oblique"), genitive_forms(n, rules).alias("genitive"))
 
 
+def _joined(rows: DataFrame, terms: DataFrame, spread: list[str] | None = None) -> DataFrame:
+    """``rows`` with what belongs to their ``term``, or, with ``spread``, to each form of a term that they hold: broadcast where terms are few."""
+    few = terms.limit(FEW_TERMS + 1).count() <= FEW_TERMS
+    if spread is None:
+        return rows.join(F.broadcast(terms) if few else terms, "term")
+    forms = terms.select("term", F.explode("forms").alias("form"))
+    if few:
+        return rows.join(F.broadcast(forms), "form")
+    counted = checkpointed(rows.groupBy("form").agg(F.count("*").alias("n")))
+    total = counted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return join_counted(rows, forms.join(counted, "form"), "form", total, spread, 0)
+
+
 def _starts(token: Column, beginnings: tuple[str, ...]) -> Column:
     found = F.lit(False)
     for b in beginnings:
@@ -107,19 +119,19 @@ def is_closer(places: Column | str, marks: Column | str, rules: DefinitionRules)
 def candidates(segments: DataFrame, terms: DataFrame, rules: DefinitionRules) -> DataFrame:
     """Segments that hold a form of a term and a marker, once for each term, with the term's ``places``, the forms ``present`` and the ``marks``.
 
-    Marks are looked for once for all terms; only rows with a marker are
-    exploded, and the forms are broadcast (at most 1,000 terms of some twenty
-    each). A row's tokens don't go through the shuffle.
+    Marks are looked for once for all terms; only rows with a marker are exploded.
+    A row's tokens don't go through the shuffle; the rows of a form that very many
+    hold are split.
     """
     tokens = folded_tokens(F.col("text"))
     rows = segments.select("text_id", "segment_id", "pos", "text", tokens.alias("tokens"), token_marks(tokens, rules).alias("marks"))
     rows = rows.where(F.size(_of("marks", ASK | PAIR | SAY | LIKE | NAMED)) > 0)
-    forms = terms.select("term", F.explode("forms").alias("form"))
-    hits = rows.select("text_id", "segment_id", "pos", "text", "marks", F.posexplode("tokens").alias("at", "form")).join(F.broadcast(forms), "form")
+    each = rows.select("text_id", "segment_id", "pos", "text", "marks", F.posexplode("tokens").alias("at", "form"))
+    hits = _joined(each, terms, ["text_id", "segment_id", "pos"])
     found = hits.groupBy("term", "text_id", "segment_id", "pos").agg(
         F.sort_array(F.collect_set("at")).alias("places"), F.collect_set("form").alias("present"), F.first("marks").alias("marks"), F.first("text").alias("text")
     )
-    return found.join(F.broadcast(terms), "term")
+    return _joined(found, terms)
 
 
 def classify(rows: DataFrame, rules: DefinitionRules) -> DataFrame:
@@ -211,9 +223,8 @@ def context_examples(segments: DataFrame, terms: DataFrame, rules: DefinitionRul
     first = segments.where(F.endswith("segment_id", F.lit(".1"))).select(
         "text_id", paragraph_key(F.col("segment_id")).alias("paragraph"), F.explode(F.array_distinct(folded_tokens(F.col("text")))).alias("form")
     )
-    forms = terms.select("term", F.explode("forms").alias("form"))
-    about = first.join(F.broadcast(forms), "form").select("term", "text_id", "paragraph").distinct()
-    rows = openers.join(about, ["text_id", "paragraph"]).join(F.broadcast(terms.select("term", "forms")), "term")
+    about = _joined(first, terms, ["text_id", "paragraph"]).select("term", "text_id", "paragraph").distinct()
+    rows = _joined(openers.join(about, ["text_id", "paragraph"]), terms.select("term", "forms"))
     return rows.where(~F.arrays_overlap(folded_tokens(F.col("text")), "forms")).drop("forms", "paragraph")
 
 
@@ -280,7 +291,7 @@ def scored_definitions(segments: DataFrame, terms: DataFrame, rules: DefinitionR
     return rows.unionByName(score(more, rules).withColumn("context", F.lit(True)))
 
 
-def find_definitions(segments: DataFrame, terms: list[str], rules: DefinitionRules, limit: int = 5, similes: bool = True, sources: list[str] | None = None) -> DataFrame:
+def find_definitions(segments: DataFrame, terms: list[str] | DataFrame, rules: DefinitionRules, limit: int = 5, similes: bool = True, sources: list[str] | None = None) -> DataFrame:
     """The best definitions of each term with their context; a term without any has no row."""
     table = term_table(segments.sparkSession, terms, rules)
     top = rank_definitions(dedup_by_text(scored_definitions(segments, table, rules, similes, sources)), limit)

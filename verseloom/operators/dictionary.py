@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 #: Fixed value: all white space.
 BLANKS = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
-LONGEST = 60  # letters of a word that is looked up
 
 
 def unify_nasal(word: Column) -> Column:
@@ -57,11 +56,11 @@ def lookup_words(words: DataFrame, dictionary: DataFrame, rules: tuple) -> DataF
     """For each distinct ``word`` its entry: itself, or else the lemma of the longest suffix that has one.
 
     ``entry`` is null for words without. One equality join with the distinct
-    words of ``dictionary(word)``; words above ``LONGEST`` letters have no entry.
+    words of ``dictionary(word)``, whatever the length of a word.
     """
     asked = words.select(unify_nasal(F.col("word")).alias("word")).where("word != ''").distinct()
     exact = F.array(F.struct(F.col("word").alias("lemma"), F.lit(None).cast("string").alias("suffix"), F.lit(None).cast("string").alias("case")))
-    tried = asked.where(F.length("word") <= LONGEST).select("word", F.posexplode(F.concat(exact, candidate_lemmas(F.col("word"), rules))).alias("r", "c"))
+    tried = asked.select("word", F.posexplode(F.concat(exact, candidate_lemmas(F.col("word"), rules))).alias("r", "c"))
     tried = tried.select("word", "r", "c.lemma", "c.suffix", "c.case")
     known = dictionary.select(F.col("word").alias("lemma")).distinct()
     best = tried.join(known, "lemma").groupBy("word").agg(F.min(F.struct("r", "lemma", "suffix", "case")).alias("m"))

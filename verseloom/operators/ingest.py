@@ -36,6 +36,26 @@ def upsert(base: DataFrame, new: DataFrame, keys: list[str], order: str, kept: t
     return joined.select(*keys, *map(value, values))
 
 
+def merge_into(path: str, new: DataFrame, keys: list[str], partition: str, order: str, kept: tuple[str, ...] = ()) -> None:
+    """Merge rows into the Parquet table at ``path``, partitioned by ``partition``, which is one of the ``keys``, so no row changes its partition.
+
+    ``new`` has the table's columns and ``order``, the order of loading; the last
+    row of each key counts, and a known key keeps the columns ``kept`` (its
+    position, say). Only partitions with a new row are read and written again: all
+    others keep their files. What is to be written is checkpointed before the
+    first file goes, so a run that fails can be taken up again.
+    """
+    if partition not in keys:
+        raise ValueError("the partition is one of the keys")
+    columns = [f for f in new.schema.fields if f.name != order]
+    base = new.sparkSession.read.schema(StructType(columns)).parquet(path)
+    there = checkpointed(new.dropna(subset=keys))
+    touched = there.select(partition).distinct()
+    merged = checkpointed(upsert(base.join(touched, partition, "left_semi"), there, keys, order, kept))
+    rows = merged.select(*[f.name for f in columns])
+    rows.repartition(partition).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+
+
 def upsert_translations(base: DataFrame, new: DataFrame, segments: DataFrame, order: str) -> DataFrame:
     """Edition rows of known segments, unique by (segment, language, edition); those of unknown segments are dropped."""
     known = new.join(segments.select("segment_id").distinct(), "segment_id", "left_semi")

@@ -303,11 +303,15 @@ def natural_neighbours(texts: DataFrame, segments: DataFrame, book: list[str], k
     large book isn't one task's. Null books are one book.
     """
     there = texts.join(segments.select(key).distinct(), key, "left_semi").select(*book, key, *shown)
-    order = ["__natural", key]
-    n = ranges or int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = there.withColumn("__natural", natural_key(F.col(key))).repartitionByRange(n, *book, *order)
+    rows = there.withColumn("__natural", natural_key(F.col(key)))
+    return stitched(rows, book, ["__natural", key], F.struct(key, *shown), ranges).select(key, *book, *shown, "previous", "next")
+
+
+def stitched(rows: DataFrame, book: list[str], order: list[str], one: Column, ranges: int | None = None) -> DataFrame:
+    """``rows`` with ``previous`` and ``next``, the value ``one`` of the rows beside each in its book by ``order``, cut into ranges as ``natural_neighbours`` says."""
+    n = ranges or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartitionByRange(n, *book, *order)
     rows = checkpointed(rows.withColumn("__range", F.spark_partition_id()))
-    one = F.struct(key, *shown)
     inner = Window.partitionBy(*book, "__range").orderBy(*order)
     rows = rows.withColumns({"previous": F.lag(one).over(inner), "next": F.lead(one).over(inner)})
     ends = rows.groupBy(*book, "__range").agg(F.min_by(one, F.struct(*order)).alias("low"), F.max_by(one, F.struct(*order)).alias("high"))
@@ -316,7 +320,70 @@ def natural_neighbours(texts: DataFrame, segments: DataFrame, book: list[str], k
     same = F.col("__range") == F.col("__b_range")
     for c in book:
         same = same & F.col(c).eqNullSafe(F.col(f"__b_{c}"))
-    return rows.join(ends, same).select(key, *book, *shown, F.coalesce("previous", "before").alias("previous"), F.coalesce("next", "behind").alias("next"))
+    sides = {"previous": F.coalesce("previous", "before"), "next": F.coalesce("next", "behind")}
+    return rows.join(ends, same).withColumns(sides).drop("__range", "__b_range", "before", "behind", *[f"__b_{c}" for c in book])
+
+
+def order_rules(segments: DataFrame, ranges: int | None = None) -> DataFrame:
+    """Number of rows that break each rule of order within a text: places start at 0 and have no gap, and ids rise with them in natural order.
+
+    A row is held against the one before it only; long texts are cut into ranges.
+    """
+    rows = segments.select("text_id", "pos", natural_key(F.col("segment_id")).alias("__id"))
+    rows = stitched(rows, ["text_id"], ["pos", "__id"], F.struct("pos", "__id"), ranges)
+    found = rows.agg(
+        F.count_if(F.col("previous").isNull() & (F.col("pos") != 0)).alias("first place isn't 0"),
+        F.count_if(F.col("pos") - F.col("previous.pos") > 1).alias("gap before the place"),
+        F.count_if(F.col("__id") <= F.col("previous.__id")).alias("id not above the one before"),
+    )
+    return found.unpivot([], found.columns, "rule", "n")
+
+
+def orphan_rules(links: dict[str, tuple[DataFrame, str, DataFrame, str]]) -> DataFrame:
+    """For each named link ``(rows, key, parents, parent key)`` the number of rows whose key, null ones apart, no parent has."""
+    out = None
+    for name, (rows, key, parents, own) in links.items():
+        known = parents.select(F.col(own).alias("__own")).distinct()
+        lost = rows.select(F.col(key).alias("__key")).where("__key is not null").join(known, F.col("__key") == F.col("__own"), "left_anti")
+        part = lost.agg(F.lit(name).alias("rule"), F.count("*").alias("n"))
+        out = part if out is None else out.union(part)
+    return out
+
+
+def pinned_differences(found: DataFrame, pinned: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of ``pinned`` whose counts aren't those of ``found``: the keys, and ``expected`` and ``got`` as structs (null: no such row)."""
+    counts = [c for c in pinned.columns if c not in keys]
+    want = pinned.select(*keys, F.struct(*counts).alias("expected"))
+    have = found.select(*keys, F.struct(*[F.col(c).cast(pinned.schema[c].dataType).alias(c) for c in counts]).alias("got"))
+    return want.join(have, keys, "left").where(~F.col("expected").eqNullSafe(F.col("got")))
+
+
+def nest(levels: list[tuple[DataFrame, str, str | None, Column]], name: str = "children", empty: bool = False) -> DataFrame:
+    """Levels of a hierarchy as one row of the first level each, with all below in arrays.
+
+    A level is ``(table, key, parent, order)``, the first without a parent; a key of
+    one is the parent column of the next. Built from the last level up, one grouping
+    a level; arrays stand in ``order``, then by all columns. ``total`` tells the rows
+    of the last level; a row with none below goes unless ``empty``. A row holds all
+    that lies below it, as the document it becomes does.
+    """
+    below = None
+    for table, key, parent, order in reversed(levels):
+        rows = table if below is None else table.join(below, key, "left" if empty else "inner")
+        total = F.lit(1).cast("long") if below is None else F.coalesce("total", F.lit(0).cast("long"))
+        rows = rows.withColumn("total", total)
+        if parent is None:
+            return rows
+        shown = [c for c in rows.columns if c not in (parent, "total")]
+        item = F.struct(order.alias("o"), F.struct(*shown, *([] if below is None else ["total"])).alias("v"))
+        grouped = rows.where(F.col(parent).isNotNull()).groupBy(parent)
+        below = grouped.agg(F.transform(F.sort_array(F.collect_list(item)), lambda x: x["v"]).alias(name), F.sum("total").alias("total"))
+    raise ValueError("the first level has no parent")
+
+
+def export_documents(rows: DataFrame, key: str) -> DataFrame:
+    """``key`` and ``value``, the row as one line of JSON with nulls kept: of nested levels, of word reports, of anything."""
+    return rows.select(key, F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias("value"))
 
 
 def corpus_rules(segments: DataFrame, least: DataFrame | None = None) -> DataFrame:

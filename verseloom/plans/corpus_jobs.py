@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from verseloom.functions import ids, markup
 from verseloom.functions.text import fold, folded_tokens
-from verseloom.operators import catalog, definitions, dictionary, ingest, needles, search, survey, texts
+from verseloom.operators import catalog, definitions, dictionary, ingest, needles, outline, search, survey, texts
 from verseloom.rules.canon import PROSE, PROSE_LEMMAS
 from verseloom.sources.corpus import assign_collection, cited, segments, table
 
@@ -78,6 +78,16 @@ def _dictionary(s, d):
     return table(s, d, "benchmark").select(F.explode(dictionary.dictionary_tokens(F.col("text"))).alias("word"), "item_id", "text")
 
 
+def _pages(s, d):
+    """Collections with their books and texts; books without texts go."""
+    region, nation, customer = table(s, d, "region"), table(s, d, "nation"), table(s, d, "customer")
+    return texts.nest([
+        (region.select("r_regionkey", "r_name"), "r_regionkey", None, F.lit(0)),
+        (nation.select("n_nationkey", "n_name", F.col("n_regionkey").alias("r_regionkey")), "n_nationkey", "r_regionkey", F.col("n_nationkey")),
+        (customer.select("c_custkey", "c_name", F.col("c_nationkey").alias("n_nationkey")), "c_custkey", "n_nationkey", outline.natural_key(F.col("c_name"))),
+    ])
+
+
 def _headwords(s, d):
     """Every word of the dictionary, once as a word and once as a stem."""
     words = _dictionary(s, d).select(F.col("word").alias("term")).where("term not like '% %'").distinct()
@@ -307,6 +317,16 @@ JOBS = {
     "citations": _citations,
     "overlay": lambda s, d: texts.overlay_translations(_roots(s, d).select("segment_id"), _translations(s, d).where("turn = 3"))[0].select("segment_id", F.md5("given").alias("given")),
     "overlay_dropped": lambda s, d: texts.overlay_translations(_roots(s, d).where("turn < 2"), _translations(s, d).where("edition = 'user'"))[1].select("segment_id", F.md5("given").alias("given")),
+    "order_rules": lambda s, d: texts.order_rules(_cited(s, d).where("trim(text) != ''")),
+    "orphan_rules": lambda s, d: texts.orphan_rules({
+        "vector without text": (table(s, d, "embeddings"), "vec_id", _docs(s, d), "doc_id"),
+        "label without text": (table(s, d, "labels"), "doc_id", _docs(s, d), "doc_id"),
+        "order without customer": (table(s, d, "orders"), "o_custkey", table(s, d, "customer"), "c_custkey"),
+        "customer without order": (table(s, d, "customer"), "c_custkey", table(s, d, "orders"), "o_custkey"),
+    }),
+    "collection_pages": lambda s, d: _pages(s, d).select("r_name", "total", F.size("children").cast("long").alias("n_books"), F.md5(F.array_join(F.transform("children", lambda b: F.concat(
+        b["n_name"], F.lit(":"), F.array_join(F.transform(b["children"], lambda t: t["c_name"]), ","))), ";")).alias("books")),
+    "export_structure": lambda s, d: texts.export_documents(_pages(s, d), "r_name").select("r_name", F.md5("value").alias("value")),
     "corpus_rules": lambda s, d: texts.corpus_rules(_cited(s, d), _cited(s, d).select("text_id", F.lit(4).alias("n")).distinct()),
     "neighbours": lambda s, d: texts.neighbours(_docs(s, d), ["lang", "source"], "doc_id", 100).select("doc_id", "previous", "next"),
     "edition_stats": lambda s, d: catalog.edition_stats(_translations(s, d).select("edition", F.col("text_id").alias("conv_id"))),
@@ -328,9 +348,9 @@ _WORDS = rf"""tok AS (SELECT DISTINCT doc_id, {_BARE} AS word FROM (SELECT doc_i
 _LEMMAS = ", ".join(f"({k + 1}, '{a}', '{b}', '{c}')" for k, (a, b, c) in enumerate(sorted(PROSE_LEMMAS, key=lambda r: -len(r[0]))))
 _LOOKUP = f"""{_DICT}, {_WORDS}, asked AS (SELECT DISTINCT word FROM tok),
 rules AS (SELECT * FROM (VALUES {_LEMMAS}) AS x(r, suffix, vowel, kase)),
-tried AS (SELECT word, 0 AS r, word AS lemma, NULL::VARCHAR AS suffix, NULL::VARCHAR AS kase FROM asked WHERE length(word) <= 60
-  UNION ALL SELECT word, r, left(word, length(word) - length(suffix)) || vowel, suffix, kase FROM asked JOIN rules
-  ON ends_with(word, suffix) AND length(word) >= length(suffix) + 2 WHERE length(word) <= 60),
+ends AS (SELECT word, n, right(word, n) AS suffix FROM asked, (SELECT DISTINCT length(suffix) AS n FROM rules) WHERE length(word) >= n + 2),
+tried AS (SELECT word, 0 AS r, word AS lemma, NULL::VARCHAR AS suffix, NULL::VARCHAR AS kase FROM asked
+  UNION ALL SELECT word, r, left(word, length(word) - n) || vowel, suffix, kase FROM ends JOIN rules USING (suffix)),
 best AS (SELECT word, min_by({{'lemma': lemma, 'suffix': suffix, 'kase': kase}}, r) AS m FROM tried WHERE lemma IN (SELECT word FROM known) GROUP BY 1),
 looked AS (SELECT a.word, m.lemma AS entry, m.suffix AS suffix, m.kase AS "case" FROM asked a LEFT JOIN best b ON a.word = b.word)"""
 
@@ -436,6 +456,20 @@ JOBS_SQL = {
     "load_dictionary": f"WITH {_ENTRIES} SELECT lower(word) AS word, 'pages' AS source, md5({_plain('definition')}) AS text FROM glossary",
     "posting_statistics": f"""SELECT token, count(DISTINCT doc_id) AS df, count(*) AS n FROM (SELECT doc_id, unnest({_TOK.format("text")}) AS token FROM documents
         UNION ALL SELECT doc_id, unnest({_TOK.format("source")}) FROM documents) GROUP BY 1""",
+    "order_rules": f"""WITH {_CIT}, o AS (SELECT text_id, pos, list_transform(regexp_extract_all(segment_id, '[0-9]+'), lambda x: x::BIGINT) AS k FROM cit WHERE trim(text) <> ''),
+        w AS (SELECT pos, k, lag(pos) OVER x AS p, lag(k) OVER x AS pk FROM o WINDOW x AS (PARTITION BY text_id ORDER BY pos))
+        SELECT 'first place isn''t 0' AS rule, count(*) FILTER (p IS NULL AND pos <> 0) AS n FROM w UNION ALL
+        SELECT 'gap before the place', count(*) FILTER (pos - p > 1) FROM w UNION ALL SELECT 'id not above the one before', count(*) FILTER (k <= pk) FROM w""",
+    "orphan_rules": """SELECT 'vector without text' AS rule, count(*) AS n FROM embeddings ANTI JOIN documents ON vec_id = documents.doc_id UNION ALL
+        SELECT 'label without text', count(*) FROM labels ANTI JOIN documents ON labels.doc_id = documents.doc_id UNION ALL
+        SELECT 'order without customer', count(*) FROM orders ANTI JOIN customer ON o_custkey = c_custkey UNION ALL
+        SELECT 'customer without order', count(*) FROM customer ANTI JOIN orders ON o_custkey = c_custkey""",
+    "export_structure": """WITH t AS (SELECT c_nationkey, list({'c_custkey': c_custkey, 'c_name': c_name} ORDER BY c_custkey) AS t, count(*) AS n FROM customer GROUP BY 1),
+        b AS (SELECT n_regionkey, list({'n_nationkey': n_nationkey, 'n_name': n_name, 'children': t, 'total': n} ORDER BY n_nationkey) AS b, sum(n)::BIGINT AS n FROM nation JOIN t ON c_nationkey = n_nationkey GROUP BY 1)
+        SELECT r_name, md5(to_json({'r_regionkey': r_regionkey, 'r_name': r_name, 'children': b, 'total': n})::VARCHAR) AS value FROM region JOIN b ON n_regionkey = r_regionkey""",
+    "collection_pages": """WITH b AS (SELECT n_regionkey, n_nationkey, n_name, count(*) AS c, string_agg(c_name, ',' ORDER BY c_custkey) AS t
+          FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY 1, 2, 3)
+        SELECT r_name, sum(c)::BIGINT AS total, count(*) AS n_books, md5(string_agg(n_name || ':' || t, ';' ORDER BY n_nationkey)) AS books FROM region JOIN b ON n_regionkey = r_regionkey GROUP BY 1""",
     "substring_requests": f"""WITH {_CIT}, asked AS (SELECT item_id AS request_id, regexp_replace(lower(strip_accents(substr(text, 3, 9))), '^\\s+|\\s+$', '', 'g') AS needle FROM benchmark),
         hit AS (SELECT request_id, text_id, pos, CASE WHEN contains(lower(strip_accents(text)), needle) THEN 'text' ELSE 'source' END AS matched FROM cit JOIN asked
           ON contains(lower(strip_accents(text)), needle) OR contains(lower(strip_accents(coalesce(source, ''))), needle) WHERE length(needle) >= 3),
