@@ -87,3 +87,25 @@ def test_long_words_are_looked_up(spark):
     word = "x" * 90
     got = dictionary.lookup_words(frame(spark, [(word,), (word + "y",)], "word string"), frame(spark, [(word,)], "word string"), (("y", "", "case"),)).collect()
     assert {(r.word, r.entry) for r in got} == {(word, word), (word + "y", word)}
+
+
+def test_reports_fall_back_to_parts_and_name_sources(spark):
+    words = frame(spark, [("alpha", "s", "first"), ("alpha", "u", "second")], "word string, source string, text string")
+    segs = frame(spark, [(1, 0, ["alpha", "x"]), (2, 0, ["alphabet"]), (3, 4, ["betray"])], "text_id long, pos int, tokens array<string>")
+    known = frame(spark, [("s", "A Dictionary", "free"), ("v", "Another", "free")], "source string, title string, license string")
+    got = {r.asked: r for r in dictionary.word_report(["alpha", "tray", "none"], words, segs, attributions=known).collect()}
+    assert got["alpha"].examples == ["1:0"] and got["tray"].examples == ["3:4"] and got["none"].examples is None
+    assert [tuple(a) for a in got["alpha"].attributions] == [("s", "A Dictionary", "free")] and got["tray"].attributions is None
+
+
+def test_texts_with_edition_fallback_and_hierarchy(spark):
+    segs = frame(spark, [("t1", "t1:1", 0, "root a", "own", "b1"), ("t1", "t1:2", 1, "root b", " ", "b1"), ("t2", "t2:1", 0, "root c", None, "b1")],
+                 "text_id string, segment_id string, pos int, root string, other string, book string")
+    editions = frame(spark, [("t1:1", "x", "x1"), ("t1:2", "y", "y2"), ("t1:2", "x", "x2"), ("t2:1", "x", "x3")], "segment_id string, edition string, text string")
+    asked = frame(spark, [(1, "t1", None, None, None, None, None, None)], "request_id long, text_id string, around string, window int, range_start string, range_end string, offset int, limit int")
+    books, groups = frame(spark, [("b1", "First", "g")], "book string, book_name string, grp string"), frame(spark, [("g", "Group")], "grp string, group_name string")
+    levels = [(groups, "grp", None), (books, "book", "grp")]
+    read = lambda **more: texts.read_texts(segs, asked, {"r": "root", "o": "other"}, ["o"], "r", translations=editions, translated="o", levels=levels, level="book", **more)[0]
+    got = sorted((r.segment_id, r.root, r.other, r.book_name, r.group_name) for r in read().collect())
+    assert got == [("t1:1", "root a", "own", "First", "Group"), ("t1:2", "root b", "x2", "First", "Group")]
+    assert sorted((r.segment_id, r.other) for r in read(edition="y").collect()) == [("t1:1", None), ("t1:2", "y2")]

@@ -17,6 +17,7 @@ KNOWN_TAG = re.compile(r"<(/?)(b|em|i|j|a)\b[^>]*>", re.IGNORECASE)
 NO_TEXT = frozenset(("script", "style", "template"))
 ESCAPES = str.maketrans({"&": "&amp;", "<": "&lt;", ">": "&gt;", '"': "&#34;", "'": "&#39;", **dict.fromkeys(map(chr, range(4)))})
 
+_escaping = re.compile(r"""[&<>"'\x00-\x03]""")
 _letters = re.compile(r"[^\W\d_]+")
 
 
@@ -96,8 +97,10 @@ def extract_glossary(pages: DataFrame, key: str, start: str, end: str) -> DataFr
     return rows.where("word != '' and definition != ''")
 
 
-def folded_with_places(text: str) -> tuple[str, list[int]]:
+def folded_with_places(text: str) -> tuple[str, list[int] | range]:
     """Lower case without marks, and the place in ``text`` of each letter of it."""
+    if text.isascii():
+        return text.lower(), range(len(text))
     out, places = [], []
     for k, c in enumerate(text):
         for x in unicodedata.normalize("NFD", c):
@@ -108,19 +111,73 @@ def folded_with_places(text: str) -> tuple[str, list[int]]:
     return "".join(out), places
 
 
+class _Letters(dict):
+    """Each letter, by code point, in lower case without marks; ``ODD`` for one that becomes none or several."""
+
+    def __missing__(self, code: int) -> str:
+        found = folded_with_places(chr(code))[0]
+        self[code] = found = found if len(found) == 1 else ODD
+        return found
+
+
+ODD = "\ud800"
+_letters_folded = _Letters()
+
+
+def _in_place(text: str) -> str | None:
+    """A text folded letter by letter, each in its place; None if a letter has no single counterpart."""
+    low = text.lower() if text.isascii() else text.translate(_letters_folded)
+    return None if ODD in low else low
+
+
+def _places(low: str, part: str) -> list[tuple[int, int]]:
+    """Where a part stands in a text, left to right without overlap."""
+    found, at, size = [], low.find(part), len(part)
+    while at >= 0:
+        found.append((at, at + size))
+        at = low.find(part, at + size)
+    return found
+
+
+def _is_word(low: str, start: int, end: int) -> bool:
+    beside = (low[start - 1 : start], low[end : end + 1])
+    return not any(c.isalnum() and not c.isdecimal() for c in beside)
+
+
+FEW_FORMS = 12  # forms up to which each is looked for by itself
+
+
 def _spans(text: str, forms: frozenset[str], query: str) -> list[tuple[int, int]]:
+    low = _in_place(text) if forms or query else None
     if forms:
-        return [m.span() for m in _letters.finditer(text) if folded_with_places(m[0])[0] in forms]
+        if low is None:
+            return [m.span() for m in _letters.finditer(text) if folded_with_places(m[0])[0] in forms]
+        if len(forms) > FEW_FORMS:
+            return [m.span() for m in _letters.finditer(low) if m[0] in forms]
+        words = [f for f in forms if _letters.fullmatch(f)]
+        # overlapping places of one form can't both be words, but the second of them can
+        return sorted(x for f in words for x in _starts(low, f) if _is_word(low, *x))
     if not query:
         return []
+    if low is not None:
+        return _places(low, query)
     low, places = folded_with_places(text)
-    found, at = [], low.find(query)
+    return [(places[s], places[e - 1] + 1) for s, e in _places(low, query)]
+
+
+def _starts(low: str, part: str) -> list[tuple[int, int]]:
+    """Where a part stands in a text, overlapping places included."""
+    found, at = [], low.find(part)
     while at >= 0:
-        found.append((places[at], places[at + len(query) - 1] + 1))
-        at = low.find(query, at + len(query))
+        found.append((at, at + len(part)))
+        at = low.find(part, at + 1)
     return found
 
 
+def _escaped(text: str) -> str:
+    return text.translate(ESCAPES) if _escaping.search(text) else text
+
+
 def rendered(text: str | None, forms: frozenset[str] = frozenset(), query: str = "") -> str | None:
     """HTML of a segment: few tags stay, without attributes; all else is escaped; words of ``forms`` or spans like ``query`` are marked.
 
@@ -129,7 +186,7 @@ def rendered(text: str | None, forms: frozenset[str] = frozenset(), query: str =
     if not text:
         return None
     pieces, at = [""], 0
-    for m in KNOWN_TAG.finditer(text):
+    for m in KNOWN_TAG.finditer(text) if "<" in text else ():
         pieces[-1] += text[at : m.start()]
         name, at = m[2].lower(), m.end()
         tag = f"<{m[1]}{name}>" if name in KEPT else "<br>" if name == BREAK and not m[1] else None
@@ -140,9 +197,9 @@ def rendered(text: str | None, forms: frozenset[str] = frozenset(), query: str =
     for k in range(0, len(pieces), 2):
         piece, done, out = pieces[k], 0, []
         for s, e in _spans(piece, forms, query):
-            out += [piece[done:s].translate(ESCAPES), f"<mark>{piece[s:e].translate(ESCAPES)}</mark>"]
+            out += [_escaped(piece[done:s]), f"<mark>{_escaped(piece[s:e])}</mark>"]
             done = e
-        pieces[k] = "".join(out) + piece[done:].translate(ESCAPES)
+        pieces[k] = "".join(out) + _escaped(piece[done:])
     return "".join(pieces)
 
 

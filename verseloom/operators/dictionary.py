@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from verseloom.operators.search import word_parts
+from verseloom.operators.shared import checkpointed
+
 #: Fixed value: all white space.
 BLANKS = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 
@@ -83,11 +86,14 @@ def dictionary_coverage(texts: DataFrame, dictionary: DataFrame, rules: tuple, k
     )
 
 
-def word_report(words: list[str], dictionary: DataFrame, texts: DataFrame, examples: int = 3, related: int = 5) -> DataFrame:
+def word_report(words: list[str], dictionary: DataFrame, texts: DataFrame, examples: int = 3, related: int = 5, attributions: DataFrame | None = None) -> DataFrame:
     """For each word: its entries, suggestions where it has none, related words, and one example of so many texts.
 
     ``dictionary(word, source, text)``; ``texts(text_id, pos, folded tokens)``.
-    Words are the caller's list (1,000 at most) and become literals.
+    Examples hold the word as a token; only for a word that no text has so, as a
+    part of one. ``attributions(source, ...)`` adds what is known of each source
+    that an entry is from. Words are the caller's list (1,000 at most) and become
+    literals.
     """
     if len(words) > 1000:
         raise ValueError("at most 1000 words a call")
@@ -102,9 +108,20 @@ def word_report(words: list[str], dictionary: DataFrame, texts: DataFrame, examp
     listed = lambda df, name: df.groupBy("asked").agg(F.transform(F.sort_array(F.collect_list(F.struct("r", "word"))), lambda x: x["word"]).alias(name))
     suggestions = top(near.where("starts").join(entries.select("asked"), "asked", "left_anti"), 3)
     hits = texts.select("text_id", "pos", F.explode(F.array_intersect("tokens", F.array(*map(F.lit, dict.fromkeys(words))))).alias("asked"))
+    hits = checkpointed(hits)
+    absent = asked.join(hits.select("asked").distinct(), "asked", "left_anti")
+    if not absent.isEmpty():
+        tokens = texts.select("text_id", "pos", F.explode(F.array_distinct("tokens")).alias("token"))
+        inside = word_parts(tokens, absent.select(F.col("asked").alias("part")))
+        hits = hits.union(tokens.join(inside, "token").select("text_id", "pos", F.col("part").alias("asked")).distinct())
     key = F.md5(F.concat_ws("|", "text_id", "pos"))
     one = hits.groupBy("asked", "text_id").agg(F.min(F.struct(key.alias("h"), "pos")).alias("m"))
     sample = one.withColumn("r", F.row_number().over(Window.partitionBy("asked").orderBy("m.h", "text_id"))).where(F.col("r") <= examples)
     sample = sample.groupBy("asked").agg(F.transform(F.sort_array(F.collect_list(F.struct("r", F.concat_ws(":", "text_id", "m.pos").alias("at")))), lambda x: x["at"]).alias("examples"))
+    if attributions is not None:
+        named = F.struct(*attributions.columns)
+        sources = entries.select("asked", F.explode(F.array_distinct(F.col("entries.source"))).alias("source"))
+        known = sources.join(attributions, "source").groupBy("asked").agg(F.sort_array(F.collect_set(named)).alias("attributions"))
+        entries = entries.join(known, "asked", "left")
     out = asked.join(entries, "asked", "left").join(listed(suggestions, "suggestions"), "asked", "left")
     return out.join(listed(top(near, related), "related"), "asked", "left").join(sample, "asked", "left")

@@ -152,7 +152,7 @@ def export_tables(tables: dict[str, tuple[DataFrame, list[str]]], path: str) ->
     """Write the chosen columns of each table as Parquet in id order, and tell how many rows each has."""
     found = None
     for name, (table, columns) in tables.items():
-        table.select(*columns).sortWithinPartitions(columns[0]).write.mode("overwrite").parquet(f"{path}/{name}")
+        table.select(*columns).repartitionByRange(columns[0]).sortWithinPartitions(columns[0]).write.mode("overwrite").parquet(f"{path}/{name}")
         part = table.sparkSession.read.parquet(f"{path}/{name}").agg(F.lit(name).alias("name"), F.count("*").alias("n"))
         found = part if found is None else found.union(part)
     return found

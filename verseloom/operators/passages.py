@@ -86,12 +86,6 @@ def embedding_input(*texts: Column) -> Column:
     return F.concat_ws(" | ", *[F.when(F.trim(t) != "", t) for t in texts])
 
 
-def citations(docs: DataFrame) -> DataFrame:
-    """Citation and link of each text."""
-    cite = F.concat(F.coalesce(F.upper("source"), F.lit("?")), F.lit(" ("), F.coalesce("lang", F.lit("?")), F.lit(", "), "doc_id", F.lit(")"))
-    return docs.select("doc_id", cite.alias("citation"), F.concat(F.lit("https://example.org/"), "doc_id").alias("link"))
-
-
 def coverage(docs: DataFrame, dictionary: DataFrame) -> DataFrame:
     """Tokens of each text, and how many of them are entries of ``dictionary(token)``.
 

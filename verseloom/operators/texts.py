@@ -259,10 +259,39 @@ def overlay_translations(shown: DataFrame, given: DataFrame) -> tuple[DataFrame,
     return shown.join(one, "segment_id", "left"), one.join(shown.select("segment_id"), "segment_id", "left_anti")
 
 
-def read_texts(segments: DataFrame, requests: DataFrame, columns: dict[str, str], languages: list[str], root: str, curated: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Requested slices of texts in the chosen languages with the text's title, and the rejected requests."""
+def read_texts(
+    segments: DataFrame,
+    requests: DataFrame,
+    columns: dict[str, str],
+    languages: list[str],
+    root: str,
+    curated: DataFrame | None = None,
+    translations: DataFrame | None = None,
+    translated: str | None = None,
+    edition: str | None = None,
+    levels: list[tuple] | None = None,
+    level: str | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """Requested slices of texts in the chosen languages with the text's title, and the rejected requests.
+
+    With ``translations(segment_id, edition, text)`` the column of the language
+    ``translated`` is that of one ``edition`` (null where it has none), or else its
+    own text, and where that is blank the first edition's by name. With ``levels``
+    each row has the columns of the levels above its key ``level``. Only editions
+    of requested segments are looked at.
+    """
     rows, rejected = slices(segments, requests)
     titles = text_titles(segments.join(requests.select("text_id").distinct(), "text_id", "left_semi"), [columns[root]], curated)
+    if translations is not None and translated in columns:
+        own, order = columns[translated], rows.columns
+        part = translations.join(rows.select("segment_id").distinct(), "segment_id", "left_semi")
+        if edition is not None:
+            rows = edition_text(rows, part, edition).withColumn(own, F.col("edition_text"))
+        else:
+            rows = with_fallback(rows, part, own).withColumn(own, F.col("shown"))
+        rows = rows.select(*order)
+    if levels is not None:
+        rows = with_hierarchy(rows, levels, level)
     rows = rows.join(titles.withColumnRenamed(columns[root], "title"), "text_id", "left")
     return enabled_languages(rows, columns, languages, root), rejected
 
