@@ -38,6 +38,8 @@ CLOSES_P = frozenset(
     "address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header "
     "hr main menu nav ol p pre section table ul".split()
 )
+#: An element and the open ones that its start ends.
+CLOSED_BY_LIKE = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 TEXTUAL = frozenset("p li dd dt td th caption pre blockquote figcaption".split())
 #: What reader text calls itself, and what else isn't content: whole words of class, id and role.
@@ -50,22 +52,90 @@ NOT_CONTENT = re.compile(
     re.I,
 )
 THRESHOLD = 0.1  # of the best path's score in the container
-_token = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
+_token = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|[^<]+|<", re.S)
 _attribute = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _not_shown = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.I)
 _space = re.compile(r"\s+")
 _marks = re.compile(r"[.,;:!?。、，！？…]")
 
 
+class Paths:
+    """The tag paths of a page as a tree: each is a number, known by its parent's number and its last tag; 0 is the empty path."""
+
+    def __init__(self) -> None:
+        self.parent, self.tag = [0], [""]
+        self.known: dict[tuple[int, str], int] = {}
+        self.main = [False]  # whether main is on the path
+        self.article = [False]
+
+    def below(self, path: int, tag: str) -> int:
+        if (found := self.known.get((path, tag))) is None:
+            found = self.known[path, tag] = len(self.tag)
+            self.parent.append(path)
+            self.tag.append(tag)
+            self.main.append(self.main[path] or tag == "main")
+            self.article.append(self.article[path] or tag == "article")
+        return found
+
+    def inside(self, best: int) -> list[bool]:
+        """For each path whether ``best`` is it or lies above it; parents have smaller numbers."""
+        out = [best == 0]
+        for path in range(1, len(self.tag)):
+            out.append(path == best or out[self.parent[path]])
+        return out
+
+
 class Block:
     __slots__ = ("path", "text", "apart", "links", "named")
 
-    def __init__(self, path: tuple[str, ...], text: str, apart: bool, links: int, named: tuple[tuple[int, bool, bool], ...]) -> None:
+    def __init__(self, path: int, text: str, apart: bool, links: int, named: tuple[tuple[int, bool, bool], ...]) -> None:
         self.path, self.text, self.apart, self.links = path, text, apart, links
         #: elements around it whose names aren't content: number, whether of readers, whether the article lies within
         self.named = named
 
 
+class _Open:
+    """The open elements, with counts of what the parser asks about all of them."""
+
+    __slots__ = ("rows", "names", "apart", "named", "articles", "serial")
+
+    def __init__(self) -> None:
+        self.rows: list[tuple[str, bool, int, bool, int, int]] = []  # tag, set apart, number if named, named as of readers, path, serial
+        self.names: Counter[str] = Counter()
+        self.apart = self.serial = 0
+        self.named: list[tuple[int, bool, int]] = []  # number, of readers, serial
+        self.articles: list[int] = []  # serials of article and main elements that aren't named
+
+    def push(self, name: str, apart: bool, number: int, readers: bool, path: int) -> None:
+        self.serial += 1
+        self.rows.append((name, apart, number, readers, path, self.serial))
+        self.names[name] += 1
+        self.apart += apart
+        if number:
+            self.named.append((number, readers, self.serial))
+        elif name in ("article", "main"):
+            self.articles.append(self.serial)
+
+    def _gone(self, row: tuple[str, bool, int, bool, int, int]) -> None:
+        self.names[row[0]] -= 1
+        self.apart -= row[1]
+        if row[2]:
+            self.named.remove((row[2], row[3], row[5]))
+        elif row[0] in ("article", "main"):
+            self.articles.remove(row[5])
+
+    def cut(self, k: int) -> None:
+        while len(self.rows) > k:
+            self._gone(self.rows.pop())
+
+    def drop(self, k: int) -> None:
+        self._gone(self.rows.pop(k))
+
+    @property
+    def path(self) -> int:
+        return self.rows[-1][4] if self.rows else 0
+
+
 def _hidden(attributes: dict[str, str]) -> bool:
     return (
         "hidden" in attributes
@@ -78,56 +148,70 @@ def _fold(text: str) -> str:
     return _space.sub(" ", html.unescape(text)).strip()
 
 
-def blocks(page: str) -> list[Block]:
-    """The page's blocks of text in page order: path of block elements, text with single spaces, whether set apart."""
+RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW}
+
+
+def blocks(page: str) -> tuple[list[Block], Paths]:
+    """The page's blocks of text in page order, and its tag paths: path of block elements, text with single spaces, whether set apart.
+
+    An element costs the same however deep it lies.
+    """
     out: list[Block] = []
-    stack: list[tuple[str, bool, int, bool]] = []  # tag, set apart, number if named as no content, named as of readers
+    paths, opened = Paths(), _Open()
+    stack, count = opened.rows, opened.names
     number = 0
     held: list[str] = []
     linked: list[bool] = []  # whether each of these stands in a link
-    raw_end = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW}
 
     def flush() -> None:
         nonlocal held, linked
         if held:
             text = _fold("".join(held))
             if text:
-                path = tuple(e[0] for e in stack if e[0] not in INLINE)
-                last = max((k for k, e in enumerate(stack) if e[0] in ("article", "main") and not e[2]), default=-1)
-                named = tuple((e[2], e[3], k < last) for k, e in enumerate(stack) if e[2])
+                last = opened.articles[-1] if opened.articles else -1
+                named = tuple((n, readers, serial < last) for n, readers, serial in opened.named)
                 links = sum(len(_fold("".join(t for t, _ in run))) for a, run in groupby(zip(held, linked), itemgetter(1)) if a)
-                out.append(Block(path, text, any(e[1] for e in stack), min(links, len(text)), named))
+                out.append(Block(opened.path, text, opened.apart > 0, min(links, len(text)), named))
             held, linked = [], []
 
-    at, size = 0, len(page)
+    at, size, last_end = 0, len(page), page.rfind(">")
     while at < size:
+        if at > last_end and not page.startswith(("<!", "<?"), at):
+            # no tag ends any more: all up to the next comment is text
+            stop = min((k for k in (page.find("<!", at), page.find("<?", at)) if k >= 0), default=size)
+            held.append(page[at:stop])
+            linked.append(count["a"] > 0)
+            at = stop
+            continue
         m = _token.match(page, at)
         at = m.end()
         name = m[2]
         if name is None:
             if not m[0].startswith("<") or m[0] == "<":
                 held.append(m[0])
-                linked.append(any(e[0] == "a" for e in stack))
+                linked.append(count["a"] > 0)
             continue
         name = name.lower()
         if m[1]:
-            if name == "p" and not any(e[0] == "p" for e in stack):
+            if name == "p" and not count["p"]:
                 flush()
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    if any(e[0] not in INLINE for e in stack[k:]):
-                        if name in INLINE:
-                            # an inline end tag closes no block
-                            del stack[k]
-                            break
-                        flush()
-                    del stack[k:]
-                    break
+            if count[name]:
+                k = len(stack) - 1
+                across = False
+                while stack[k][0] != name:
+                    across = across or stack[k][0] not in INLINE
+                    k -= 1
+                if across or name not in INLINE:
+                    if name in INLINE:
+                        # an inline end tag closes no block
+                        opened.drop(k)
+                        continue
+                    flush()
+                opened.cut(k)
             continue
         if name in RAW:
-            if name not in INLINE:
-                end = raw_end[name].search(page, at)
-                at = end.end() if end else size
+            end = RAW_END[name].search(page, at)
+            at = end.end() if end else size
             continue
         if name == "br":
             held.append(" ")
@@ -136,23 +220,19 @@ def blocks(page: str) -> list[Block]:
         if name not in INLINE:
             flush()
             if name in CLOSES_P:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == "p":
-                        # an inline element left open by the paragraph has no use after it
-                        del stack[k:]
-                        break
-            elif name in ("li", "dt", "dd", "tr", "td", "th", "option"):
+                if count["p"]:
+                    # an inline element left open by the paragraph has no use after it
+                    opened.cut(next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == "p"))
+            elif name in CLOSED_BY_LIKE and any(count[x] for x in CLOSED_BY_LIKE[name]):
                 for k in range(len(stack) - 1, -1, -1):
                     if stack[k][0] in ("ul", "ol", "dl", "table", "select", "tr") and stack[k][0] != name:
                         break
-                    if stack[k][0] == name or (name in ("dt", "dd") and stack[k][0] in ("dt", "dd")) or (
-                        name in ("td", "th") and stack[k][0] in ("td", "th")
-                    ):
-                        del stack[k:]
+                    if stack[k][0] in CLOSED_BY_LIKE[name]:
+                        opened.cut(k)
                         break
         if name in VOID or m[3].rstrip().endswith("/") and name in ("svg", "path"):
             continue
-        inside = any(e[0] in ("article", "main") for e in stack)
+        inside = count["article"] or count["main"]
         apart, named, readers = name in APART and not (name == "header" and inside), False, False
         if m[3] and name not in ("html", "body"):
             attributes: dict[str, str] = {}
@@ -163,29 +243,29 @@ def blocks(page: str) -> list[Block]:
             readers = any(map(READERS.fullmatch, tokens))
             named = readers or name not in ("article", "main") and any(map(NOT_CONTENT.fullmatch, tokens))
         number += named
-        stack.append((name, apart, number if named else 0, readers))
+        opened.push(name, apart, number if named else 0, readers, opened.path if name in INLINE else paths.below(opened.path, name))
     flush()
-    return out
+    return out, paths
 
 
-def _scores(found: list[Block]) -> dict[tuple[str, ...], tuple[float, float]]:
+def _scores(found: list[Block]) -> dict[int, tuple[float, float]]:
     """Smoothed and own score of each tag path, in order of first place."""
-    paths: dict[tuple[str, ...], list[float]] = {}
+    rows: dict[int, list[float]] = {}
     for b in found:
-        row = paths.setdefault(b.path, [0.0, 0.0, 0.0, 0.0])
+        row = rows.setdefault(b.path, [0.0, 0.0, 0.0])
         row[0] += len(b.text) - b.links
         row[1] += len(_marks.findall(b.text))
         row[2] += 1
-    raw = [math.log1p(t / n) * (1 + math.log1p(p / n)) * math.log1p(t) for t, p, n, _ in paths.values()]
+    raw = [math.log1p(t / n) * (1 + math.log1p(p / n)) * math.log1p(t) for t, p, n in rows.values()]
     smooth = [
         sum(w * raw[k + d] for d, w in ((-1, 0.25), (0, 0.5), (1, 0.25)) if 0 <= k + d < len(raw))
         / sum(w for d, w in ((-1, 0.25), (0, 0.5), (1, 0.25)) if 0 <= k + d < len(raw))
         for k in range(len(raw))
     ]
-    return {p: (max(s, r), r) for p, s, r in zip(paths, smooth, raw)}
+    return {p: (max(s, r), r) for p, s, r in zip(rows, smooth, raw)}
 
 
-def _without_named(found: list[Block]) -> list[Block]:
+def _without_named(found: list[Block], paths: Paths) -> list[Block]:
     """The blocks outside elements named as no content; such a name doesn't count where the page's content lies within.
 
     That is where its article or main element does, or else most of the path
@@ -195,9 +275,9 @@ def _without_named(found: list[Block]) -> list[Block]:
     free = [b for b in found if not b.named]
     size = lambda rows: sum(len(b.text) for b in rows)
     within = [b for b in found if any(holds for _, _, holds in b.named)]
-    in_main = [b for b in free if "main" in b.path]
+    in_main = [b for b in free if paths.main[b.path]]
     opened: set[int] = set()
-    if any("article" in b.path for b in free):
+    if any(paths.article[b.path] for b in free):
         pass
     elif within and size(within) > size(in_main):
         opened = {n for b in within for n, _, holds in b.named if holds}
@@ -213,34 +293,38 @@ def _without_named(found: list[Block]) -> list[Block]:
 
 def main_blocks(page: str) -> list[str]:
     """Texts of the content blocks of a page, in page order."""
-    found = _without_named([b for b in blocks(page) if not b.apart])
+    found, paths = blocks(page)
+    found = _without_named([b for b in found if not b.apart], paths)
     if not found:
         return []
     scores = _scores(found)
     # fuse: the text of a path counts for every container above it, less the further above
-    weight: dict[tuple[str, ...], float] = {}
+    weight, depth, there = [0.0] * len(paths.tag), [0] * len(paths.tag), [False] * len(paths.tag)
     for path, (score, _) in scores.items():
-        for up in range(len(path) + 1):
-            container = path[: len(path) - up]
-            weight[container] = weight.get(container, 0.0) + score * 0.7**up
-    named = [c for c in weight if c and c[-1] in ("article", "main")]
-    inner = [c for c in named if c[-1] == "article"] or named
+        weight[path], there[path] = score, True
+    for path in range(len(paths.tag) - 1, 0, -1):
+        weight[paths.parent[path]] += 0.7 * weight[path]
+        there[paths.parent[path]] |= there[path]
+    for path in range(1, len(paths.tag)):
+        depth[path] = depth[paths.parent[path]] + 1
+    held = [c for c in range(len(paths.tag)) if there[c]]
+    named = [c for c in held if paths.tag[c] in ("article", "main")]
+    inner = [c for c in named if paths.tag[c] == "article"] or named
     if inner:
-        best = max(inner, key=lambda c: (weight[c], -len(c)))
+        best = max(inner, key=lambda c: (weight[c], -depth[c]))
     else:
-        best = max((c for c in weight if not c or c[-1] not in HEADINGS | {"p"}), key=lambda c: (weight[c], len(c)))
-    inside = {p: s for p, s in scores.items() if p[: len(best)] == best}
+        best = max((c for c in held if paths.tag[c] not in HEADINGS | {"p"}), key=lambda c: (weight[c], depth[c]))
+    lies = paths.inside(best)
+    inside = {p: s for p, s in scores.items() if lies[p]}
     limit = THRESHOLD * max(smooth for smooth, _ in inside.values())
-    content = {
-        p for p, (smooth, own) in inside.items() if p[-1:] and p[-1] in HEADINGS or (smooth if p[-1:] and p[-1] in TEXTUAL else own) >= limit
-    }
+    content = {p for p, (smooth, own) in inside.items() if paths.tag[p] in HEADINGS or (smooth if paths.tag[p] in TEXTUAL else own) >= limit}
     if not inner:
         # without an article a path that is half link or more is a menu
         chars, links = Counter(), Counter()
         for b in found:
             chars[b.path] += len(b.text)
             links[b.path] += b.links
-        content = {p for p in content if p[-1:] and p[-1] in HEADINGS or 2 * links[p] < chars[p]}
+        content = {p for p in content if paths.tag[p] in HEADINGS or 2 * links[p] < chars[p]}
     return [b.text for b in found if b.path in content]
 
 
