@@ -2,6 +2,7 @@
 
 import pytest
 
+from verseloom.llm import html_extract
 from verseloom.llm.html_extract import extract_text
 
 LONG = "A sentence, with some words and marks, that is long enough. " * 4
@@ -56,3 +57,38 @@ def test_linked_blocks_stay():
 def test_links_without_article():
     page = f"<body><ul><li><a href=/>Home</a><li><a href=/b>More</a></ul><h2>{LINKED}</h2><p>{LONG}<p>{LINKED}<p>{LONG}</body>"
     assert extract_text(page).split("\n\n") == ["Q&A <about> this", TEXT, "Q&A <about> this", TEXT]
+
+
+def test_short_lines_of_an_article_stay():
+    for length in (1, 30):
+        rows = "".join("<p>" + f"Paragraph {k} tells a long story, with detail; it goes on for a while, and then ends. " * length + "</p>" for k in range(20))
+        page = f"<html><body><article><h1>T</h1><div class=lead>Reported from Lima</div>{rows}<section><div>2024 results table follows</div></section></article></body></html>"
+        text = html_extract.extract_text(page)
+        assert "Reported from Lima" in text and text.endswith("2024 results table follows")
+
+
+def test_time_grows_with_the_page_not_with_its_nesting():
+    import time
+
+    n = 10_000
+    for page in ("".join(f"<div>text {k}" for k in range(n)), "<p>x</p>" + "<a " * n, "<div>" * n + "words here." + "</b></div>" * n):
+        began = time.process_time()
+        html_extract.extract_text(page)
+        assert time.process_time() - began < 10  # quadratic work takes minutes
+
+
+def test_scores_decide_without_telling_names(monkeypatch):
+    """With one score for all paths other text comes out of pages without an article or names."""
+    story = "".join(f"<p>Part {k} tells a long story, with detail; it goes on for a while, and then it ends.</p>" for k in range(9))
+    page = f"<html><body><div><div><div>Menu</div></div><section>{story}</section><div>12 min</div></div></body></html>"
+    real = html_extract.extract_text(page)
+    monkeypatch.setattr(html_extract, "_scores", lambda found: {b.path: html_extract.Score(1.0, 1.0, 1.0, 1.0) for b in found})
+    assert "Part 8" in real and "Menu" not in real and "12 min" not in real and html_extract.extract_text(page) != real
+
+
+def test_table_of_pages(spark):
+    rows = [(1, "u", None, "x"), (1, "u", None, "x"), (None, "v", "", "y"), (2, None, "<p>Some words, here.</p>", "z")]
+    docs = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
+    got = sorted((r.page_id or 0, r.text, r.n_chars) for r in html_extract.extract(docs).collect())
+    assert got == [(0, "", 0), (1, "", 0), (1, "", 0), (2, "Some words, here.", 17)]
+    assert html_extract.extract(docs.limit(0)).count() == 0

@@ -52,6 +52,8 @@ NOT_CONTENT = re.compile(
     re.I,
 )
 THRESHOLD = 0.1  # of the best path's score in the container
+ARTICLE_THRESHOLD = 0.15  # of the best path's ratio in a named article
+ENOUGH = math.log1p(12)  # the ratio of a line of twelve letters without a mark: more stays in any article
 _token = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|[^<]+|<", re.S)
 _attribute = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _not_shown = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.I)
@@ -248,21 +250,42 @@ def blocks(page: str) -> tuple[list[Block], Paths]:
     return out, paths
 
 
-def _scores(found: list[Block]) -> dict[int, tuple[float, float]]:
-    """Smoothed and own score of each tag path, in order of first place."""
+class Score:
+    """What a tag path's text says, smoothed (or its own, if larger) and its own: by all its text, and by the text of an element."""
+
+    __slots__ = ("weight", "own_weight", "ratio", "own_ratio")
+
+    def __init__(self, weight: float, own_weight: float, ratio: float, own_ratio: float) -> None:
+        self.weight, self.own_weight, self.ratio, self.own_ratio = weight, own_weight, ratio, own_ratio
+
+    def level(self, article: bool, smoothed: bool) -> float:
+        """What is held against the threshold: in a named article a line of its own kind is as good as a paragraph, so how many there are doesn't matter."""
+        if article:
+            return self.ratio if smoothed else self.own_ratio
+        return self.weight if smoothed else self.own_weight
+
+
+def _smoothed(values: list[float]) -> list[float]:
+    """Each value or its mean with the paths beside it, whichever is larger."""
+    shares = ((-1, 0.25), (0, 0.5), (1, 0.25))
+    mean = [
+        sum(w * values[k + d] for d, w in shares if 0 <= k + d < len(values)) / sum(w for d, w in shares if 0 <= k + d < len(values))
+        for k in range(len(values))
+    ]
+    return list(map(max, mean, values))
+
+
+def _scores(found: list[Block]) -> dict[int, Score]:
+    """Scores of each tag path, in order of first place: text without links and punctuation an element, with and without the weight of all its text."""
     rows: dict[int, list[float]] = {}
     for b in found:
         row = rows.setdefault(b.path, [0.0, 0.0, 0.0])
         row[0] += len(b.text) - b.links
         row[1] += len(_marks.findall(b.text))
         row[2] += 1
-    raw = [math.log1p(t / n) * (1 + math.log1p(p / n)) * math.log1p(t) for t, p, n in rows.values()]
-    smooth = [
-        sum(w * raw[k + d] for d, w in ((-1, 0.25), (0, 0.5), (1, 0.25)) if 0 <= k + d < len(raw))
-        / sum(w for d, w in ((-1, 0.25), (0, 0.5), (1, 0.25)) if 0 <= k + d < len(raw))
-        for k in range(len(raw))
-    ]
-    return {p: (max(s, r), r) for p, s, r in zip(rows, smooth, raw)}
+    ratios = [math.log1p(t / n) * (1 + math.log1p(p / n)) for t, p, n in rows.values()]
+    weights = [r * math.log1p(t) for r, (t, _, _) in zip(ratios, rows.values())]
+    return {path: Score(*x) for path, *x in zip(rows, _smoothed(weights), weights, _smoothed(ratios), ratios)}
 
 
 def _without_named(found: list[Block], paths: Paths) -> list[Block]:
@@ -283,7 +306,7 @@ def _without_named(found: list[Block], paths: Paths) -> list[Block]:
         opened = {n for b in within for n, _, holds in b.named if holds}
     elif found and not in_main:
         scores = _scores(found)
-        best = max(scores, key=scores.__getitem__)
+        best = max(scores, key=lambda p: scores[p].weight)
         rows = [b for b in found if b.path == best]
         held = [b for b in rows if b.named]
         if 2 * size(held) > size(rows):
@@ -300,8 +323,8 @@ def main_blocks(page: str) -> list[str]:
     scores = _scores(found)
     # fuse: the text of a path counts for every container above it, less the further above
     weight, depth, there = [0.0] * len(paths.tag), [0] * len(paths.tag), [False] * len(paths.tag)
-    for path, (score, _) in scores.items():
-        weight[path], there[path] = score, True
+    for path, score in scores.items():
+        weight[path], there[path] = score.weight, True
     for path in range(len(paths.tag) - 1, 0, -1):
         weight[paths.parent[path]] += 0.7 * weight[path]
         there[paths.parent[path]] |= there[path]
@@ -316,8 +339,9 @@ def main_blocks(page: str) -> list[str]:
         best = max((c for c in held if paths.tag[c] not in HEADINGS | {"p"}), key=lambda c: (weight[c], depth[c]))
     lies = paths.inside(best)
     inside = {p: s for p, s in scores.items() if lies[p]}
-    limit = THRESHOLD * max(smooth for smooth, _ in inside.values())
-    content = {p for p, (smooth, own) in inside.items() if paths.tag[p] in HEADINGS or (smooth if paths.tag[p] in TEXTUAL else own) >= limit}
+    most = max(s.level(bool(inner), True) for s in inside.values())
+    limit = min(ARTICLE_THRESHOLD * most, ENOUGH) if inner else THRESHOLD * most
+    content = {p for p, s in inside.items() if paths.tag[p] in HEADINGS or s.level(bool(inner), paths.tag[p] in TEXTUAL) >= limit}
     if not inner:
         # without an article a path that is half link or more is a menu
         chars, links = Counter(), Counter()
