@@ -13,16 +13,20 @@ from verseloom.llm.common import checkpointed
 
 EACH = 20_000  # edges a task, at least, where there are enough
 HOT = 1_000  # rows from which on a key goes to the executors instead of being a task's own
+SENT = 100_000  # keys that go to the executors, at most
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, key: str) -> DataFrame:
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, total: int = 0) -> DataFrame:
     """``rows`` joined to ``groups(key, c, ...)``, which has one row a key and tells the number ``c`` of its rows.
 
-    Keys of more than ``HOT`` rows are broadcast, at most as many as all rows
-    divided by it, and their rows stay where they are; the others are joined by key.
+    Keys of more than ``HOT`` rows are broadcast and their rows stay where they
+    are; the others are joined by key. ``total`` is the number of all rows, or
+    more (0: it is small): beyond ``HOT`` times ``SENT`` a key must have more than a ``SENT``-th of
+    them, so there are never more than ``SENT`` such keys.
     """
-    large = groups.where(F.col("c") > HOT).drop("c")
-    small = groups.where(F.col("c") <= HOT).drop("c")
+    hot = max(HOT, total // SENT)
+    large = groups.where(F.col("c") > hot).drop("c")
+    small = groups.where(F.col("c") <= hot).drop("c")
     rest = rows.join(F.broadcast(large.select(key)), key, "left_anti")
     return rows.join(F.broadcast(large), key).unionByName(rest.join(small, key))
 
@@ -98,12 +102,12 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         both = edges.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(edges.select("lo", "hi"))
         least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("c")).withColumn("m", F.least("u", "m"))
         large = (
-            join_groups(both, least, "u").where("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo"))
+            join_groups(both, least, "u", 2 * state[0]).where("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo"))
         ).distinct()
         # small-star: u and its smaller neighbours hang under the smallest of them
         lows = large.groupBy("hi").agg(F.min("lo").alias("m"), F.count("*").alias("c"))
         small = (
-            join_groups(large, lows, "hi").where("lo != m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
+            join_groups(large, lows, "hi", 2 * state[0]).where("lo != m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
         ).union(lows.select("hi", F.col("m").alias("lo")))
         edges = checkpointed(small.distinct())
         before, state = state, _state(edges)

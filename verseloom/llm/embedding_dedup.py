@@ -329,7 +329,7 @@ def near_duplicates(
         )
     )
     named = known.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("c"))
-    by_vector = join_groups(known, named, "component").select("h1", "h2", "n_links", "component_id")
+    by_vector = join_groups(known, named, "component", known.count()).select("h1", "h2", "n_links", "component_id")
     linked = rows.select("vec_id", "h1", "h2").join(by_vector, ["h1", "h2"]).select(
         "vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept")
     )

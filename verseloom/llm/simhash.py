@@ -219,7 +219,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX
         "fp", "least", F.coalesce("component", "fp").alias("component")
     )
     groups = joined.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("c"))
-    named = join_groups(joined, groups, "component").select("fp", "component_id")
+    named = join_groups(joined, groups, "component", prints.count()).select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
