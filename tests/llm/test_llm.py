@@ -192,7 +192,60 @@ def test_embeddings_odd_vectors_and_blocks(spark):
 def test_toxicity_on_held_out(spark):
     found = toxicity.op6_toxicity(spark, SF).toPandas().merge(pd.read_parquet(f"{SF}/labels.parquet"), on="doc_id")
     test = found[found["held_out"]]
-    assert (test["predicted"] == test["toxic"]).mean() >= 0.95
+    wrong, right = test[test["toxic"] == 0], test[test["toxic"] == 1]
+    assert wrong["predicted"].mean() <= 0.02 and right["predicted"].mean() >= 0.5
+    ahead = (right["score"].values[:, None] > wrong["score"].values).mean() + (right["score"].values[:, None] == wrong["score"].values).mean() / 2
+    assert ahead >= 0.8  # the chance that a toxic document ranks above a clean one
+
+
+def test_toxicity_from_few_labels(spark):
+    sf = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit(docs, labels)
+    assert model.weights and max(model.weights.values()) > 1
+    assert toxicity.fit(docs, labels.where("toxic = 1")).weights == toxicity.fit(docs.limit(0), labels).weights == {}
+
+
+def test_toxicity_fit_is_the_same_for_any_order(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    some = [toxicity.fit(docs.repartition(n), labels, field_rows=30) for n in (1, 7)]
+    assert some[0].weights == some[1].weights and some[0].bias == some[1].bias and some[0].moves == some[1].moves
+
+
+def test_objective_equals_enumeration_and_its_gradient_differences():
+    from itertools import product
+
+    texts = [(1, 5, [1, 3], [[0], [0, 1]]), (0, 4, [0], [[1]]), (1, 2, [], []), (0, 6, [1, 2], [[0], [1]])]
+    data = toxicity.Chains(texts, 2)
+    weight = np.array([1.0, 0.5, 2.0, 1.5])
+    theta = np.array([1.2, -0.4, -1.1, 0.3, -0.2, 0.1, 0.6, -1.3])
+    moves, wrong = theta[3:7].reshape(2, 2), 1 / (1 + np.exp(-theta[7]))
+    expected = 0.0
+    for (toxic, n, at, ids), w in zip(texts, weight):
+        emit = [theta[2] + sum(theta[i] for k, x in zip(at, ids) if k == j for i in x) for j in range(n)]
+        total = sum(np.exp(sum(moves[a, b] for a, b in zip((0, *t), t)) + np.dot(t, emit)) for t in product((0, 1), repeat=n))
+        none = (1 - wrong) * np.exp(n * moves[0, 0]) / total
+        expected += w * np.log(1 - none if toxic else none)
+    value, grad = toxicity.objective(theta, data, weight)
+    assert np.isclose(value, expected)
+    for k in range(len(theta)):
+        step = np.eye(len(theta))[k] * 1e-6
+        slope = (toxicity.objective(theta + step, data, weight)[0] - toxicity.objective(theta - step, data, weight)[0]) / 2e-6
+        assert np.isclose(slope, grad[k], atol=1e-6)
+
+
+def test_toxicity_of_long_and_neighbouring_words():
+    model = toxicity.Model({"w:bad": 6.0, "p:so": 4.0, "n:word": 4.0}, -8.0)
+    assert model.score("so bad word") > 0.9 > 0.5 > model.score("bad") > 0 == model.score("") == model.score(None)
+    assert model.spans("x so bad word y") == [(5, 8)]
+    long = "filler " * 200_000 + "so bad word"
+    assert model.spans(long) == [(len(long) - 8, len(long) - 5)]
+
+
+def test_chains_hold_every_word():
+    texts = [(1, 1000, [5, 999], [[0], [0]]), (0, 64, [], []), (0, 65, [64], [[0]]), (1, 3, [], [])]
+    data = toxicity.Chains(texts, 1)
+    assert np.bincount(data.doc, data.times * data.lengths[data.chain]).tolist() == [1000, 64, 65, 3]
 
 
 def test_crf_marginals_equal_enumeration():

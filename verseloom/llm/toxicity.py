@@ -1,11 +1,13 @@
 """Toxicity: a linear-chain conditional random field that tags toxic tokens.
 
-Only documents are labelled, so token labels come from them: a token of a toxic
-document is labelled toxic if one of its features (the word, its beginnings) is
-far more frequent in toxic documents than in clean ones. The field has two tags,
-transition weights and one weight a feature; it is fitted by gradient steps on
-windows of labelled documents. Forward-backward marginals give the offending
-offsets, and 1 - prod(1 - marginal) over the tokens with features the score.
+Only documents are labelled, and a document's label binds the tags of its tokens:
+no token of a clean document is toxic, at least one of a toxic document is, but
+for a share of wrong labels, which is fitted too. The field has two tags,
+transition weights and one weight a feature: the word, its beginnings, its form,
+and the words before and after it. It is fitted by gradient steps on the
+likelihood of these bound tags over whole texts. Forward-backward marginals give
+the offending offsets, and 1 - prod(1 - marginal) over the tokens with features
+the score.
 """
 
 from __future__ import annotations
@@ -23,20 +25,26 @@ from pyspark.sql import functions as F
 from verseloom.llm.common import Memo, checkpointed
 
 # Bounds on the labelled rows that a fit uses; scoring has none.
-FIT_ROWS = 10_000  # labelled documents of each class that the model is fitted on, by smallest hash of their id
-WINDOW_ROWS = 1_000  # of these, documents of each class whose windows fit the weights
-MAX_FEATURES = 5_000  # those of most toxic documents
-MIN_COUNT = 5  # toxic documents that hold a feature
-MIN_RATIO = 40.0  # how many times as frequent it is among toxic ones
-WINDOW = 24  # words around the first word with a feature that a document gives to the fit
+FIT_ROWS = 10_000  # labelled documents of each class whose features are counted, by smallest hash of their id
+FIELD_ROWS = 1_000  # of these, documents of each class, with their whole texts, that the weights are fitted on
+EVIDENCE = 16.0  # log-likelihood ratio from which on a feature more frequent in toxic documents has a weight
+CHUNK = 32  # words of a chain in the fit; a longer text is several chains
+PENALTY = 0.02  # of squared weights, in documents
+MISSED = 2.0  # what a toxic document counts beside a clean one in the fit
 SPAN_AT = 0.5
 
 _word = re.compile(r"[^\W\d_]+")
 
 
-def token_features(word: str) -> list[str]:
-    word = word.lower()
-    return [f"w:{word}", *(f"b:{word[:k]}" for k in (4, 5, 6) if len(word) > k)]
+def _own(word: str) -> list[str]:
+    low = word.lower()
+    form = ["f:caps"] if len(word) > 2 and word.isupper() else []
+    return [f"w:{low}", *(f"b:{low[:k]}" for k in (4, 5, 6) if len(low) > k), *form]
+
+
+def token_features(word: str, before: str = "", after: str = "") -> list[str]:
+    """Names of the features of a token between two others ("": the text's edge)."""
+    return [*_own(word), f"p:{before.lower()}", f"n:{after.lower()}"]
 
 
 @dataclass
@@ -48,7 +56,10 @@ class Model:
     moves: tuple = ((0.0, 0.0), (0.0, 0.0))
 
     def __post_init__(self) -> None:
-        self.memo = Memo(lambda w: sum(self.weights.get(f, 0.0) for f in token_features(w)))
+        self.memo = Memo(lambda w: sum(self.weights.get(f, 0.0) for f in _own(w)))
+        names = self.weights.keys()
+        self.left = {f[2:]: self.weights[f] for f in names if f[0] == "p"}
+        self.right = {f[2:]: self.weights[f] for f in names if f[0] == "n"}
         self.base = np.exp(np.array(self.moves) + np.array([0.0, self.bias]))
         self.powers = {0: np.eye(2)}
 
@@ -72,6 +83,10 @@ class Model:
         """Positions of the tokens with features, and how likely each is toxic; exact over the whole text."""
         n = len(words)
         extra = np.fromiter(map(self.memo.__getitem__, words), float, n)
+        if n and (self.left or self.right):
+            low = ["", *map(str.lower, words), ""]
+            extra += np.fromiter((self.left.get(w, 0.0) for w in low[:n]), float, n)
+            extra += np.fromiter((self.right.get(w, 0.0) for w in low[2:]), float, n)
         at = np.flatnonzero(extra)
         if not len(at):
             return at, np.empty(0)
@@ -117,69 +132,120 @@ class Model:
         return out
 
 
-def fit_field(windows: list[list[list[int]]], tags: list[list[int]], n_features: int, rounds: int = 120):
+class Chains:
+    """Labelled texts as chains of ``CHUNK`` words at most, equal ones once, for ``objective``.
+
+    ``texts`` holds for each text its label, its number of words, the positions
+    of words with features, and these words' lists of feature numbers.
+    """
+
+    def __init__(self, texts: list[tuple], n_features: int) -> None:
+        known: dict[tuple, int] = {}
+        doc, chain, times = [], [], []
+        for d, (_, n, at, ids) in enumerate(texts):
+            found: dict[int, list] = {}
+            for k, i in zip(at, ids):
+                found.setdefault(k // CHUNK, []).append((k % CHUNK, tuple(i)))
+            length = lambda c: min(CHUNK, n - c * CHUNK)
+            here = Counter((length(c), tuple(x)) for c, x in found.items())
+            last = (n - 1) // CHUNK
+            plain = last + 1 - len(found)
+            if plain and last not in found:
+                here[(length(last), ())] += 1
+                plain -= 1
+            if plain:
+                here[(CHUNK, ())] += plain
+            for key, c in here.items():
+                doc.append(d)
+                chain.append(known.setdefault(key, len(known)))
+                times.append(c)
+        self.n, self.n_docs, self.n_features = len(known), len(texts), n_features
+        self.doc, self.chain, self.times = np.array(doc), np.array(chain), np.array(times, float)
+        self.lengths = np.array([k[0] for k in known])
+        pairs = [(u * CHUNK + at, i) for (_, marks), u in known.items() for at, ids in marks for i in ids]
+        self.token, self.feat = np.array(pairs, dtype=np.int64).reshape(-1, 2).T
+        self.toxic = np.array([t[0] for t in texts]) == 1
+        self.there = np.arange(CHUNK) < self.lengths[:, None]
+
+
+def objective(theta: np.ndarray, data: Chains, weight: np.ndarray) -> tuple[float, np.ndarray]:
+    """Log-likelihood of the labels, each with its weight, and its gradient.
+
+    ``theta``: features, bias, four moves, and the log-odds of a wrong label. A
+    text is labelled clean if no tag is toxic and its label isn't wrong.
+    """
+    n, k = data.n, data.n_features
+    moves, wrong = theta[k + 1 : k + 5].reshape(2, 2), 1 / (1 + np.exp(-theta[k + 5]))
+    emit = (np.bincount(data.token, theta[data.feat], n * CHUNK) + theta[k]).reshape(n, CHUNK)
+    there = data.there
+    a = np.empty((CHUNK, n, 2))
+    start = np.broadcast_to(np.array([0.0, -np.inf]), (n, 2))
+    previous = start
+    for j in range(CHUNK):
+        now = np.logaddexp(previous[:, 0, None] + moves[0], previous[:, 1, None] + moves[1])
+        now[:, 1] += emit[:, j]
+        a[j] = previous = np.where(there[:, j, None], now, previous)
+    z = np.logaddexp(previous[:, 0], previous[:, 1])
+    none = np.bincount(data.doc, data.times * (data.lengths * moves[0, 0] - z)[data.chain], data.n_docs) + np.log1p(-wrong)
+    none = np.minimum(none, -1e-9)
+    value = float((weight * np.where(data.toxic, np.log(-np.expm1(none)), none)).sum())
+    # how the value moves with the log of each text's chance to have no toxic tag
+    push = weight * np.where(data.toxic, -np.exp(none) / -np.expm1(none), 1.0)
+    per_chain = np.bincount(data.chain, data.times * push[data.doc], n)
+    p1, expected = np.zeros((n, CHUNK)), np.zeros((2, 2))
+    b = np.zeros((n, 2))
+    for j in range(CHUNK - 1, -1, -1):
+        p1[:, j] = np.exp(a[j, :, 1] + b[:, 1] - z)
+        step = b.copy()
+        step[:, 1] += emit[:, j]
+        ahead = a[j - 1] if j else start
+        scale = np.where(there[:, j], per_chain, 0.0)
+        for x in (0, 1):
+            for y in (0, 1):
+                expected[x, y] += (scale * np.exp(ahead[:, x] + moves[x, y] + step[:, y] - z)).sum()
+        back = np.logaddexp(moves[:, 0] + step[:, :1], moves[:, 1] + step[:, 1:])
+        b = np.where(there[:, j, None], back, b)
+    p1 *= there * per_chain[:, None]
+    grad = np.zeros(k + 6)
+    grad[:k] = -np.bincount(data.feat, p1.ravel()[data.token], k)
+    grad[k] = -p1.sum()
+    grad[k + 1 : k + 5] = -expected.ravel()
+    grad[k + 1] += (per_chain * data.lengths).sum()
+    grad[k + 5] = -wrong * push.sum()
+    return value, grad
+
+
+def fit_field(data: Chains, weight: np.ndarray, rounds: int = 120) -> tuple[np.ndarray, float, tuple]:
     """Weights by penalised maximum likelihood: features, bias, moves."""
-    n, length = len(windows), max(map(len, windows))
-    there = np.zeros((n, length), bool)
-    gold = np.zeros((n, length), int)
-    token, feat = [], []
-    for i, (w, t) in enumerate(zip(windows, tags)):
-        there[i, : len(w)] = True
-        gold[i, : len(t)] = t
-        for j, fs in enumerate(w):
-            token += [i * length + j] * len(fs)
-            feat += fs
-    token, feat = np.array(token, dtype=np.int64), np.array(feat, dtype=np.int64)
-    theta = np.zeros(n_features + 5)  # features, bias, four moves
-    theta[n_features] = -2.0
+    k = data.n_features
+    theta = np.zeros(k + 6)
+    theta[k], theta[k + 5] = Model.bias, -3.0
+    theta[:k] = 4.0  # features were chosen as they tell toxic documents
     m, s = np.zeros_like(theta), np.zeros_like(theta)
-    before = np.concatenate((np.zeros((n, 1), int), gold[:, :-1]), axis=1)
-    gold_moves = np.array([[(there & (before == i) & (gold == j)).sum() for j in (0, 1)] for i in (0, 1)], float)
-    gold_feat = np.bincount(feat, (gold.ravel() * there.ravel())[token], n_features)
+    keep = np.concatenate((np.ones(k), [0.01], np.full(4, 10.0), [0.01]))  # moves near 0: a span ends unless its words go on
     for t in range(1, rounds + 1):
-        emit = (np.bincount(token, theta[feat], n * length) + theta[n_features]).reshape(n, length)
-        moves = theta[n_features + 1 :].reshape(2, 2)
-        a = np.zeros((length, n, 2))
-        previous = np.broadcast_to(np.array([0.0, -np.inf]), (n, 2))
-        for j in range(length):
-            now = np.logaddexp(previous[:, 0, None] + moves[0], previous[:, 1, None] + moves[1])
-            now[:, 1] += emit[:, j]
-            previous = np.where(there[:, j, None], now, previous)
-            a[j] = previous
-        z = np.logaddexp(previous[:, 0], previous[:, 1])
-        b = np.zeros((length, n, 2))
-        for j in range(length - 2, -1, -1):
-            step = b[j + 1] + np.stack([np.zeros(n), emit[:, j + 1]], axis=1)
-            new = np.logaddexp(moves[:, 0] + step[:, :1], moves[:, 1] + step[:, 1:])
-            b[j] = np.where(there[:, j + 1, None], new, 0.0)
-        p1 = np.exp(a[:, :, 1] + b[:, :, 1] - z).T * there
-        expected = np.zeros((2, 2))
-        for j in range(length):
-            ahead = a[j - 1] if j else np.broadcast_to(np.array([0.0, -np.inf]), (n, 2))
-            e = np.stack([np.zeros(n), emit[:, j]], axis=1)
-            joint = np.exp(ahead[:, :, None] + moves + (e + b[j])[:, None, :] - z[:, None, None])
-            expected += joint[there[:, j]].sum(0)
-        grad = np.concatenate(
-            (
-                gold_feat - np.bincount(feat, p1.ravel()[token], n_features),
-                [(gold * there).sum() - p1.sum()],
-                (gold_moves - expected).ravel(),
-            )
-        ) / n - 1e-4 * theta
+        _, grad = objective(theta, data, weight)
+        grad = (grad - PENALTY * keep * theta) / weight.sum()
         m, s = 0.9 * m + 0.1 * grad, 0.99 * s + 0.01 * grad**2
         theta += 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.99**t)) + 1e-9)
-    return theta[:n_features], float(theta[n_features]), tuple(map(tuple, theta[n_features + 1 :].reshape(2, 2).tolist()))
+    return theta[:k], float(theta[k]), tuple(map(tuple, theta[k + 1 : k + 5].reshape(2, 2).tolist()))
+
 
+def _evidence(t, c, n_toxic: int, n_clean: int):
+    """Log-likelihood ratio of a feature's documents in both classes against equal shares."""
+    both = (t + c) / (n_toxic + n_clean)
+    part = lambda k, n: k * F.log(F.greatest(k, F.lit(1)) / n / both) + F.when(k < n, (n - k) * F.log((n - k) / n / (1 - both))).otherwise(0)
+    return 2 * (part(t, n_toxic) + part(c, n_clean))
 
-def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
+
+def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, field_rows: int = FIELD_ROWS) -> Model:
     """A model of ``labels.toxic`` from at most ``fit_rows`` labelled documents of each class.
 
     A document whose label rows differ counts as toxic. Rows without id, text or
     label are not used, nor other columns; a repeated row counts as often as it
     stands; ties of the hash go by id. Empty tables, and labels of one class
-    alone, give a model without features, which scores 0. To the driver come at
-    most ``MAX_FEATURES`` features, chosen by Spark, and the windows of twice
-    ``WINDOW_ROWS`` documents.
+    alone, give a model without features, which scores 0. To the driver come the
+    features with ``EVIDENCE`` and of twice ``field_rows`` documents the places of these.
     """
     gold = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = F.xxhash64("doc_id"), F.col("doc_id")
@@ -193,7 +259,12 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
         for frame in frames:
             for text, toxic in zip(frame["text"], frame["toxic"]):
                 docs_seen[int(toxic)] += 1
-                seen[int(toxic)].update({f for w in set(_word.findall(text)) for f in token_features(w)})
+                words = _word.findall(text)
+                low = ["", *map(str.lower, words), ""]
+                found = {f for w in set(words) for f in _own(w)}
+                found.update("p:" + w for w in set(low[: len(words)]))
+                found.update("n:" + w for w in set(low[2:]))
+                seen[int(toxic)].update(found)
         kinds = {"f": "object", "t": "int64", "c": "int64"}  # a task without rows has no values to tell them by
         for toxic, column in ((1, "t"), (0, "c")):
             names = list(seen[toxic])
@@ -206,38 +277,41 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
             yield pd.DataFrame({"f": [""], "t": [docs_seen[1]], "c": [docs_seen[0]]}).astype(kinds)
 
     counts = rows.mapInPandas(count, "f string, t long, c long").groupBy("f").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
-    counts = checkpointed(counts.where((F.col("t") >= MIN_COUNT) | (F.col("f") == "")))
+    counts = checkpointed(counts.where("t >= 2 or f = ''"))
     totals = counts.where("f = ''").first()
-    if totals is None or not totals["t"]:
+    if totals is None or not totals["t"] or not totals["c"]:
         return Model()
-    n_toxic, n_clean = totals["t"], max(1, totals["c"])
-    frequent = (F.col("f") != "") & (F.col("t") / n_toxic >= MIN_RATIO * (F.col("c") + 0.5) / n_clean)
-    names = [r["f"] for r in counts.where(frequent).orderBy(F.desc("t"), "f").limit(MAX_FEATURES).select("f").collect()]
+    n_toxic, n_clean = totals["t"], totals["c"]
+    t, c = F.col("t"), F.col("c")
+    telling = (t * n_clean > c * n_toxic) & (_evidence(t, c, n_toxic, n_clean) >= EVIDENCE)
+    names = sorted(r["f"] for r in counts.where((F.col("f") != "") & telling).select("f").collect())
     if not names:
         return Model()
     number = {f: k for k, f in enumerate(names)}
 
-    def windows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def places(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             got = []
             for text, toxic in zip(frame["text"], frame["toxic"]):
                 words = _word.findall(text)
-                marked = [[number[f] for f in token_features(w) if f in number] for w in words]
-                at = next((k for k, m in enumerate(marked) if m), len(words) // 2)
-                low = max(0, at - WINDOW // 2)
-                got.append((int(toxic), marked[low : low + WINDOW]))
-            got = [x for x in got if x[1]]
+                around = zip(words, ["", *words], [*words[1:], ""])
+                marked = [[number[f] for f in token_features(*x) if f in number] for x in around]
+                at = [k for k, x in enumerate(marked) if x]
+                got.append((int(toxic), len(words), at, [marked[k] for k in at]))
             if got:
-                yield pd.DataFrame(got, columns=["toxic", "marked"])
+                yield pd.DataFrame(got, columns=["toxic", "n", "at", "ids"])
 
-    few = [c.limit(WINDOW_ROWS) for c in chosen]
+    few = [c.limit(field_rows) for c in chosen]
     sample = texts.join(F.broadcast(few[0].union(few[1])), "doc_id").select("text", "toxic")
-    sample = sample.mapInPandas(windows, "toxic int, marked array<array<int>>").limit(2 * WINDOW_ROWS).collect()
+    sample = sample.mapInPandas(places, "toxic int, n int, at array<int>, ids array<array<int>>").where("n > 0").collect()
     if not sample:
         return Model()
-    marks = [r["marked"] for r in sample]
-    tags = [[int(r["toxic"] == 1 and len(x) > 0) for x in r["marked"]] for r in sample]
-    weights, bias, moves = fit_field(marks, tags, len(names))
+    data = Chains(sorted(map(tuple, sample)), len(names))
+    # the classes weigh as they stand in the labels, a toxic document more
+    known = {r["toxic"]: r["count"] for r in gold.groupBy("toxic").count().collect()}
+    share = [known.get(x, 0) / max(1, int((data.toxic == x).sum())) for x in (0, 1)]
+    weight = np.where(data.toxic, MISSED * share[1], share[0])
+    weights, bias, moves = fit_field(data, weight * len(weight) / weight.sum())
     return Model(dict(zip(names, weights.tolist())), bias, moves)
 
 
