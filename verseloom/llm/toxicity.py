@@ -27,7 +27,7 @@ from verseloom.llm.common import Memo, checkpointed
 # Bounds on the labelled rows that a fit uses; scoring has none.
 FIT_ROWS = 10_000  # labelled documents of each class whose features are counted, by smallest hash of their id
 FIELD_ROWS = 1_000  # of these, documents of each class, with their whole texts, that the weights are fitted on
-EVIDENCE = 16.0  # log-likelihood ratio from which on a feature more frequent in toxic documents has a weight
+EVIDENCE = 30.0  # log-likelihood ratio from which on a feature more frequent in toxic documents has a weight
 CHUNK = 32  # words of a chain in the fit; a longer text is several chains
 PENALTY = 0.02  # of squared weights, in documents
 MISSED = 2.0  # what a toxic document counts beside a clean one in the fit
@@ -56,10 +56,10 @@ class Model:
     moves: tuple = ((0.0, 0.0), (0.0, 0.0))
 
     def __post_init__(self) -> None:
-        self.memo = Memo(lambda w: sum(self.weights.get(f, 0.0) for f in _own(w)))
-        names = self.weights.keys()
-        self.left = {f[2:]: self.weights[f] for f in names if f[0] == "p"}
-        self.right = {f[2:]: self.weights[f] for f in names if f[0] == "n"}
+        get = self.weights.get
+        self.memo = Memo(lambda w: sum(get(f, 0.0) for f in _own(w)))
+        self.beside = Memo(lambda w: complex(get("p:" + w.lower(), 0.0), get("n:" + w.lower(), 0.0)))
+        self.neighbours = any(f[0] in "pn" for f in self.weights)
         self.base = np.exp(np.array(self.moves) + np.array([0.0, self.bias]))
         self.powers = {0: np.eye(2)}
 
@@ -83,10 +83,9 @@ class Model:
         """Positions of the tokens with features, and how likely each is toxic; exact over the whole text."""
         n = len(words)
         extra = np.fromiter(map(self.memo.__getitem__, words), float, n)
-        if n and (self.left or self.right):
-            low = ["", *map(str.lower, words), ""]
-            extra += np.fromiter((self.left.get(w, 0.0) for w in low[:n]), float, n)
-            extra += np.fromiter((self.right.get(w, 0.0) for w in low[2:]), float, n)
+        if n and self.neighbours:
+            beside = np.fromiter(map(self.beside.__getitem__, ["", *words, ""]), complex, n + 2)
+            extra += beside.real[:n] + beside.imag[2:]
         at = np.flatnonzero(extra)
         if not len(at):
             return at, np.empty(0)
