@@ -27,7 +27,7 @@ from verseloom.llm.common import Memo, checkpointed
 # Bounds on the labelled rows that a fit uses; scoring has none.
 FIT_ROWS = 10_000  # labelled documents of each class whose features are counted, by smallest hash of their id
 FIELD_ROWS = 1_000  # of these, documents of each class, with their whole texts, that the weights are fitted on
-EVIDENCE = 30.0  # log-likelihood ratio from which on a feature more frequent in toxic documents has a weight
+EVIDENCE = 2.0  # a feature more frequent in toxic documents has a weight if its log-likelihood ratio is this many times the log of the features tried
 CHUNK = 32  # words of a chain in the fit; a longer text is several chains
 PENALTY = 0.02  # of squared weights, in documents
 MISSED = 2.0  # what a toxic document counts beside a clean one in the fit
@@ -282,7 +282,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, field_rows
         return Model()
     n_toxic, n_clean = totals["t"], totals["c"]
     t, c = F.col("t"), F.col("c")
-    telling = (t * n_clean > c * n_toxic) & (_evidence(t, c, n_toxic, n_clean) >= EVIDENCE)
+    telling = (t * n_clean > c * n_toxic) & (_evidence(t, c, n_toxic, n_clean) >= EVIDENCE * np.log(counts.count()))
     names = sorted(r["f"] for r in counts.where((F.col("f") != "") & telling).select("f").collect())
     if not names:
         return Model()
