@@ -12,6 +12,7 @@ the score.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -32,6 +33,7 @@ CHUNK = 32  # words of a chain in the fit; a longer text is several chains
 PENALTY = 0.02  # of squared weights, in documents
 MISSED = 2.0  # what a toxic document counts beside a clean one in the fit
 SPAN_AT = 0.5
+WORDS = 200_000  # whose marginals are found together, whole texts
 
 _word = re.compile(r"[^\W\d_]+")
 
@@ -61,74 +63,127 @@ class Model:
         self.beside = Memo(lambda w: complex(get("p:" + w.lower(), 0.0), get("n:" + w.lower(), 0.0)))
         self.neighbours = any(f[0] in "pn" for f in self.weights)
         self.base = np.exp(np.array(self.moves) + np.array([0.0, self.bias]))
-        self.powers = {0: np.eye(2)}
 
     def __reduce__(self):
         return Model, (self.weights, self.bias, self.moves)
 
-    def _gap(self, n: int) -> np.ndarray:
-        """Product over ``n`` tokens without features, up to a factor."""
-        if n not in self.powers:
-            p = np.linalg.matrix_power(self.base / self.base.max(), n) if n < 64 else None
-            if p is None:
-                half = self._gap(n // 2)
-                p = half @ self._gap(n - n // 2)
-            p = p / p.max()
-            if len(self.powers) > 50_000:
-                return p
-            self.powers[n] = p
-        return self.powers[n]
+    def tagged(self, texts: list[list[str]]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each text's words: positions of those with features, and how likely each is toxic; exact over the whole text."""
+        lengths = np.array([len(x) for x in texts], dtype=np.int64)
+        n = int(lengths.sum())
+        if not n:
+            return [(np.empty(0, dtype=np.int64), np.empty(0))] * len(texts)
+        words = [""]  # a text's edge before, between and after the texts
+        for text in texts:
+            words += text
+            words.append("")
+        extra = np.fromiter(map(self.memo.__getitem__, words), float, len(words))
+        if self.neighbours:
+            beside = np.fromiter(map(self.beside.__getitem__, words), complex, len(words))
+            extra[1:] += beside.real[:-1]
+            extra[:-1] += beside.imag[1:]
+        ends = np.cumsum(lengths)
+        inside = np.ones(len(words), dtype=bool)
+        inside[np.concatenate(([0], ends + np.arange(1, len(texts) + 1)))] = False
+        extra = extra[inside]
+        lift = np.exp(np.clip(extra, -30, 30))
+        ahead = np.repeat(self.base.reshape(4, 1), n, axis=1)
+        ahead[1::2] *= lift
+        back = np.ones((4, n))  # at a text's last word nothing follows
+        back[:, :-1] = ahead[[0, 2, 1, 3], 1:]
+        full = ends[lengths > 0]
+        back[:, full - 1] = 1.0
+        first = full - lengths[lengths > 0]
+        ahead[2:, first] = ahead[:2, first]  # before a text: the other tag, whatever the text before it ended with
+        both = running(ahead) * running(back[:, ::-1])[:, ::-1]
+        p = both[1] / both.sum(axis=0)
+        out = []
+        for start, end in zip((ends - lengths).tolist(), ends.tolist()):
+            at = np.flatnonzero(extra[start:end])
+            out.append((at, p[start:end][at]))
+        return out
 
     def marginals(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Positions of the tokens with features, and how likely each is toxic; exact over the whole text."""
-        n = len(words)
-        extra = np.fromiter(map(self.memo.__getitem__, words), float, n)
-        if n and self.neighbours:
-            beside = np.fromiter(map(self.beside.__getitem__, ["", *words, ""]), complex, n + 2)
-            extra += beside.real[:n] + beside.imag[2:]
-        at = np.flatnonzero(extra)
-        if not len(at):
-            return at, np.empty(0)
-        lift = np.exp(np.clip(extra[at], -30, 30))
-        gaps = np.diff(at, prepend=-1) - 1
-        ahead = []
-        a = np.array([1.0, 0.0])  # before the text: the other tag
-        for g, x in zip(gaps.tolist(), lift.tolist()):
-            a = a @ self._gap(g) @ self.base if g else a @ self.base
-            a[1] *= x
-            a = a / a.sum()
-            ahead.append(a)
-        b = self._gap(n - 1 - int(at[-1])) @ np.ones(2)
-        out = np.empty(len(at))
-        for k in range(len(at) - 1, -1, -1):
-            p = ahead[k] * b
-            out[k] = p[1] / p.sum()
-            if k:
-                step = self.base * np.array([1.0, lift[k]])
-                b = self._gap(int(gaps[k])) @ (step @ b)
-                b = b / b.sum()
-        return at, out
+        """``tagged`` of one text."""
+        return self.tagged([words])[0]
 
     def score(self, text: str | None) -> float:
         """0 to 1; 0 for null and empty texts and for those without features."""
-        if not text:
-            return 0.0
-        _, p = self.marginals(_word.findall(text))
-        return float(1 - np.exp(np.log1p(-np.minimum(p, 1 - 1e-12)).sum())) if len(p) else 0.0
+        return _any(self.marginals(_word.findall(text or ""))[1])
 
     def spans(self, text: str | None) -> list[tuple[int, int]]:
         """Start and end of the toxic runs of a text, in characters."""
-        found = list(_word.finditer(text or ""))
-        at, p = self.marginals([m[0] for m in found]) if found else ((), np.empty(0))
-        out: list[tuple[int, int]] = []
-        last = -2
-        for k in np.asarray(at)[p >= SPAN_AT].tolist():
-            start, end = found[k].span()
+        return _runs(text or "", *self.marginals(_word.findall(text or "")))
+
+
+def running(m: np.ndarray) -> np.ndarray:
+    """The row vectors (1, 0) m[0] ... m[t] for each t, scaled to a sum of 1.
+
+    ``m`` holds the entries 00, 01, 10 and 11 of the matrices, one column each. They
+    are cut into about as many blocks as a block has places, and a step takes one
+    place of all blocks: first for the blocks' products, then for the vectors.
+    """
+    n = m.shape[1]
+    size = max(1, math.isqrt(n))
+    blocks = -(-n // size)
+    padded = np.repeat(np.array([[1.0], [0.0], [0.0], [1.0]]), blocks * size, axis=1)
+    padded[:, :n] = m
+    steps = np.ascontiguousarray(padded.reshape(4, blocks, size).transpose(2, 0, 1))
+    a, b, c, d = np.ones(blocks), np.zeros(blocks), np.zeros(blocks), np.ones(blocks)
+    for k, (e, f, g, h) in enumerate(steps):
+        a, b, c, d = a * e + b * g, a * f + b * h, c * e + d * g, c * f + d * h
+        if k % 8 == 7:  # a factor of a step is at most e^30 or so
+            scale = a + b + c + d
+            a, b, c, d = a / scale, b / scale, c / scale, d / scale
+    starts = np.empty((2, blocks))
+    x, y = 1.0, 0.0
+    for k, (p, q, r, s) in enumerate(zip(a.tolist(), b.tolist(), c.tolist(), d.tolist())):
+        starts[:, k] = x, y
+        x, y = x * p + y * r, x * q + y * s
+        x, y = x / (x + y), y / (x + y)
+    out = np.empty((size, 2, blocks))
+    x, y = starts
+    for k, (e, f, g, h) in enumerate(steps):
+        x, y = x * e + y * g, x * f + y * h
+        scale = x + y
+        x, y = x / scale, y / scale
+        out[k, 0], out[k, 1] = x, y
+    return out.transpose(1, 2, 0).reshape(2, -1)[:, :n]
+
+
+def _any(p: np.ndarray) -> float:
+    """How likely one token at least is toxic."""
+    return float(1 - np.exp(np.log1p(-np.minimum(p, 1 - 1e-12)).sum())) if len(p) else 0.0
+
+
+def _runs(text: str, at: np.ndarray, p: np.ndarray) -> list[tuple[int, int]]:
+    toxic = set(at[p >= SPAN_AT].tolist())
+    out: list[tuple[int, int]] = []
+    last = -2
+    for k, found in enumerate(_word.finditer(text) if toxic else ()):
+        if k in toxic:
+            start, end = found.span()
             if k == last + 1:
                 start = out.pop()[0]
             out.append((start, end))
             last = k
-        return out
+    return out
+
+
+def _together(texts) -> Iterator[tuple[list[str], list[list[str]]]]:
+    """Texts and their words, about ``WORDS`` words at a time."""
+    some: list[str] = []
+    words: list[list[str]] = []
+    n = 0
+    for text in texts:
+        some.append(text or "")
+        words.append(_word.findall(text or ""))
+        n += len(words[-1])
+        if n >= WORDS:
+            yield some, words
+            some, words, n = [], [], 0
+    if some:
+        yield some, words
 
 
 class Chains:
@@ -326,9 +381,12 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = shared.value
         for frame in frames:
-            scores = [known.score(t) for t in frame["text"]]
-            spans = [known.spans(t) if s >= SPAN_AT else [] for t, s in zip(frame["text"], scores)]
-            spans = [[{"start": a, "end": b} for a, b in x] for x in spans]
+            scores, spans = [], []
+            for texts, words in _together(frame["text"]):
+                for text, (at, p) in zip(texts, known.tagged(words)):
+                    scores.append(_any(p))
+                    found = _runs(text, at, p) if scores[-1] >= SPAN_AT else []
+                    spans.append([{"start": a, "end": b} for a, b in found])
             yield pd.DataFrame(
                 {"doc_id": frame["doc_id"], "score": scores, "predicted": [int(s >= 0.5) for s in scores], "spans": spans}
             )
