@@ -55,3 +55,18 @@ def test_two_rows_of_a_bucket_are_compared_whatever_their_bits():
     far = np.array([0, 2**64 - 1], dtype=np.uint64)
     assert near_copies._heads(far, np.array([100, 100]), 0.8).tolist() in ([0, 0], [1, 1])
     assert near_copies._heads(far, np.array([100, 50]), 0.8).tolist() == [0, 1]
+
+
+def test_fingerprints_within_the_index_are_linked_without_a_shared_band(spark):
+    """The index of one-wildcard variants finds pairs by itself; the exact similarity still decides."""
+    words = [f"w{k}" for k in range(300)]
+    texts = [" ".join(words), " ".join([*words[:-1], "other"]), " ".join(f"y{k}" for k in range(300))]
+    made = [near_copies.sketch(near_copies.shingles(t)) for t in texts]
+    base = made[0][1]
+    prints = [base, base ^ 0b1001 ^ 1 << 40, base ^ 0b110]  # the third is near by its bits alone
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = [(k, m[0], fp, m[2], [100 * k + b for b in range(near_copies.BANDS)]) for k, (m, fp) in enumerate(zip(made, prints))]
+    table = spark.createDataFrame(rows, "doc_id long, node long, fp long, n long, keys array<long>")
+    table = table.join(docs.selectExpr("doc_id", "xxhash64(text) AS hash"), "doc_id")
+    got = {r["node"]: r["component"] for r in near_copies._components(docs, table, 5, 0.8).collect()}
+    assert got == {m[0]: min(made[0][0], made[1][0]) for m in made[:2]}

@@ -1,9 +1,11 @@
 """Near copies at a Jaccard similarity of word shingles: the pipeline's SimHash stage.
 
-SimHash bits alone can't index a similarity of 0.8 (about ten of 64 bits differ
-there, up to 20 in practice). Candidates are documents that agree in a band of
-minimum hashes and differ in at most ``WIDE`` bits of their fingerprints; each
-link is then checked by the exact Jaccard similarity of the shingle sets.
+Fingerprints within ``simhash.MAX_BITS`` bits are found by the index of one-wildcard
+segment variants. SimHash bits alone can't index a similarity of 0.8 (about ten of
+64 bits differ there, up to 20 in practice), so candidates are also documents that
+agree in a band of minimum hashes and differ in at most ``WIDE`` bits of their
+fingerprints; each link is then checked by the exact Jaccard similarity of the
+shingle sets.
 
 A bucket of the bands first links its rows to the one nearest to the bits' majority.
 The rows of buckets that this leaves in several components are then joined by their
@@ -22,6 +24,7 @@ from pyspark.sql import functions as F
 
 from verseloom.llm.common import checkpointed, serving
 from verseloom.llm.components import EACH, connected_components
+from verseloom.llm.simhash import fingerprint_links
 
 SEED = 42
 SHINGLE = 5
@@ -219,13 +222,27 @@ def _across(fronts: DataFrame, least: float) -> DataFrame:
     return _gathered(pairs.union(rest).distinct())
 
 
+def _fingerprint_pairs(classes: DataFrame, least: float) -> DataFrame:
+    """Pairs ``a``, ``b`` of nodes whose fingerprints are equal or linked by the index of variants and whose sizes allow the similarity."""
+    prints = checkpointed(classes.groupBy("fp").agg(F.min(F.struct("node", "n")).alias("r"), F.count("*").alias("c")))
+    of = lambda c: prints.select(F.col("fp").alias(c), F.col("r.node").alias(f"node_{c}"), F.col("r.n").alias(f"n_{c}"))
+    near = fingerprint_links(prints.select("fp")).join(of("a"), "a").join(of("b"), "b")
+    same = classes.join(prints.where("c > 1").select("fp", F.col("r.node").alias("node_b"), F.col("r.n").alias("n_b")), "fp")
+    columns = ["node_a", "n_a", "node_b", "n_b"]
+    pairs = near.select(*columns).union(same.select(F.col("node").alias("node_a"), F.col("n").alias("n_a"), "node_b", "n_b"))
+    can = F.least("n_a", "n_b") >= F.lit(least) * F.greatest("n_a", "n_b")
+    return pairs.where(can & (F.col("node_a") != F.col("node_b"))).select(*_pair("node_a", "node_b"))
+
+
 def _components(docs: DataFrame, prints: DataFrame, shingle: int, least: float) -> DataFrame:
     classes = prints.groupBy("node").agg(F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+    indexed = _fingerprint_pairs(classes.select("node", "fp", "n"), least)
     index = classes.select(F.explode("keys").alias("key"), "node", "fp", "n")
     dealt = index.repartition("key").sortWithinPartitions("key")
     kinds = ", ".join(f"{c} long" for c in ("key", "node", "head", "members"))
     rows = checkpointed(dealt.mapInPandas(_buckets(least), kinds))
-    pairs = _gathered(rows.where("node != head").select(*_pair("node", "head")).distinct())
+    pairs = rows.where("node != head").select(*_pair("node", "head"))
+    pairs = _gathered(indexed.union(pairs).distinct())
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     links = _similar(pairs, _sets_of(nodes, docs, prints, shingle), least)
     part = _gathered(connected_components(links))

@@ -149,8 +149,8 @@ def _forest_rows(rows: np.ndarray, forest: Forest, max_bits: int) -> pd.DataFram
     return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
 
-def link_fingerprints(prints: DataFrame, max_bits: int = MAX_BITS, block: int = BLOCK) -> DataFrame:
-    """Components of distinct fingerprints ``fp`` (long): ``node``, ``component``; unlinked ones are absent."""
+def fingerprint_links(prints: DataFrame, max_bits: int = MAX_BITS, block: int = BLOCK) -> DataFrame:
+    """Pairs ``a``, ``b`` of distinct fingerprints ``fp`` (long) within ``max_bits``: enough of them to connect all that links connect."""
     if max_bits > 2 * len(SEGMENTS) - 1:
         raise ValueError("three segments with one deleted bit cover at most 5 differing bits")
     # 64 rows a fingerprint: dealt out first, as a few tasks hold many of these short rows
@@ -176,10 +176,15 @@ def link_fingerprints(prints: DataFrame, max_bits: int = MAX_BITS, block: int =
     dealt = index.repartition("key", "salt").sortWithinPartitions("key", "salt")
     links = dealt.mapInPandas(_bucket_links(max_bits), "a long, b long")
     if hot is None:
-        return connected_components(links)
+        return links
     links = checkpointed(links)
     part = connected_components(links)
-    return connected_components(links.union(_links_across(prints, hot, part, max_bits)))
+    return links.union(_links_across(prints, hot, part, max_bits))
+
+
+def link_fingerprints(prints: DataFrame, max_bits: int = MAX_BITS, block: int = BLOCK) -> DataFrame:
+    """Components of distinct fingerprints ``fp`` (long): ``node``, ``component``; unlinked ones are absent."""
+    return connected_components(fingerprint_links(prints, max_bits, block))
 
 
 def _links_across(prints: DataFrame, hot: DataFrame, part: DataFrame, max_bits: int) -> DataFrame:
