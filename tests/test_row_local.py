@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from verseloom.functions.text import folded_tokens, tokens_of
-from verseloom.operators import survey
+from verseloom.operators import definitions, survey
+from verseloom.rules.canon import PROSE
 from verseloom.sources.corpus import segments
 
 TEXTS = [(1, "en", "a", "The thé THE\nno hit\nthen ones"), (2, "en", "b", "the\n\nof the"), (3, None, "c", None), (None, "fr", "d", "la Éthe the"), (4, "de", "e", "")]
@@ -38,3 +39,22 @@ def test_survey_totals_sends_no_row_a_hit_through_a_shuffle(spark):
     terms = survey.term_table(spark, TERMS[:4])
     plan = _exchanged(survey.survey_totals(segments(_docs(spark)), terms))
     assert "pos" not in plan and "regexp_extract_all" not in plan
+
+
+def test_definitions_of_few_terms_equal_those_of_many(spark, monkeypatch):
+    """Sent to all tasks or joined by form: the same candidates, and no row of a token in the plan of few."""
+    heads = [*PROSE.interrogative, *PROSE.predicate, *PROSE.simile, PROSE.named, PROSE.question_word, PROSE.designation, PROSE.closing, PROSE.opening, PROSE.answer]
+    rows = [("t1", f"t1:{k}.1", k, f"thé tion {h}x {PROSE.demonstratives[0]} {h} Theo the") for k, h in enumerate(heads)]
+    rows += [("t1", "t1:0.2", 90, "the only"), ("t2", "t2:1.1", 0, None), ("t2", "t2:1.2", 1, f"{PROSE.opening} {PROSE.answer}"), ("t2", "t2:1.1", 2, "tion")]
+    segs = spark.createDataFrame(rows, "text_id string, segment_id string, pos int, text string")
+    terms = definitions.term_table(spark, ["the", "tion", "la"], PROSE)
+
+    def found():
+        held = definitions.candidates(segs, terms, PROSE)
+        kept = [sorted((r.term, r.segment_id, r.pos, r.places, sorted(r.present), [tuple(m) for m in r.marks]) for r in held.collect())]
+        return held, kept + [sorted(map(str, definitions.scored_definitions(segs, terms, PROSE).collect()))]
+
+    plan, few = found()
+    assert few[0] and "regexp_extract_all" not in _exchanged(plan)
+    monkeypatch.setattr(definitions, "FEW_TERMS", 0)
+    assert found()[1] == few

@@ -1,19 +1,20 @@
 """Definition mining: the segments that define each of a list of terms, classified, scored, ranked and shown in context.
 
 Segments come as ``text_id``, ``segment_id``, ``pos``, ``text``. Terms are a list or
-a table of any size: the forms of few are broadcast, those of many joined by
-equality. All markers, endings and weights are a ``DefinitionRules``.
+a table of any size: the forms of few are sent to all tasks, where a segment is
+matched by itself, those of many joined by equality. All markers, endings and weights are a ``DefinitionRules``.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from verseloom.functions.ids import id_prefix, in_sources, paragraph_key, stratum
-from verseloom.functions.text import fold, folded_tokens
+from verseloom.functions.text import Kept, fold, folded_tokens, tokens_of
 from verseloom.operators.shared import checkpointed, join_counted, request_table
 from verseloom.rules.canon import DefinitionRules
 
@@ -98,6 +99,71 @@ def token_marks(tokens: Column, rules: DefinitionRules) -> Column:
     return F.filter(marked, lambda m: m["b"] > 0)
 
 
+def marks_of(token: str, rules: DefinitionRules) -> int:
+    """The bits of ``token_marks`` for one token, for use inside a task."""
+    true = token not in rules.false_markers
+    tests = {
+        ASK: token.startswith(rules.interrogative) and true,
+        PAIR: token.startswith(rules.question_pair),
+        SAY: token.startswith(rules.predicate) and true,
+        LIKE: token.startswith(rules.simile) and true,
+        NAMED: token == rules.named,
+        QUESTION: token == rules.question_word,
+        DESIGNATION: token.startswith(rules.designation),
+        POINTING: token in rules.demonstratives,
+        CLOSING: token.startswith(rules.closing),
+        NUMERAL: token in rules.numerals,
+    }
+    return sum(bit for bit, test in tests.items() if test)
+
+
+def _few_forms(terms: DataFrame) -> dict[str, list[str]] | None:
+    """The terms of each form, if the terms are few."""
+    if terms.limit(FEW_TERMS + 1).count() > FEW_TERMS:
+        return None
+    found: dict[str, list[str]] = {}
+    for r in terms.select("term", F.explode("forms").alias("form")).distinct().collect():
+        found.setdefault(r["form"], []).append(r["term"])
+    return found
+
+
+def _in_place(text: Column, forms: dict[str, list[str]], rules: DefinitionRules) -> Column:
+    """For each term that a text with a marker holds, its places, the forms present and the text's marks."""
+    kind = "array<struct<term string, places array<int>, present array<string>, marks array<struct<i int, b int>>>>"
+
+    @F.pandas_udf(kind)
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        bits = Kept(lambda token: marks_of(token, rules))
+        for texts in parts:
+            yield pd.Series([one(t, bits) for t in texts], index=texts.index, dtype=object)
+
+    def one(text: str | None, bits: Kept) -> list[dict]:
+        tokens = tokens_of(text)
+        if forms.keys().isdisjoint(tokens):
+            return []
+        marks = [(i, b) for i, b in enumerate(map(bits.__getitem__, tokens)) if b]
+        if not any(b & (ASK | PAIR | SAY | LIKE | NAMED) for _, b in marks):
+            return []
+        held: dict[str, dict[str, list[int]]] = {}
+        for i, token in enumerate(tokens):
+            for term in forms.get(token, ()):
+                held.setdefault(term, {}).setdefault(token, []).append(i)
+        listed = [{"i": i, "b": b} for i, b in marks]
+        return [{"term": t, "places": sorted(sum(f.values(), [])), "present": list(f), "marks": listed} for t, f in held.items()]
+
+    return run(text)
+
+
+def _terms_in(text: Column, forms: dict[str, list[str]]) -> Column:
+    """The terms of which a text holds a form, each once."""
+
+    @F.pandas_udf("array<string>")
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([list({x for t in forms.keys() & set(tokens_of(v)) for x in forms[t]}) for v in texts], index=texts.index, dtype=object)
+
+    return run(text)
+
+
 def _of(marks: Column | str, bits: int) -> Column:
     return F.filter(marks, lambda m: m["b"].bitwiseAND(F.lit(bits)) > 0)
 
@@ -119,10 +185,15 @@ def is_closer(places: Column | str, marks: Column | str, rules: DefinitionRules)
 def candidates(segments: DataFrame, terms: DataFrame, rules: DefinitionRules) -> DataFrame:
     """Segments that hold a form of a term and a marker, once for each term, with the term's ``places``, the forms ``present`` and the ``marks``.
 
-    Marks are looked for once for all terms; only rows with a marker are exploded.
-    A row's tokens don't go through the shuffle; the rows of a form that very many
-    hold are split.
+    Few terms are looked for with the marks in each row by itself. For many, marks
+    are looked for once for all terms; only rows with a marker are exploded. A row's
+    tokens don't go through the shuffle; the rows of a form that very many hold are
+    split.
     """
+    forms = _few_forms(terms)
+    if forms is not None:
+        found = segments.select("text_id", "segment_id", "pos", "text", F.explode(_in_place(F.col("text"), forms, rules)).alias("x"))
+        return _joined(found.select("x.term", "text_id", "segment_id", "pos", "x.places", "x.present", "x.marks", "text"), terms)
     tokens = folded_tokens(F.col("text"))
     rows = segments.select("text_id", "segment_id", "pos", "text", tokens.alias("tokens"), token_marks(tokens, rules).alias("marks"))
     rows = rows.where(F.size(_of("marks", ASK | PAIR | SAY | LIKE | NAMED)) > 0)
@@ -206,10 +277,14 @@ def score(rows: DataFrame, rules: DefinitionRules) -> DataFrame:
 
 def paired_paragraphs(segments: DataFrame, opening: str, answer: str) -> DataFrame:
     """Opening rows of the paragraphs that hold a word starting like ``opening`` and one starting like ``answer``; one group-by."""
-    tokens = folded_tokens(F.col("text"))
-    begins = lambda x: F.exists(tokens, lambda t: F.startswith(t, F.lit(x)))
-    rows = segments.select("text_id", "segment_id", "pos", "text", paragraph_key(F.col("segment_id")).alias("paragraph"), begins(opening).alias("o"), begins(answer).alias("c"))
-    rows = rows.where("o or c")
+
+    @F.pandas_udf("array<struct<o boolean, c boolean>>")
+    def begins(texts: pd.Series) -> pd.Series:
+        found = [(any(t.startswith(opening) for t in ts), any(t.startswith(answer) for t in ts)) for ts in map(tokens_of, texts)]
+        return pd.Series([[{"o": o, "c": c}] if o or c else [] for o, c in found], index=texts.index, dtype=object)
+
+    rows = segments.select("text_id", "segment_id", "pos", "text", F.explode(begins("text")).alias("x"))
+    rows = rows.select("text_id", "segment_id", "pos", "text", paragraph_key(F.col("segment_id")).alias("paragraph"), "x.o", "x.c")
     found = rows.groupBy("text_id", "paragraph").agg(
         F.max("c").alias("closed"), F.collect_list(F.when(F.col("o"), F.struct("segment_id", "pos", "text"))).alias("openers")
     )
@@ -220,10 +295,15 @@ def paired_paragraphs(segments: DataFrame, opening: str, answer: str) -> DataFra
 def context_examples(segments: DataFrame, terms: DataFrame, rules: DefinitionRules) -> DataFrame:
     """Opening rows without a term whose paragraph's first line (``.1``) holds it: ``term`` and the row."""
     openers = paired_paragraphs(segments, rules.opening, rules.answer)
-    first = segments.where(F.endswith("segment_id", F.lit(".1"))).select(
-        "text_id", paragraph_key(F.col("segment_id")).alias("paragraph"), F.explode(F.array_distinct(folded_tokens(F.col("text")))).alias("form")
-    )
-    about = _joined(first, terms, ["text_id", "paragraph"]).select("term", "text_id", "paragraph").distinct()
+    first = segments.where(F.endswith("segment_id", F.lit(".1"))).select("text_id", paragraph_key(F.col("segment_id")).alias("paragraph"), "text")
+    forms = _few_forms(terms)
+    if forms is not None:
+        about = first.select("text_id", "paragraph", F.explode(_terms_in(F.col("text"), forms)).alias("term")).distinct()
+        rows = openers.withColumn("held", _terms_in(F.col("text"), forms)).join(about, ["text_id", "paragraph"])
+        columns = ["term", *[c for c in openers.columns if c != "paragraph"]]
+        return rows.where(~F.array_contains("held", F.col("term"))).select(*columns)
+    each = first.select("text_id", "paragraph", F.explode(F.array_distinct(folded_tokens(F.col("text")))).alias("form"))
+    about = _joined(each, terms, ["text_id", "paragraph"]).select("term", "text_id", "paragraph").distinct()
     rows = _joined(openers.join(about, ["text_id", "paragraph"]), terms.select("term", "forms"))
     return rows.where(~F.arrays_overlap(folded_tokens(F.col("text")), "forms")).drop("forms", "paragraph")
 
@@ -295,7 +375,8 @@ def find_definitions(segments: DataFrame, terms: list[str] | DataFrame, rules: D
     """The best definitions of each term with their context; a term without any has no row."""
     table = term_table(segments.sparkSession, terms, rules)
     top = rank_definitions(dedup_by_text(scored_definitions(segments, table, rules, similes, sources)), limit)
-    return blocks(top, segments, rules)
+    # few rows, read three times
+    return blocks(checkpointed(top), segments, rules)
 
 
 def sentence_key(text: Column) -> Column:
