@@ -7,6 +7,7 @@ import unicodedata
 from html.parser import HTMLParser
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -69,9 +70,10 @@ def plain_text(html: str | None) -> str:
 
 
 def clean_html(html: Column) -> Column:
-    @F.pandas_udf("string")
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(plain_text)
+    # a page at a time from the Arrow batch: its pages never stand all as Python strings
+    @F.arrow_udf("string")
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array((plain_text(t.as_py()) for t in texts), pa.string(), size=len(texts))
 
     return run(html)
 
