@@ -12,15 +12,18 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from itertools import chain, islice
+from sys import intern
 from zlib import crc32
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from verseloom.functions.text import folded_tokens
-from verseloom.operators.shared import request_table
+from verseloom.functions.text import Kept, folded_tokens, tokens_of
+from verseloom.operators.needles import needle_hits
+from verseloom.operators.shared import checkpointed, request_table
 
 MAX_QUERIES = 1_000  # queries of one call; more are asked in several calls
 #: Scores depend on them.
@@ -28,9 +31,9 @@ K1, B = 1.2, 0.75
 LEAST_IDF = 1e-6
 RRF = 60
 
-GRAM = 3  # letters of a gram of the vocabulary's index
 WORD = re.compile(r"[^\W_]+")
-KEPT_WORDS = 500_000  # words whose trigrams a task keeps
+KEPT_WORDS = 50_000  # words whose trigrams a task keeps; a kept one takes about 1 KB
+OUT_ROWS = 50_000  # rows of tokens that a task gives out at a time, about
 BLOCK = 2_048  # vectors multiplied with the queries at a time
 
 
@@ -46,22 +49,43 @@ def postings(docs: DataFrame) -> DataFrame:
     return tokens.groupBy("doc_id", "token").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
 
 
+def _token_rows(docs: DataFrame) -> DataFrame:
+    """``doc_id``, ``token``, ``n``, ``first_pos``, ``last_pos``: once for each distinct token of each row, made where the row lies."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, columns = [], ([], [], [], [])
+            for k, text in enumerate(batch.column(1)):
+                tokens = tokens_of(text.as_py())
+                counts = Counter(tokens)
+                first = dict(zip(reversed(tokens), range(len(tokens) - 1, -1, -1)))
+                last = dict(zip(tokens, range(len(tokens))))
+                at.extend([k] * len(counts))
+                for column, values in zip(columns, (counts, counts.values(), map(first.__getitem__, counts), map(last.__getitem__, counts))):
+                    column.extend(values)
+                if len(at) >= OUT_ROWS or k == batch.num_rows - 1:
+                    made = [batch.column(0).take(pa.array(at, pa.int64())), *[pa.array(c, pa.int64() if j else pa.string()) for j, c in enumerate(columns)]]
+                    yield pa.RecordBatch.from_arrays(made, names=["doc_id", "token", "n", "first_pos", "last_pos"])
+                    at, columns = [], ([], [], [], [])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, token string, n long, first_pos long, last_pos long")
+
+
 def posting_sizes(docs: DataFrame) -> DataFrame:
-    """How often, first and last where, each token stands in each text."""
-    return postings(docs).select(
-        "doc_id",
-        "token",
-        F.size("positions").cast("long").alias("n"),
-        F.array_min("positions").cast("long").alias("first_pos"),
-        F.array_max("positions").cast("long").alias("last_pos"),
-    )
+    """How often, first and last where, each token stands in each text; only the tokens of texts that are several rows go through a shuffle."""
+    several = docs.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select(F.col("doc_id").alias("__id"))
+    several = checkpointed(several)
+    if several.isEmpty():
+        return _token_rows(docs)
+    same = F.col("doc_id").eqNullSafe(F.col("__id"))
+    once, more = _token_rows(docs.join(several, same, "left_anti")), _token_rows(docs.join(several, same, "left_semi"))
+    return once.union(more.groupBy("doc_id", "token").agg(F.sum("n"), F.min("first_pos"), F.max("last_pos")))
 
 
 def vocabulary(docs: DataFrame) -> DataFrame:
     """Folded tokens with their number of texts and occurrences, counted by text first."""
-    tokens = docs.select("doc_id", F.explode(folded_tokens(F.col("text"))).alias("token"))
-    per_text = tokens.groupBy("doc_id", "token").agg(F.count("*").alias("n"))
-    return per_text.groupBy("token").agg(F.count("*").alias("n_texts"), F.sum("n").cast("long").alias("n_total"))
+    return posting_sizes(docs).groupBy("token").agg(F.count("*").alias("n_texts"), F.sum("n").cast("long").alias("n_total"))
 
 
 def _top(df: DataFrame, by: list[str], order: list, k: int) -> DataFrame:
@@ -77,30 +101,15 @@ def prefix_suggestions(words: DataFrame, starts: list[str], k: int = 3) -> DataF
     return _top(hits.join(known, "start", "left_anti"), ["start"], [F.length("token"), "token"], k)
 
 
-def _grams(rows: DataFrame, column: str, sizes: list[int]) -> DataFrame:
-    """``rows`` with ``g``, each distinct run of so many letters of a column."""
-    runs = [F.when(F.length(column) >= n, F.sequence(F.lit(1), F.length(column) - n + 1)) for n in sizes]
-    starts = F.array(*[F.struct(F.lit(n).alias("n"), F.coalesce(r, F.array().cast("array<int>")).alias("at")) for n, r in zip(sizes, runs)])
-    each = rows.withColumn("__s", F.explode(starts)).withColumn("__at", F.explode("__s.at"))
-    return each.withColumn("g", F.substr(F.col(column), F.col("__at"), F.col("__s.n"))).drop("__s", "__at").distinct()
-
-
 def word_parts(words: DataFrame, parts: list[str] | DataFrame) -> DataFrame:
     """``part`` and each ``token`` of ``words(token)`` that holds it, the part itself included; parts are a list or ``parts(part)`` of any size.
 
-    An index of the vocabulary's grams (three letters, fewer for shorter parts)
-    gives the tokens that hold the rarest gram of a part; only these are compared
-    with the part. Null and empty parts are in no token.
+    The parts become one automaton a pass, which each distinct token runs through
+    where it lies. Null and empty parts are in no token.
     """
     asked = request_table(words.sparkSession, parts, "part").where("part != ''")
-    sizes = sorted(r[0] for r in asked.select(F.least(F.length("part"), F.lit(GRAM))).distinct().collect())
-    if not sizes:
-        return words.select(F.lit("").alias("part"), "token").limit(0)
-    index = _grams(words.select("token").distinct(), "token", sizes)
-    own = _grams(asked, "part", sizes).where(F.length("g") == F.least(F.length("part"), F.lit(GRAM)))
-    counted = own.join(index.groupBy("g").agg(F.count("*").alias("c")), "g", "left").fillna(0, ["c"])
-    rarest = counted.groupBy("part").agg(F.min(F.struct("c", "g")).alias("m")).where("m.c > 0").select("part", F.col("m.g").alias("g"))
-    return index.join(rarest, "g").where(F.contains("token", F.col("part"))).select("part", "token")
+    tokens = words.select("token").distinct()
+    return needle_hits(tokens, {"token": F.col("token")}, asked.withColumnRenamed("part", "needle")).select(F.col("needle").alias("part"), "token")
 
 
 def related_words(words: DataFrame, parts: list[str] | DataFrame, k: int = 10) -> DataFrame:
@@ -171,20 +180,6 @@ def extent_similarity(needle: set[str], grams: list[str], least: float = 0.0) ->
     return best
 
 
-class _Kept(dict):
-    """Results of a function by word, so many at most."""
-
-    def __init__(self, make) -> None:
-        super().__init__()
-        self.make = make
-
-    def __missing__(self, word: str) -> tuple[str, ...]:
-        if len(self) >= KEPT_WORDS:
-            self.clear()
-        found = self[word] = tuple(self.make(word))
-        return found
-
-
 class FuzzyTerms:
     """Terms by their trigrams: which of them a text can be like, and how much."""
 
@@ -201,8 +196,9 @@ class FuzzyTerms:
                     self.prefix.setdefault(g, []).append(len(self.terms))
                 self.terms.append((term, grams, need))
         self.wanted = {g for _, grams, _ in self.terms for g in grams}
-        self.grams = _Kept(word_grams)
-        self.known = _Kept(lambda word: [g for g in word_grams(word) if g in self.wanted])
+        self.grams = Kept(lambda word: tuple(map(intern, word_grams(word))), KEPT_WORDS)
+        # most words have none of the trigrams: they share one empty tuple
+        self.known = Kept(lambda word: tuple(intern(g) for g in word_grams(word) if g in self.wanted))
 
     def shared(self, words: list[str]) -> set[str]:
         """The wanted trigrams of a text's words."""
